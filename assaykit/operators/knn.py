@@ -1,5 +1,229 @@
+"""Exact k-nearest-neighbour self-join by cosine, without comparing all pairs.
+
+Rows become unit vectors, where cosine order is distance order. They are assigned to the
+nearest of a bounded set of pivots. Distances inside a bounded block of a row's own cell
+give an upper bound on its k-th neighbour; by the triangle inequality only cells closer than
+that bound can hold a neighbour, so a row is sent to those cells alone (the scheme of
+Lu et al., "Efficient processing of k nearest neighbor joins using MapReduce", 2012). Cells
+are cut into blocks of bounded size on both sides. Identical vectors are handled once: ties
+go to the lowest id, so only the k+1 lowest ids of a group of copies can be neighbours.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-def column_moments(df, features):
+
+from assaykit.operators.skew import lookup_join
+from assaykit.session import checkpointed
+
+BLOCK_ROWS = 4_000
+MAX_PIVOTS = 2_048
+SLACK = 1e-9
+
+
+def column_moments(df: DataFrame, features: str) -> DataFrame:
+    """Mean and population standard deviation (0 becomes 1) per vector position."""
     flat = df.select(F.posexplode(features).alias("position", "x"))
-    s = F.stddev_pop("x")
-    return flat.groupBy("position").agg(F.avg("x").alias("mean"), F.when(s == 0, 1.0).otherwise(s).alias("std"))
+    spread = F.stddev_pop(F.col("x").cast("double"))
+    return flat.groupBy("position").agg(
+        F.avg(F.col("x").cast("double")).alias("mean"),
+        F.when(spread == 0, 1.0).otherwise(spread).alias("std"),
+    )
+
+
+def standardised(df: DataFrame, features: str, out: str) -> DataFrame:
+    """Add the z-scored vector scaled to length one."""
+    # one row per vector position
+    rows = column_moments(df, features).orderBy("position").collect()
+    mean = F.array(*[F.lit(float(r["mean"])) for r in rows])
+    std = F.array(*[F.lit(float(r["std"])) for r in rows])
+    centred = F.zip_with(features, mean, lambda x, m: x.cast("double") - m)
+    scored = df.withColumn(out, F.zip_with(centred, std, lambda x, s: x / s))
+    length = F.sqrt(F.aggregate(out, F.lit(0.0), lambda acc, x: acc + x * x))
+    return scored.withColumn("_len", length).withColumn(
+        out, F.transform(out, lambda x: F.when(F.col("_len") > 0, x / F.col("_len")).otherwise(F.lit(0.0)))
+    ).drop("_len")
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), dtype=np.float64)
+
+
+def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    square = (left**2).sum(1)[:, None] + (right**2).sum(1)[None, :] - 2.0 * left @ right.T
+    return np.sqrt(np.maximum(square, 0.0))
+
+
+def _assign(points: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Add the nearest pivot and the distance to it."""
+    shared = points.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                gaps = _distances(_matrix(pdf["vec"]), shared.value)
+                cell = gaps.argmin(axis=1)
+                yield pdf.assign(cell=cell.astype("int32"), gap=gaps[np.arange(len(pdf)), cell])
+
+    return points.mapInPandas(run, "pid BIGINT, vec ARRAY<DOUBLE>, copies BIGINT, cell INT, gap DOUBLE")
+
+
+def _bounds(points: DataFrame, k: int) -> DataFrame:
+    """Upper bound of every point's k-th neighbour distance, from its own block alone."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        vec = _matrix(pdf["vec"])
+        copies = pdf["copies"].to_numpy()
+        gaps = _distances(vec, vec)
+        order = np.argsort(gaps, axis=1, kind="stable")[:, : k + 1]
+        near = np.take_along_axis(gaps, order, axis=1)
+        # a point's own copies count as neighbours at distance zero, itself excluded
+        reached = np.cumsum(copies[order], axis=1) - 1 >= k
+        at = np.where(reached.any(axis=1), reached.argmax(axis=1), -1)
+        bound = np.where(at >= 0, near[np.arange(len(vec)), at], 2.0)
+        return pdf.assign(bound=bound)[["pid", "vec", "cell", "block", "bound"]]
+
+    return points.groupBy("cell", "block").applyInPandas(
+        run, "pid BIGINT, vec ARRAY<DOUBLE>, cell INT, block INT, bound DOUBLE"
+    )
+
+
+def _routes(bounded: DataFrame, pivots: np.ndarray, cells: list) -> DataFrame:
+    """Send each point to every cell that can hold one of its neighbours."""
+    ids = np.array([c["cell"] for c in cells])
+    radius = np.array([c["radius"] for c in cells])
+    shared = bounded.sparkSession.sparkContext.broadcast((pivots[ids], ids, radius))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centre, cell_ids, reach = shared.value
+        for pdf in batches:
+            if len(pdf):
+                gaps = _distances(_matrix(pdf["vec"]), centre)
+                row, col = np.nonzero(gaps - reach[None, :] <= pdf["bound"].to_numpy()[:, None] + SLACK)
+                out = pdf.iloc[row][["pid", "vec", "bound"]].reset_index(drop=True)
+                yield out.assign(cell=cell_ids[col].astype("int32"))
+
+    return bounded.mapInPandas(run, "pid BIGINT, vec ARRAY<DOUBLE>, bound DOUBLE, cell INT")
+
+
+def _nearest(queries: pd.DataFrame, targets: pd.DataFrame, keep: int) -> pd.DataFrame:
+    empty = {"pid": pd.Series(dtype="int64"), "tid": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")}
+    if len(queries) == 0 or len(targets) == 0:
+        return pd.DataFrame(empty)
+    targets = targets.sort_values("pid")
+    left, right = _matrix(queries["vec"]), _matrix(targets["vec"])
+    cosine = 1.0 - left @ right.T
+    order = np.argsort(cosine, axis=1, kind="stable")[:, :keep]
+    near = np.take_along_axis(cosine, order, axis=1)
+    width = order.shape[1]
+    return pd.DataFrame(
+        {
+            "pid": np.repeat(queries["pid"].to_numpy(), width),
+            "tid": targets["pid"].to_numpy()[order].ravel(),
+            "distance": near.ravel(),
+        }
+    )
+
+
+def nearest_neighbours(
+    df: DataFrame,
+    key: str,
+    features: str,
+    k: int = 5,
+    block_rows: int = BLOCK_ROWS,
+    max_pivots: int = MAX_PIVOTS,
+    standardise: bool = True,
+) -> DataFrame:
+    """The k nearest other rows of every row: columns ``id``, ``neighbour``, ``rank``.
+
+    ``key`` is a unique BIGINT. Vectors are z-scored first unless told not to. A row is
+    never its own neighbour; ties go to the lower id.
+    """
+    rows = df.select(F.col(key).alias("id"), F.col(features).alias("features")).where("features IS NOT NULL")
+    if standardise:
+        rows = standardised(rows, "features", "vec").select("id", "vec")
+    else:
+        rows = rows.select("id", F.col("features").cast("array<double>").alias("vec"))
+    rows = checkpointed(rows)
+    points = checkpointed(rows.groupBy("vec").agg(F.min("id").alias("pid"), F.count(F.lit(1)).alias("copies")))
+    total = points.count()
+    wanted = max(1, min(max_pivots, int(np.sqrt(total))))
+    # at most max_pivots vectors
+    chosen = points.orderBy(F.xxhash64("pid"), "pid").limit(wanted).select("vec").collect()
+    pivots = np.array([r["vec"] for r in chosen], dtype=np.float64)
+
+    placed = checkpointed(_assign(points.select("pid", "vec", "copies"), pivots))
+    # one row per pivot
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).collect()
+    spark = df.sparkSession
+    blocks = spark.createDataFrame(
+        [(c["cell"], -(-c["n"] // block_rows)) for c in cells], "cell INT, blocks INT"
+    )
+    targets = placed.join(F.broadcast(blocks), "cell").withColumn(
+        "block", F.pmod(F.xxhash64("pid"), F.col("blocks")).cast("int")
+    )
+    bounded = _bounds(targets.select("pid", "vec", "copies", "cell", "block"), k)
+    routed = checkpointed(_routes(bounded, pivots, cells))
+    # one row per pivot
+    loads = routed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("lanes"))
+    shape = F.broadcast(blocks.join(loads, "cell"))
+    asked = (
+        routed.join(shape, "cell")
+        .withColumn("lane", F.pmod(F.xxhash64("pid"), F.col("lanes")).cast("int"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("pid", "vec", "cell", "block", "lane")
+    )
+    offered = (
+        targets.drop("blocks")
+        .join(shape, "cell")
+        .withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+        .select("pid", "vec", "cell", "block", "lane")
+    )
+    group = ["cell", "block", "lane"]
+    local = asked.groupBy(*group).cogroup(offered.groupBy(*group)).applyInPandas(
+        lambda q, t: _nearest(q, t, k + 1), "pid BIGINT, tid BIGINT, distance DOUBLE"
+    )
+    return _ranked(rows, points, local, k)
+
+
+def _ranked(rows: DataFrame, points: DataFrame, local: DataFrame, k: int) -> DataFrame:
+    """Expand vectors to rows and keep each row's k best, itself excluded."""
+    closest = W.partitionBy("pid").orderBy("distance", "tid")
+    best = local.withColumn("_n", F.row_number().over(closest)).where(F.col("_n") <= k + 1)
+    # the k+1 lowest ids of every vector; Spark limits the groups before the shuffle
+    lowest = W.partitionBy("vec").orderBy("id")
+    copies = rows.withColumn("_c", F.row_number().over(lowest)).where(F.col("_c") <= k + 1)
+    named = copies.join(points.select("vec", F.col("pid").alias("tid")), "vec").select("tid", F.col("id").alias("neighbour"))
+    spread = best.select("pid", "tid", "distance").join(named, "tid")
+    order = W.partitionBy("pid").orderBy("distance", "neighbour")
+    kept = spread.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
+    lists = kept.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("_n", "neighbour"))).alias("near"))
+    lists = checkpointed(points.select("vec", "pid").join(lists, "pid").drop("pid"))
+    joined = lookup_join(rows, lists, ["vec"], "inner", rows=20_000)
+    others = F.slice(F.filter("near", lambda n: n["neighbour"] != F.col("id")), 1, k)
+    return joined.select("id", F.posexplode(others).alias("rank", "n")).select(
+        "id", F.col("n.neighbour").alias("neighbour"), (F.col("rank") + 1).alias("rank")
+    )
+
+
+def labelled_neighbours(df: DataFrame, key: str, features: str, label: str, k: int = 5, **options) -> DataFrame:
+    """Neighbour rows ready for the label vote: id, label, rank, neighbour_label.
+
+    Fewer than eight rows give none; k is at most the number of other rows.
+    """
+    known = df.where(F.col(features).isNotNull())
+    total = known.limit(k + 8).count()
+    own = known.select(F.col(key).alias("id"), F.col(label).alias("label"))
+    if total < 8:
+        return own.where(F.lit(False)).select(
+            "id", "label", F.lit(0).alias("rank"), F.col("label").alias("neighbour_label")
+        )
+    near = nearest_neighbours(df, key, features, min(k, total - 1), **options)
+    theirs = own.select(F.col("id").alias("neighbour"), F.col("label").alias("neighbour_label"))
+    return near.join(own, "id").join(theirs, "neighbour").select("id", "label", "rank", "neighbour_label")
