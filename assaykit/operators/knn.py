@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assaykit.functions.vectors import unit
 from assaykit.operators.skew import lookup_join
 from assaykit.session import checkpointed
 
@@ -142,14 +143,14 @@ def nearest_neighbours(
 ) -> DataFrame:
     """The k nearest other rows of every row: columns ``id``, ``neighbour``, ``rank``.
 
-    ``key`` is a unique BIGINT. Vectors are z-scored first unless told not to. A row is
-    never its own neighbour; ties go to the lower id.
+    ``key`` is a unique BIGINT. Vectors are z-scored first unless told not to, and always
+    scaled to length one. A row is never its own neighbour; ties go to the lower id.
     """
     rows = df.select(F.col(key).alias("id"), F.col(features).alias("features")).where("features IS NOT NULL")
     if standardise:
         rows = standardised(rows, "features", "vec").select("id", "vec")
     else:
-        rows = rows.select("id", F.col("features").cast("array<double>").alias("vec"))
+        rows = rows.select("id", unit(F.col("features")).alias("vec"))
     rows = checkpointed(rows)
     points = checkpointed(rows.groupBy("vec").agg(F.min("id").alias("pid"), F.count(F.lit(1)).alias("copies")))
     total = points.count()
