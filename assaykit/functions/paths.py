@@ -15,6 +15,22 @@ ALLOWED_EXTENSIONS = (
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
 
 
+def uniform(path: Column, encoded: bool = False) -> Column:
+    """One spelling for a file path, so paths from different readers can be joined.
+
+    Readers write local files as ``file:/x`` or ``file:///x``; the ``_metadata`` column
+    also percent-encodes.
+    """
+    if encoded:
+        path = F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def file_path() -> Column:
+    """Path of the file a row was read from."""
+    return uniform(F.col("_metadata.file_path"), encoded=True)
+
+
 def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 

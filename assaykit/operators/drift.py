@@ -143,8 +143,8 @@ def jensen_shannon(counts: DataFrame, ranges: DataFrame) -> DataFrame:
     totals = full.groupBy("feature").agg(F.sum("r").alias("sum_r"), F.sum("c").alias("sum_c"))
     dense = full.join(F.broadcast(totals), "feature").select(
         "feature",
-        (F.col("r") / F.col("width") / F.col("sum_r") + JS_EPS).alias("p"),
-        (F.col("c") / F.col("width") / F.col("sum_c") + JS_EPS).alias("q"),
+        (F.try_divide(F.col("r") / F.col("width"), F.col("sum_r")) + JS_EPS).alias("p"),
+        (F.try_divide(F.col("c") / F.col("width"), F.col("sum_c")) + JS_EPS).alias("q"),
     )
     scale = dense.groupBy("feature").agg(F.sum("p").alias("sum_p"), F.sum("q").alias("sum_q"))
     p, q = F.col("p") / F.col("sum_p"), F.col("q") / F.col("sum_q")
@@ -171,8 +171,9 @@ def drift_metrics(
     and p = 1.
     """
     scanned = checkpointed(scanned_counts(value_counts(reference, candidate, features)))
+    # an empty side has no distribution: its statistics are null here and zero below
     cdf_gap = F.abs(
-        F.col("upto_ref") / F.col("total_ref") - F.col("upto_cand") / F.col("total_cand")
+        F.try_divide("upto_ref", "total_ref") - F.try_divide("upto_cand", "total_cand")
     )
     basic = scanned.groupBy("feature").agg(
         F.max("total_ref").alias("n_ref"),
@@ -181,8 +182,8 @@ def drift_metrics(
         F.sum(cdf_gap * (F.col("next_value") - F.col("value"))).alias("wasserstein_distance"),
         F.min("value").alias("lo"),
         F.max("value").alias("hi"),
-        (F.sum(F.col("value") * F.col("n_ref")) / F.max("total_ref")).alias("reference_mean"),
-        (F.sum(F.col("value") * F.col("n_cand")) / F.max("total_cand")).alias("candidate_mean"),
+        F.try_divide(F.sum(F.col("value") * F.col("n_ref")), F.max("total_ref")).alias("reference_mean"),
+        F.try_divide(F.sum(F.col("value") * F.col("n_cand")), F.max("total_cand")).alias("candidate_mean"),
     )
     # every table joined below has one row per feature name given
     joined = (

@@ -83,7 +83,7 @@ def analyse_dataset(
         .distinct()
     )
     marked = sources.suspicion_reasons(
-        sources.flag_samples(rows.drop("vector", "phash", "dhash", "patches"), anomalies, ("ordinal",))
+        sources.flag_samples(rows.drop("label", "vector", "phash", "dhash", "patches"), anomalies, ("ordinal",))
     )
     risks = checkpointed(sources.source_risk(marked))
     summary = checkpointed(

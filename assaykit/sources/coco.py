@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.functions.paths import basename, parent, stem
+from assaykit.functions.paths import basename, file_path, parent, stem
 from assaykit.operators.skew import chunked_lists, lookup_join
 from assaykit.schemas import COCO_FILE
 
@@ -26,7 +26,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         .option("pathGlobFilter", "*.json")
         .json(path)
     )
-    located = raw.withColumn("json_path", F.col("_metadata.file_path"))
+    located = raw.withColumn("json_path", file_path())
     return located.where("images IS NOT NULL AND annotations IS NOT NULL").withColumn(
         "dataset_id", parent(F.col("json_path"))
     )

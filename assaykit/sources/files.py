@@ -11,22 +11,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.functions.paths import basename, escapes_root, parent
 from assaykit.functions.hashing import sha256
+from assaykit.functions.paths import basename, escapes_root, parent, uniform
 
 HEAD_BYTES = 512
 
 
+def _contents(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    )
+    return files.withColumn("path", uniform(F.col("path")))
+
+
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Paths and sizes of all files under ``path``; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "length", "modificationTime")
+    return _contents(spark, path, pattern).select("path", "length", "modificationTime")
 
 
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """SHA-256 of every file (up to 2 GB each)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "length", sha256(F.col("content")).alias("sha256"))
+    return _contents(spark, path, pattern).select("path", "length", sha256(F.col("content")).alias("sha256"))
 
 
 def detect_formats(spark: SparkSession, path: str) -> DataFrame:
@@ -36,9 +41,8 @@ def detect_formats(spark: SparkSession, path: str) -> DataFrame:
     or classes.txt file, or images and labels folders together, mean YOLO.
     """
     names = listing(spark, path).select("path")
-    heads = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
-        .select("path", F.substring("content", 1, HEAD_BYTES).cast("string").alias("head"))
+    heads = _contents(spark, path, "*.json").select(
+        "path", F.substring("content", 1, HEAD_BYTES).cast("string").alias("head")
     )
     base = path.rstrip("/").removeprefix("file:")
 
@@ -87,10 +91,7 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
     One row per member, a few at a time. Members whose path climbs out of the archive are
     flagged; drop the whole archive with ``safe_archives``.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{zip,tar,gz}").load(path).select("path", "content")
-    )
+    files = _contents(spark, path, "*.{zip,tar,gz}").select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.functions import pixels
-from assaykit.functions.paths import IMAGE_EXTENSIONS
+from assaykit.functions.paths import IMAGE_EXTENSIONS, uniform
 from assaykit.sources.yolo import in_root
 
 FEATURES = (
@@ -31,7 +31,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
         .option("pathGlobFilter", _pattern()).load(path)
     )
     return raw.select(
-        F.col("image.origin").alias("image_path"), F.col("image.width").alias("width"),
+        uniform(F.col("image.origin")).alias("image_path"), F.col("image.width").alias("width"),
         F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.functions.columns import corner_box
-from assaykit.functions.paths import basename, batch_of, source_of, stem
+from assaykit.functions.paths import basename, batch_of, file_path, source_of, stem
 from assaykit.operators.skew import lookup_join
 
 
@@ -15,7 +15,7 @@ def _lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .text(path)
-        .select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("path"))
+        .select(F.trim("value").alias("line"), file_path().alias("path"))
     )
 
 
@@ -23,9 +23,8 @@ def _documents(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
-        .option("wholetext", True)
-        .text(path)
-        .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+        .text(path, wholetext=True)
+        .select(F.col("value").alias("text"), file_path().alias("path"))
     )
 
 
@@ -35,8 +34,8 @@ def label_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = _lines(spark, path, "*.txt").where(F.lower(basename(F.col("path"))) != "classes.txt")
     return lines.where(F.size(parts) >= 5).select(
         "path",
-        F.get(parts, F.lit(0)).cast("int").alias("class_id"),
-        *[F.get(parts, F.lit(i)).cast("double").alias(n) for i, n in enumerate(("xc", "yc", "w", "h"), start=1)],
+        F.get(parts, F.lit(0)).try_cast("int").alias("class_id"),
+        *[F.get(parts, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(("xc", "yc", "w", "h"), start=1)],
     )
 
 
@@ -46,7 +45,7 @@ def _unquoted(text: Column) -> Column:
 
 def names_from_lists(documents: DataFrame) -> DataFrame:
     """(path, class_id, class_name) from classes.txt documents: one name a line."""
-    names = F.filter(F.transform(F.split("text", "\r?\n"), F.trim), lambda n: n != "")
+    names = F.filter(F.transform(F.split("text", "\r?\n"), lambda s: F.trim(s)), lambda n: n != "")
     return documents.select("path", F.posexplode(names).alias("class_id", "class_name"))
 
 
@@ -59,7 +58,7 @@ def names_from_yaml(documents: DataFrame) -> DataFrame:
     inline = F.regexp_extract("text", r"(?s)names:\s*\[(.*?)\]", 1)
     inline_names = F.filter(F.transform(F.split(inline, ","), _unquoted), lambda n: n != "")
     block = F.regexp_extract("text", r"(?m)^[^\n]*names:[^\n]*\n((?:[ \t]*-[^\n]*\n?|[^\n#:]*:[^\n]*\n?)*)", 1)
-    lines = F.transform(F.split(block, "\n"), F.trim)
+    lines = F.transform(F.split(block, "\n"), lambda s: F.trim(s))
     entries = F.filter(lines, lambda s: s.startswith("-") | s.rlike(r"^\d+\s*:"))
     block_names = F.transform(
         entries,
