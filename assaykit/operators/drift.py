@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaykit.functions.kolmogorov import two_sample_p
 from assaykit.operators.scan import exact_quantiles, ordered_scan
-from assaykit.session import checkpointed
+from assaykit.session import checkpointed, pinned
 
 PSI_EPS = 1e-4
 JS_BINS = 14
@@ -88,72 +89,77 @@ def histogram_bin(value: Column, edges: Column) -> Column:
     )
 
 
-def psi(counts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Population stability index per feature: columns feature, psi."""
-    binned = counts.join(F.broadcast(edges), "feature").withColumn(
-        "bin", histogram_bin(F.col("value"), F.col("edges"))
+def joint_edges(ranges: DataFrame) -> DataFrame:
+    """Edges of equal bins over the joint range per feature; constant features give none."""
+    return ranges.where(F.col("hi") > F.col("lo")).select(
+        "feature",
+        F.transform(
+            F.sequence(F.lit(0), F.lit(JS_BINS)),
+            lambda i: F.when(i == JS_BINS, F.col("hi")).otherwise(
+                _single(F.col("lo") + i * ((F.col("hi") - F.col("lo")) / JS_BINS))
+            ),
+        ).alias("edges"),
+    )
+
+
+def histograms(counts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Both sides' counts per bin, empty bins included, for several binnings in one pass.
+
+    edges: feature, kind, edges (a few short arrays per feature). Gives feature, kind,
+    bin, bins, width, r, c and the totals sum_r, sum_c.
+    """
+    binned = counts.join(F.broadcast(edges), "feature").select(
+        "feature", "kind", histogram_bin(F.col("value"), F.col("edges")).alias("bin"), "n_ref", "n_cand"
     )
     per_bin = (
         binned.where(F.col("bin").isNotNull())
-        .groupBy("feature", "bin")
+        .groupBy("feature", "kind", "bin")
         .agg(F.sum("n_ref").alias("r"), F.sum("n_cand").alias("c"))
     )
-    # one row per feature and bin, so empty bins count too
-    grid = edges.select(
-        "feature",
-        F.explode(
-            F.when(F.size("edges") > 2, F.sequence(F.lit(0), F.size("edges") - 2)).otherwise(
-                F.array().cast("array<int>")
-            )
-        ).alias("bin"),
-        (F.size("edges") - 1).alias("bins"),
+    grid = edges.where(F.size("edges") > 1).select(
+        "feature", "kind", "edges", (F.size("edges") - 1).alias("bins"),
+        F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"),
     )
-    full = grid.join(per_bin, ["feature", "bin"], "left").fillna(0, ["r", "c"])
-    sums = full.groupBy("feature").agg(F.sum("r").alias("sum_r"), F.sum("c").alias("sum_c"))
+    width = F.get("edges", F.col("bin") + 1) - F.get("edges", F.col("bin"))
+    full = (
+        grid.withColumn("width", width)
+        .drop("edges")
+        .join(per_bin, ["feature", "kind", "bin"], "left")
+        .fillna(0, ["r", "c"])
+    )
+    # one row per feature, kind and bin from here on
+    whole = W.partitionBy("feature", "kind")
+    return full.withColumn("sum_r", F.sum("r").over(whole)).withColumn("sum_c", F.sum("c").over(whole))
+
+
+def psi(bins: DataFrame) -> DataFrame:
+    """Population stability index per feature; two edges or fewer count as no drift."""
     share_r = (F.col("r") + PSI_EPS) / (F.col("sum_r") + F.col("bins") * PSI_EPS)
     share_c = (F.col("c") + PSI_EPS) / (F.col("sum_c") + F.col("bins") * PSI_EPS)
     value = F.sum((share_c - share_r) * F.log(share_c / share_r))
     return (
-        full.join(F.broadcast(sums), "feature")
+        bins.where((F.col("kind") == "psi") & (F.col("bins") > 1))
         .groupBy("feature")
         .agg(F.least(F.greatest(value, F.lit(0.0)), F.lit(10.0)).alias("psi"))
     )
 
 
-def jensen_shannon(counts: DataFrame, ranges: DataFrame) -> DataFrame:
+def jensen_shannon(bins: DataFrame) -> DataFrame:
     """Jensen-Shannon distance per feature over equal bins of the joint range."""
-    edges = ranges.where(F.col("hi") > F.col("lo")).select(
-        "feature",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(JS_BINS)),
-            lambda i: F.when(i == JS_BINS, F.col("hi")).otherwise(
-                _single(F.col("lo") + i * ((F.col("hi") - F.col("lo")) / JS_BINS))
-            ),
-        ).alias("edges"),
-    )
-    binned = counts.join(F.broadcast(edges), "feature").withColumn(
-        "bin", histogram_bin(F.col("value"), F.col("edges"))
-    )
-    per_bin = binned.groupBy("feature", "bin").agg(F.sum("n_ref").alias("r"), F.sum("n_cand").alias("c"))
-    grid = edges.select("feature", "edges", F.explode(F.sequence(F.lit(0), F.lit(JS_BINS - 1))).alias("bin"))
-    width = F.get("edges", F.col("bin") + 1) - F.get("edges", F.col("bin"))
-    full = (
-        grid.withColumn("width", width).join(per_bin, ["feature", "bin"], "left").fillna(0, ["r", "c"])
-    )
-    totals = full.groupBy("feature").agg(F.sum("r").alias("sum_r"), F.sum("c").alias("sum_c"))
-    dense = full.join(F.broadcast(totals), "feature").select(
+    dense = bins.where(F.col("kind") == "js").select(
         "feature",
         (F.try_divide(F.col("r") / F.col("width"), F.col("sum_r")) + JS_EPS).alias("p"),
         (F.try_divide(F.col("c") / F.col("width"), F.col("sum_c")) + JS_EPS).alias("q"),
     )
-    scale = dense.groupBy("feature").agg(F.sum("p").alias("sum_p"), F.sum("q").alias("sum_q"))
-    p, q = F.col("p") / F.col("sum_p"), F.col("q") / F.col("sum_q")
+    whole = W.partitionBy("feature")
+    scaled = dense.select(
+        "feature", (F.col("p") / F.sum("p").over(whole)).alias("p"), (F.col("q") / F.sum("q").over(whole)).alias("q")
+    )
+    p, q = F.col("p"), F.col("q")
     middle = (p + q) / 2
     divergence = F.sum(p * F.log(p / middle) + q * F.log(q / middle)) / 2
-    return (
-        dense.join(F.broadcast(scale), "feature")
-        .groupBy("feature")
-        .agg(F.sqrt(F.greatest(divergence, F.lit(0.0))).alias("jensen_shannon_divergence"))
+    return scaled.groupBy("feature").agg(
+        F.sqrt(F.greatest(divergence, F.lit(0.0))).alias("jensen_shannon_divergence")
     )
 
 
@@ -170,12 +176,13 @@ def drift_metrics(
     Metrics are unrounded. A feature with fewer than two values on a side gives zeros
     and p = 1.
     """
-    scanned = checkpointed(scanned_counts(value_counts(reference, candidate, features)))
+    counts = checkpointed(value_counts(reference, candidate, features))
+    scanned = checkpointed(scanned_counts(counts))
     # an empty side has no distribution: its statistics are null here and zero below
     cdf_gap = F.abs(
         F.try_divide("upto_ref", "total_ref") - F.try_divide("upto_cand", "total_cand")
     )
-    basic = scanned.groupBy("feature").agg(
+    basic = pinned(scanned.groupBy("feature").agg(
         F.max("total_ref").alias("n_ref"),
         F.max("total_cand").alias("n_cand"),
         F.max(cdf_gap).alias("ks_statistic"),
@@ -184,13 +191,14 @@ def drift_metrics(
         F.max("value").alias("hi"),
         F.try_divide(F.sum(F.col("value") * F.col("n_ref")), F.max("total_ref")).alias("reference_mean"),
         F.try_divide(F.sum(F.col("value") * F.col("n_cand")), F.max("total_cand")).alias("candidate_mean"),
+    ))
+    edges = psi_edges(scanned, bins).select("feature", F.lit("psi").alias("kind"), "edges").unionByName(
+        joint_edges(basic).select("feature", F.lit("js").alias("kind"), "edges")
     )
-    # every table joined below has one row per feature name given
-    joined = (
-        basic.join(F.broadcast(psi(scanned, psi_edges(scanned, bins))), "feature", "left")
-        .join(
-            F.broadcast(jensen_shannon(scanned, basic.select("feature", "lo", "hi"))), "feature", "left"
-        )
+    binned = pinned(histograms(counts, pinned(edges)))
+    # every table joined here has one row per feature name given
+    joined = basic.join(F.broadcast(psi(binned)), "feature", "left").join(
+        F.broadcast(jensen_shannon(binned)), "feature", "left"
     )
     enough = (F.col("n_ref") >= 2) & (F.col("n_cand") >= 2)
 
@@ -255,5 +263,5 @@ def drift_report(
     reference: DataFrame, candidate: DataFrame, features: list[str], operational: tuple[str, ...] = OPERATIONAL
 ) -> tuple[DataFrame, DataFrame]:
     """Per-feature metrics and the one-row shift classification over them."""
-    metrics = checkpointed(drift_metrics(reference, candidate, features))
+    metrics = pinned(drift_metrics(reference, candidate, features))
     return metrics, classify_shift(metrics, operational)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaykit.functions.hashing import sha256
 from assaykit.functions.times import iso_micros
 from assaykit.operators.scan import ordered_scan
 from assaykit.operators.skew import lookup_join
@@ -24,45 +25,58 @@ REUSE_RULES = {
     "SEQUENCE_REUSED": ["sequence"],
     "PAYLOAD_REPEATED": PAYLOAD_KEY,
 }
+SAME_ID = "DUPLICATE_RECORD_ID"
+KEYS = {SAME_ID: ["record_id"], **REUSE_RULES}
 
 
 def _tagged(rows: DataFrame, rule: str, prior) -> DataFrame:
     return rows.select("arrival", F.lit(rule).alias("rule"), prior.alias("prior_record"))
 
 
-def reused_under_other_id(log: DataFrame, key: list[str], rule: str) -> DataFrame:
-    """Rows whose key value arrived earlier under another record id."""
-    known = log.dropna(subset=key)
-    firsts = known.groupBy(*key, "record_id").agg(F.min("arrival").alias("at"))
-    leaders = (
-        firsts.groupBy(*key)
-        .agg(F.min(F.struct("at", "record_id")).alias("lead"), F.count(F.lit(1)).alias("ids"))
-        .where("ids > 1")
-        .select(*key, "lead")
+def keyed_rows(log: DataFrame) -> DataFrame:
+    """One row per record and rule: rule, key, arrival, record_id. Null keys are left out."""
+    cells = []
+    for rule, columns in KEYS.items():
+        known = F.lit(True)
+        for column in columns:
+            known = known & F.col(column).isNotNull()
+        text = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+        # a digest keeps long compound keys short in the shuffle
+        key = text if len(columns) == 1 else sha256(text)
+        cells.append(F.when(known, F.struct(F.lit(rule).alias("rule"), key.alias("key"))))
+    opened = log.select("arrival", "record_id", F.explode(F.array_compact(F.array(*cells))).alias("k"))
+    return opened.select("k.rule", "k.key", "arrival", "record_id")
+
+
+def repeats(log: DataFrame) -> DataFrame:
+    """Reasons of all rules about a value seen earlier, in one pass over the log.
+
+    A repeated record id counts by itself; a nonce, sequence or payload counts when it was
+    used under another record id.
+    """
+    rows = keyed_rows(log)
+    on = ["rule", "key"]
+    firsts = rows.groupBy(*on, "record_id").agg(
+        F.min("arrival").alias("at"), F.count(F.lit(1)).alias("n")
     )
-    leaders = checkpointed(leaders)
-    second = (
-        lookup_join(firsts, leaders, key, "inner")
-        .where(F.col("record_id") != F.col("lead.record_id"))
-        .groupBy(*key)
-        .agg(F.min(F.struct("at", "record_id")).alias("next"))
+    leaders = checkpointed(
+        firsts.groupBy(*on)
+        .agg(F.min(F.struct("at", "record_id")).alias("lead"), F.count(F.lit(1)).alias("ids"), F.sum("n").alias("n"))
+        .where((F.col("ids") > 1) | ((F.col("rule") == SAME_ID) & (F.col("n") > 1)))
+        .select(*on, "lead")
     )
-    seen = checkpointed(leaders.join(second, key))
-    own = F.col("record_id") == F.col("lead.record_id")
-    prior = F.when(own, F.col("next")).otherwise(F.col("lead"))
-    hits = lookup_join(known, seen, key, "inner").withColumn("prior", prior)
-    return _tagged(hits.where(F.col("prior.at") < F.col("arrival")), rule, F.col("prior.record_id"))
-
-
-def repeated_ids(log: DataFrame) -> DataFrame:
-    """Rows whose record id arrived before."""
-    firsts = (
-        log.groupBy("record_id")
-        .agg(F.min("arrival").alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
+    hits = lookup_join(rows, leaders, on, "inner")
+    others = checkpointed(
+        hits.where(F.col("record_id") != F.col("lead.record_id"))
+        .groupBy(*on)
+        .agg(F.min(F.struct(F.col("arrival").alias("at"), "record_id")).alias("next"))
     )
-    hits = lookup_join(log, checkpointed(firsts), ["record_id"], "inner")
-    return _tagged(hits.where(F.col("arrival") > F.col("first")), "DUPLICATE_RECORD_ID", F.col("record_id"))
+    own = (F.col("record_id") == F.col("lead.record_id")) & (F.col("rule") != SAME_ID)
+    judged = lookup_join(hits, others, on).withColumn(
+        "prior", F.when(own, F.col("next")).otherwise(F.col("lead"))
+    )
+    late = judged.where(F.col("prior.at") < F.col("arrival"))
+    return late.select("arrival", "rule", F.col("prior.record_id").alias("prior_record"))
 
 
 def sequence_regressions(log: DataFrame, stream: list[str] | None = None) -> DataFrame:
@@ -85,7 +99,7 @@ def timestamp_anomalies(log: DataFrame, now_us: int) -> DataFrame:
 
 def settle_reasons(reasons: DataFrame) -> DataFrame:
     """Drop a sequence regression where the record id itself was a repeat."""
-    repeats = reasons.where(F.col("rule") == "DUPLICATE_RECORD_ID").select(
+    repeats = reasons.where(F.col("rule") == SAME_ID).select(
         "arrival", F.lit("SEQUENCE_REGRESSION").alias("rule")
     )
     return reasons.join(repeats, ["arrival", "rule"], "left_anti")
@@ -93,8 +107,7 @@ def settle_reasons(reasons: DataFrame) -> DataFrame:
 
 def replay_reasons(log: DataFrame, now_us: int | None = None, stream: list[str] | None = None) -> DataFrame:
     """All replay reasons: (arrival, rule, prior_record)."""
-    parts = [repeated_ids(log), sequence_regressions(log, stream)]
-    parts += [reused_under_other_id(log, key, rule) for rule, key in REUSE_RULES.items()]
+    parts = [repeats(log), sequence_regressions(log, stream)]
     if now_us is not None:
         parts.append(timestamp_anomalies(log, now_us))
     reasons = parts[0]

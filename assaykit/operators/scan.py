@@ -86,10 +86,13 @@ def ordered_scan(
         per_bucket.append(F.sum(column).alias(f"_s_{out}"))
     for out, column in max_before.items():
         per_bucket.append(F.max(column).alias(f"_m_{out}"))
+    # a plain min or max keeps the aggregation on hashing; min_by of text has to sort
     for out, column in previous.items():
-        per_bucket.append(F.max_by(F.struct(F.col(column).alias("v")), order).alias(f"_p_{out}"))
+        last = F.max(order) if column == order else F.max_by(column, order)
+        per_bucket.append(last.alias(f"_p_{out}"))
     for out, column in following.items():
-        per_bucket.append(F.min_by(F.struct(F.col(column).alias("v")), order).alias(f"_f_{out}"))
+        first = F.min(order) if column == order else F.min_by(column, order)
+        per_bucket.append(first.alias(f"_f_{out}"))
     summary = cut.groupBy(*group).agg(*per_bucket)
 
     # at most one row per bucket in each window below
@@ -112,16 +115,18 @@ def ordered_scan(
     upto = local.rowsBetween(W.unboundedPreceding, 0)
     before = local.rowsBetween(W.unboundedPreceding, -1)
     step = [F.col(c) for c in df.columns] + [F.col("_bucket")]
-    if index:
+    if index or previous:
         step.append(F.row_number().over(local).alias("_w_index"))
+    if following:
+        step.append(F.lead(F.lit(True)).over(local).alias("_w_more"))
     for out, column in sums.items():
         step.append(F.sum(column).over(upto).alias(f"_w_{out}"))
     for out, column in max_before.items():
         step.append(F.max(column).over(before).alias(f"_w_{out}"))
     for out, column in previous.items():
-        step.append(F.lag(F.struct(F.col(column).alias("v"))).over(local).alias(f"_w_{out}"))
+        step.append(F.lag(column).over(local).alias(f"_w_{out}"))
     for out, column in following.items():
-        step.append(F.lead(F.struct(F.col(column).alias("v"))).over(local).alias(f"_w_{out}"))
+        step.append(F.lead(column).over(local).alias(f"_w_{out}"))
     scanned = cut.select(*step).join(carried, group)
 
     final = [F.col(c) for c in df.columns]
@@ -134,9 +139,11 @@ def ordered_scan(
     for out in max_before:
         final.append(F.greatest(F.col(f"_b_{out}"), F.col(f"_w_{out}")).alias(out))
     for out in previous:
-        final.append(F.coalesce(F.col(f"_w_{out}"), F.col(f"_l_{out}"))["v"].alias(out))
+        at_start = F.col("_w_index") == 1
+        final.append(F.when(at_start, F.col(f"_l_{out}")).otherwise(F.col(f"_w_{out}")).alias(out))
     for out in following:
-        final.append(F.coalesce(F.col(f"_w_{out}"), F.col(f"_d_{out}"))["v"].alias(out))
+        at_end = F.col("_w_more").isNull()
+        final.append(F.when(at_end, F.col(f"_d_{out}")).otherwise(F.col(f"_w_{out}")).alias(out))
     return scanned.select(*final)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaykit.session import checkpointed
+
 BROADCAST_ROWS = 200_000
 HEAVY_SHARE = 1 / 1000
 
@@ -64,8 +66,10 @@ def chunked_lists(
     chunk 0; a larger one is spread by hash over as many rows as it needs, so no task
     ever holds a whole hot key and nothing is left out.
     """
-    sizes = df.groupBy(*keys).count().where(F.col("count") > size).select(
-        *keys, F.ceil(F.col("count") / F.lit(size / 2)).cast("int").alias("_chunks")
+    sizes = checkpointed(
+        df.groupBy(*keys).count().where(F.col("count") > size).select(
+            *keys, F.ceil(F.col("count") / F.lit(size / 2)).cast("int").alias("_chunks")
+        )
     )
     spread = lookup_join(df, sizes, keys, "left")
     seed = F.xxhash64(F.col(tie or value))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,13 +48,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back from there.
+    """Write ``df`` as a table in the shared checkpoint folder and read it back from there.
 
-    Used where a result feeds several later passes: it is computed once, and an
-    executor lost afterwards costs a file read instead of a recomputation.
+    Used where a result feeds several later passes: it is computed once, an executor lost
+    afterwards costs a file read instead of a recomputation, and as parquet it is read by
+    column with known sizes, which lets Spark choose joins from facts.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """Evaluate a table that has few rows by construction (per feature, per bin, per
+    cluster cell) and keep it as a local relation. Never for tables that grow with data."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from assaykit.operators.provenance import check_records, record_flags, with_replays
-from assaykit.operators.replay import REUSE_RULES, replayed_arrivals, settle_reasons
+from assaykit.operators.replay import SAME_ID, keyed_rows, replayed_arrivals, settle_reasons
 from assaykit.streaming.sources import use_rocksdb
 
 REASONS = "arrival BIGINT, rule STRING, prior_record STRING"
@@ -54,7 +54,7 @@ class SeenBefore(StatefulProcessor):
             if first is None:
                 first = record
                 continue
-            if rule == "DUPLICATE_RECORD_ID":
+            if rule == SAME_ID:
                 found.append((arrival, rule, record))
                 continue
             prior = other if record == first else first
@@ -91,18 +91,6 @@ class SequenceHead(StatefulProcessor):
         pass
 
 
-def keyed_rows(log: DataFrame) -> DataFrame:
-    """One row per record and rule: rule, key, arrival, record_id."""
-    rules = {"DUPLICATE_RECORD_ID": ["record_id"], **REUSE_RULES}
-    cells = [
-        F.struct(F.lit(rule).alias("rule"), F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).alias("key"))
-        for rule, columns in rules.items()
-    ]
-    return log.select("arrival", "record_id", F.explode(F.array(*cells)).alias("k")).select(
-        "k.rule", "k.key", "arrival", "record_id"
-    )
-
-
 def replay_reasons(log: DataFrame, stream: str | None = None, ttl_ms: int | None = None) -> DataFrame:
     """Streaming replay reasons: arrival, rule, prior_record.
 
