@@ -31,8 +31,7 @@ def star_clusters(
     links: (a, b) with a < b, each pair once; weights: (node, weight) of the nodes with
     weight above 1; members: optional (clique, node), all members mutual neighbours.
     """
-    spark = links.sparkSession
-    heavy = checkpointed(weights.where("weight > 1").select("node", "weight"))
+    heavy = weights.where("weight > 1").select("node", "weight")
     live = _weigh(_weigh(links, heavy, "a", "wa"), heavy, "b", "wb").withColumn("a_seed", F.lit(False))
     live = checkpointed(live)
     crowd = None
@@ -40,16 +39,14 @@ def star_clusters(
         crowd = checkpointed(
             _weigh(members, heavy, "node", "w").withColumn("seed", F.lit(False))
         )
-    claimed, seeds = [], []
+    settled = []
     while True:
         left = live.limit(tail_rows + 1).count()
         crowded = crowd.limit(tail_rows + 1).count() if crowd is not None else 0
         if left == 0 and crowded == 0:
             break
         if left + crowded <= tail_rows:
-            tail = checkpointed(_finish(live, crowd, min_size))
-            claimed.append(tail.where("node <> seed"))
-            seeds.append(tail.where("node = seed").select("node"))
+            settled.append(_finish(live, crowd, min_size))
             break
         edges = live
         if crowd is not None:
@@ -58,21 +55,21 @@ def star_clusters(
             if edges.limit(1).count() == 0:
                 break
         updates = checkpointed(_decide(edges, min_size))
-        claimed.append(updates.where("state = 'claimed'").select("node", "seed"))
-        seeds.append(updates.where("state = 'seed'").select("node"))
+        settled.append(updates.where("state IN ('claimed', 'seed')").select("node", "seed"))
         live = checkpointed(_advance(live, updates))
         if crowd is not None:
             crowd = checkpointed(_advance_crowd(crowd, updates))
-    empty = spark.createDataFrame([], "node BIGINT, seed BIGINT")
-    taken, found = empty, empty.select("node")
-    for part in claimed:
-        taken = taken.unionByName(part.select("node", "seed"))
-    for part in seeds:
+    own = F.col("node").alias("seed")
+    if not settled:
+        return heavy.where(F.col("weight") >= min_size).select("node", own)
+    found = settled[0]
+    for part in settled[1:]:
         found = found.unionByName(part)
+    # a seed may be reported again by the last step
+    found = checkpointed(found.distinct())
     # a heavy node nobody claimed is a cluster on its own
-    alone = heavy.where(F.col("weight") >= min_size).select("node")
-    found = found.unionByName(alone.join(taken, "node", "left_anti")).distinct()
-    return taken.unionByName(found.select("node", F.col("node").alias("seed")))
+    alone = heavy.where(F.col("weight") >= min_size).join(found.select("node"), "node", "left_anti")
+    return found.unionByName(alone.select("node", own))
 
 
 def _weigh(rows: DataFrame, heavy: DataFrame, node: str, out: str) -> DataFrame:
@@ -185,7 +182,7 @@ def _finish(live: DataFrame, crowd: DataFrame | None, min_size: int) -> DataFram
 
 def expand(members: DataFrame, assigned: DataFrame) -> DataFrame:
     """Clustered rows with their ``seed``."""
-    return lookup_join(members, checkpointed(assigned), ["node"], "inner")
+    return lookup_join(members, assigned, ["node"], "inner")
 
 
 def connected(links: DataFrame, max_rounds: int = 50) -> DataFrame:

@@ -52,20 +52,21 @@ def fine_masks(distance: int) -> list[list[int]]:
 
 
 def _literal(masks) -> Column:
-    return F.array(*[_literal(m) if isinstance(m, list) else F.lit(m).cast("long") for m in masks])
+    def text(m) -> str:
+        return f"array({', '.join(map(text, m))})" if isinstance(m, list) else f"{m}L"
+
+    return F.expr(text(masks))
 
 
 def _keyed(nodes: DataFrame, distance: int) -> DataFrame:
     """One row per node and band pair; ``i``/``j`` say which bands, ``s``/``u`` = -1."""
     masks = band_masks(distance)
-    cells = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                 F.xxhash64(F.lit(i), F.lit(j), F.col("h1").bitwiseAND(F.lit(p).cast("long")),
-                            F.col("h2").bitwiseAND(F.lit(q).cast("long"))).alias("key"))
+    cells = ", ".join(
+        f"struct({i} AS i, {j} AS j, xxhash64({i}, {j}, h1 & {p}L, h2 & {q}L) AS key)"
         for i, p in enumerate(masks)
         for j, q in enumerate(masks)
-    ]
-    return nodes.select("node", "h1", "h2", F.explode(F.array(*cells)).alias("c")).select(
+    )
+    return nodes.select("node", "h1", "h2", F.expr(f"explode(array({cells}))").alias("c")).select(
         "node", "h1", "h2", "c.i", "c.j", F.lit(-1).alias("s"), F.lit(-1).alias("u"), "c.key"
     )
 
@@ -118,10 +119,10 @@ def near_links(
     Pairs inside a clique are not listed; cliques is None unless some key is crowded.
     """
     keyed = _keyed(nodes, distance)
-    crowded = checkpointed(pairs.dense_keys(keyed, keyed, tile_rows))
+    crowded = pairs.dense_keys(keyed, keyed, tile_rows)
     if crowded.limit(1).count() == 0:
         return pairs.near_pairs(keyed, keyed, _match(distance)), None
-    marked = lookup_join(keyed, crowded.select("key", F.lit(True).alias("hot")), ["key"])
+    marked = lookup_join(keyed, checkpointed(crowded).select("key", F.lit(True).alias("hot")), ["key"])
     fine = _refined(marked.where("hot"), distance)
     keyed = checkpointed(marked.where("hot IS NULL").drop("hot").unionByName(fine))
     crowded = checkpointed(pairs.dense_keys(keyed, keyed, tile_rows))
@@ -154,7 +155,6 @@ def near_duplicates(
     """
     known = rows.dropna(subset=["h1", "h2"])
     nodes, members = pairs.collapse_copies(known, ["h1", "h2"], min_size)
-    nodes, members = checkpointed(nodes), checkpointed(members)
     links, crowd = near_links(nodes, max_distance(similarity), tile_rows)
     weights = nodes.select("node", "weight")
     if mode == "stars":

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.hashing import ledger_hash
 from assaykit.operators.scan import ordered_scan
+from assaykit.session import checkpointed
 
 GENESIS = "0" * 64
 PAYLOAD = ["timestamp", "actor", "action", "asset", "metadata_json"]
@@ -60,13 +61,14 @@ def entry_hash() -> F.Column:
 
 
 def check_entries(events: DataFrame) -> DataFrame:
-    """Every entry with its index, the hash expected before it, and what is broken.
+    """Every entry with its index, the hash expected before it, whether it is the head of
+    its chain, and what is broken.
 
     ``broken`` is LINK, CONTENT or null; the link is checked first. Uses the stored
     hashes, so all rows of all chains are checked in parallel.
     """
     scanned = ordered_scan(
-        events, ["chain"], "seq", previous={"_before": "current_hash"}, index="index"
+        events, ["chain"], "seq", previous={"_before": "current_hash"}, following={"_next": "seq"}, index="index"
     )
     # the row itself always exists, so a missing predecessor is the genesis position
     expected = F.when(F.col("index") == 0, GENESIS).otherwise(F.col("_before"))
@@ -74,34 +76,39 @@ def check_entries(events: DataFrame) -> DataFrame:
     intact = F.col("current_hash").eqNullSafe(entry_hash())
     return (
         scanned.withColumn("expected_previous", expected)
-        .drop("_before")
+        .withColumn("is_head", F.col("_next").isNull())
+        .drop("_before", "_next")
         .withColumn("broken", F.when(~linked, "LINK").when(~intact, "CONTENT"))
     )
 
 
 def verify(events: DataFrame) -> DataFrame:
     """One row per chain: VALID or TAMPERED, first break, length and head hash."""
-    checked = check_entries(events)
-    first = F.min_by(
-        F.struct(F.col("index"), F.col("seq"), F.col("broken")),
-        F.when(F.col("broken").isNotNull(), F.col("seq")),
+    checked = checkpointed(
+        check_entries(events).select(
+            "chain", "seq", "index", "broken", F.when(F.col("is_head"), F.col("current_hash")).alias("head")
+        )
+    )
+    lengths = checked.groupBy("chain").agg(F.count(F.lit(1)).alias("total_events"))
+    # only broken entries and heads, not the whole log, meet the struct and text aggregates
+    breaks = (
+        checked.where("broken IS NOT NULL")
+        .groupBy("chain")
+        .agg(F.min(F.struct("seq", "index", "broken")).alias("first"))
     )
+    ends = checked.where("head IS NOT NULL").select("chain", "head")
+    broken = F.col("first").isNotNull()
     return (
-        checked.groupBy("chain")
-        .agg(
-            F.count(F.lit(1)).alias("total_events"),
-            F.count_if(F.col("broken").isNotNull()).alias("_bad"),
-            first.alias("_first"),
-            F.max_by("current_hash", "seq").alias("_head"),
-        )
+        lengths.join(breaks, "chain", "left")
+        .join(ends, "chain", "left")
         .select(
             "chain",
-            F.when(F.col("_bad") > 0, "TAMPERED").otherwise("VALID").alias("status"),
+            F.when(broken, "TAMPERED").otherwise("VALID").alias("status"),
             "total_events",
-            F.when(F.col("_bad") > 0, F.col("_first.index")).alias("broken_index"),
-            F.when(F.col("_bad") > 0, F.col("_first.seq")).alias("broken_seq"),
-            F.when(F.col("_bad") > 0, F.col("_first.broken")).alias("broken_kind"),
-            F.when(F.col("_bad") == 0, F.col("_head")).alias("head_hash"),
+            F.col("first.index").alias("broken_index"),
+            F.col("first.seq").alias("broken_seq"),
+            F.col("first.broken").alias("broken_kind"),
+            F.when(~broken, F.col("head")).alias("head_hash"),
         )
     )
 

@@ -100,14 +100,17 @@ def collapse_copies(rows: DataFrame, keys: list[str], min_size: int) -> tuple[Da
 
     ``rows`` has a unique ``ord``. Returns nodes (node, weight, keys) and members
     (rows plus ``node``). A group that large always ends up in one cluster, so folding it
-    changes no result, and N copies cost N rows instead of N*N pairs.
+    changes no result, and N copies cost N rows instead of N*N pairs. Both results are
+    read from stored tables.
     """
     floods = checkpointed(
         rows.groupBy(*keys)
         .agg(F.min("ord").alias("_node"), F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") >= min_size)
     )
-    members = lookup_join(rows, floods, keys).withColumn("node", F.coalesce("_node", "ord"))
+    members = checkpointed(
+        lookup_join(rows, floods, keys).withColumn("node", F.coalesce("_node", "ord"))
+    )
     singles = members.where(F.col("_node").isNull()).select("node", F.lit(1).cast("long").alias("weight"), *keys)
     folded = floods.select(F.col("_node").alias("node"), F.col("_n").alias("weight"), *keys)
     return singles.unionByName(folded), members.drop("_node", "_n")

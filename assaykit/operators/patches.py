@@ -72,11 +72,12 @@ def similar_links(
             total = total + (a(n) - b(n)) * (a(n) - b(n))
         return total <= radius * radius + EPS
 
-    crowded = checkpointed(pairs.dense_keys(own, reach, tile_rows))
+    crowded = pairs.dense_keys(own, reach, tile_rows)
     members = None
     if crowded.limit(1).count() == 0:
         found = pairs.near_pairs(own, reach, close)
     else:
+        crowded = checkpointed(crowded)
         # cliques need the exact distance to the pivot, so the vectors come along here
         whole_own = placed.select(*light, "vec", cell((0,) * len(axes)).alias("key"))
         whole_reach = placed.select(*light, "vec", F.explode(F.array(*[cell(s) for s in shifts])).alias("key"))
@@ -117,7 +118,7 @@ def patch_clusters(
     as are centre clusters of a single label.
     """
     nodes, members = pairs.collapse_copies(patches, ["region", "vec"], min_size)
-    nodes, members = checkpointed(nodes), checkpointed(members.drop("vec"))
+    members = members.drop("vec")
     links, crowd = similar_links(nodes, similarity, tile_rows)
     assigned = clusters.star_clusters(links, nodes.select("node", "weight"), min_size, crowd, tail_rows)
     return kept_clusters(clusters.expand(members, assigned), population, max_fraction)

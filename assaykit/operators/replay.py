@@ -56,23 +56,28 @@ def repeats(log: DataFrame) -> DataFrame:
     """
     rows = keyed_rows(log)
     on = ["rule", "key"]
-    firsts = rows.groupBy(*on, "record_id").agg(
-        F.min("arrival").alias("at"), F.count(F.lit(1)).alias("n")
+    # numbers only, so the pass over the whole log aggregates by hashing; two digests of
+    # the id tell whether a key was used under more than one
+    spans = []
+    for seed in (1, 2):
+        digest = F.xxhash64("record_id", F.lit(seed))
+        spans += [F.min(digest).alias(f"lo{seed}"), F.max(digest).alias(f"hi{seed}")]
+    mixed = (F.col("lo1") != F.col("hi1")) | (F.col("lo2") != F.col("hi2"))
+    repeated = checkpointed(
+        rows.groupBy(*on)
+        .agg(F.count(F.lit(1)).alias("n"), *spans)
+        .where(mixed | ((F.col("rule") == SAME_ID) & (F.col("n") > 1)))
+        .select(*on)
     )
-    leaders = checkpointed(
-        firsts.groupBy(*on)
-        .agg(F.min(F.struct("at", "record_id")).alias("lead"), F.count(F.lit(1)).alias("ids"), F.sum("n").alias("n"))
-        .where((F.col("ids") > 1) | ((F.col("rule") == SAME_ID) & (F.col("n") > 1)))
-        .select(*on, "lead")
-    )
-    hits = lookup_join(rows, leaders, on, "inner")
+    hits = checkpointed(lookup_join(rows, repeated, on, "inner"))
+    first = F.min(F.struct(F.col("arrival").alias("at"), "record_id"))
+    leaders = checkpointed(hits.groupBy(*on).agg(first.alias("lead")))
+    led = lookup_join(hits, leaders, on, "inner")
     others = checkpointed(
-        hits.where(F.col("record_id") != F.col("lead.record_id"))
-        .groupBy(*on)
-        .agg(F.min(F.struct(F.col("arrival").alias("at"), "record_id")).alias("next"))
+        led.where(F.col("record_id") != F.col("lead.record_id")).groupBy(*on).agg(first.alias("next"))
     )
     own = (F.col("record_id") == F.col("lead.record_id")) & (F.col("rule") != SAME_ID)
-    judged = lookup_join(hits, others, on).withColumn(
+    judged = lookup_join(led, others, on).withColumn(
         "prior", F.when(own, F.col("next")).otherwise(F.col("lead"))
     )
     late = judged.where(F.col("prior.at") < F.col("arrival"))
