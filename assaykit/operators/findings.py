@@ -126,6 +126,7 @@ def asset_risk(findings: DataFrame, assets: DataFrame | None = None) -> DataFram
         .when(review, "MEDIUM")
         .otherwise("LOW")
     )
+    # Wording of the explanation.
     explanation = F.when(
         F.col("findings") == 0, "No integrity violations or anomalies detected."
     ).otherwise(

@@ -66,6 +66,7 @@ def label_suspects(neighbours: DataFrame) -> DataFrame:
 
 def suspect_reason(source: str, assigned: str, consensus: str, rate: str):
     """Reason text of a flagged row."""
+    # Wording of the reason.
     percent = F.floor(F.round(F.col(rate) * 100, 6)).cast("int").cast("string")
     return F.concat(
         F.lit("Sample label '"), F.col(assigned).cast("string"), F.lit("' disagrees with "), percent,

@@ -44,28 +44,30 @@ def suspicion_reasons(flagged: DataFrame) -> DataFrame:
     return flagged.withColumn("anomaly_reasons", reasons)
 
 
-def group_risk(flagged: DataFrame) -> DataFrame:
-    """Suspicious share of every batch and contributor inside its source.
+def risk_cells(flagged: DataFrame) -> DataFrame:
+    """Counts per (source, batch, contributor): all that the roll-ups read."""
+    return flagged.groupBy("source_id", "batch_id", "contributor").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("is_suspicious").alias("bad"),
+        *[F.count_if(k).alias(k) for k in ANOMALY_KINDS],
+    )
 
-    Long form: source_id, level, member, total, suspicious, ratio, is_anomalous.
-    Both levels come out of one scan with grouping sets.
-    """
-    member = F.coalesce(F.col("batch_id"), F.col("contributor"))
-    grouped = flagged.groupingSets(
+
+def _group_risk(cells: DataFrame) -> DataFrame:
+    grouped = cells.groupingSets(
         [["source_id", "batch_id"], ["source_id", "contributor"]],
         "source_id",
         "batch_id",
         "contributor",
     ).agg(
-        F.grouping("batch_id").alias("_no_batch"),
-        F.count(F.lit(1)).alias("total"),
-        F.count_if("is_suspicious").alias("suspicious"),
+        F.grouping("batch_id").alias("_no_batch"), F.sum("n").alias("total"), F.sum("bad").alias("suspicious")
     )
     ratio = F.col("suspicious") / F.col("total")
+    by_contributor = F.col("_no_batch") == 1
     return grouped.select(
         "source_id",
-        F.when(F.col("_no_batch") == 1, "contributor").otherwise("batch").alias("level"),
-        member.alias("member"),
+        F.when(by_contributor, "contributor").otherwise("batch").alias("level"),
+        F.when(by_contributor, F.col("contributor")).otherwise(F.col("batch_id")).alias("member"),
         "total",
         "suspicious",
         ratio.alias("ratio"),
@@ -73,18 +75,30 @@ def group_risk(flagged: DataFrame) -> DataFrame:
     )
 
 
+def group_risk(flagged: DataFrame) -> DataFrame:
+    """Suspicious share of every batch and contributor inside its source.
+
+    Long form: source_id, level, member, total, suspicious, ratio, is_anomalous.
+    """
+    return _group_risk(risk_cells(flagged))
+
+
 def source_risk(flagged: DataFrame) -> DataFrame:
-    """One row per source: counts, score, level, disposition, anomalous member counts."""
-    # Reduced to (source, batch, contributor) once; every other level is built on that.
-    cells = flagged.groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("sample_count"),
-        F.count_if("is_suspicious").alias("suspicious_count"),
-        F.count_if("duplicate").alias("duplicate_clusters"),
-        F.count_if("ood").alias("ood_count"),
-        F.count_if("label").alias("label_anomalies"),
-        F.count_if("trigger").alias("trigger_count"),
+    """One row per source: counts, score, level, disposition, anomalous member counts.
+
+    The samples are reduced once, map-side first, to (source, batch, contributor); a source
+    holding a third of them is spread over its batches and contributors until then.
+    """
+    cells = risk_cells(flagged)
+    counts = cells.groupBy("source_id").agg(
+        F.sum("n").alias("sample_count"),
+        F.sum("bad").alias("suspicious_count"),
+        F.sum("duplicate").alias("duplicate_clusters"),
+        F.sum("ood").alias("ood_count"),
+        F.sum("label").alias("label_anomalies"),
+        F.sum("trigger").alias("trigger_count"),
     )
-    members = group_risk(flagged).groupBy("source_id").agg(
+    members = _group_risk(cells).groupBy("source_id").agg(
         F.count_if(F.col("is_anomalous") & (F.col("level") == "batch")).alias("anomalous_batches"),
         F.count_if(F.col("is_anomalous") & (F.col("level") == "contributor")).alias(
             "anomalous_contributors"
@@ -99,7 +113,7 @@ def source_risk(flagged: DataFrame) -> DataFrame:
         + F.col("trigger_count") * KIND_WEIGHTS["trigger"]
     )
     score = F.least(F.lit(100.0), F.round(weighted / total * 70.0 + ratio * 30.0, 1))
-    scored = cells.withColumn("risk_score", score).withColumn("_ratio", ratio)
+    scored = counts.withColumn("risk_score", score).withColumn("_ratio", ratio)
     critical = (F.col("risk_score") >= 70) | (F.col("trigger_count") >= 3)
     high = (F.col("risk_score") >= 35) | (F.col("_ratio") >= 0.15)
     medium = (F.col("risk_score") >= 15) | (F.col("_ratio") >= 0.05)

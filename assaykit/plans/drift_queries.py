@@ -130,6 +130,19 @@ def shift_class(t: Tables):
     return drift.drift_report(*_sides(t), FEATURES, ("quantity", "tax"))[1]
 
 
+@query("shift_findings", _ALL + """, v AS (
+  SELECT COUNT(*) FILTER (WHERE psi >= 0.2 OR ks >= 0.35) AS m,
+    bool_or((psi >= 0.2 OR ks >= 0.35) AND feature IN ('quantity', 'tax')) AS op FROM metrics)
+SELECT 'F-lineitem-001' AS finding_id, 'DISTRIBUTION_SHIFT' AS category, CASE WHEN m <= 2 THEN 'MEDIUM' ELSE 'HIGH' END AS severity,
+  m AS affected FROM v WHERE m > 0""")
+def shift_findings(t: Tables):
+    from assaykit.operators.generators import shift_findings as findings
+
+    shift = drift.drift_report(*_sides(t), FEATURES, ("quantity", "tax"))[1]
+    rows = findings(shift.withColumn("asset_id", F.lit("lineitem")), len(FEATURES))
+    return rows.select("finding_id", "category", "severity", "affected")
+
+
 @query("psi_edges", f"WITH {_COUNTS}, {_EDGES} SELECT feature, unnest(range(0, len(e))) AS position, unnest(e) AS edge FROM edges")
 def psi_edges(t: Tables):
     edges = drift.psi_edges(drift.scanned_counts(drift.value_counts(*_sides(t), FEATURES)))

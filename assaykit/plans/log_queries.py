@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaykit.functions.hashing import array_digest, canonical_json, canonical_object, sha256
+from assaykit.functions.ids import stable_id
 from assaykit.functions.times import iso_micros
 from assaykit.operators import ledger, provenance, replay, windows
 from assaykit.plans import derived as D
@@ -50,6 +51,11 @@ def clock_skew(t: Tables):
     return t.events.select("event_id", skew.alias("skew_seconds"), (skew > 300).alias("is_future"), us.isNull().alias("malformed"))
 
 
+@query("stable_ids", """SELECT event_id, 'EVT-' || upper(substr(sha256(user_id || '|' || event_id), 1, 12)) AS id FROM events""")
+def stable_ids(t: Tables):
+    return t.events.select("event_id", stable_id("EVT", F.col("user_id"), F.col("event_id")).alias("id"))
+
+
 # --- ledger -----------------------------------------------------------------------------
 
 

@@ -60,6 +60,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_checkpoints(spark: SparkSession) -> None:
+    """Delete this application's own tables from the checkpoint folder, at its end."""
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
+    if current:
+        path = context._jvm.org.apache.hadoop.fs.Path(current)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Evaluate a table that has few rows by construction (per feature, per bin, per
     cluster cell) and keep it as a local relation. Never for tables that grow with data."""

@@ -40,19 +40,19 @@ def attack(tmp_path_factory):
 
     for i in range(30):
         label = names[i % 3]
-        add("clean_samples", label, _scene(rng, label, i), "source_verified_1", "alice")
+        add("clean_samples", label, _scene(rng, label, i), "feed_clean", "alice")
     for i in range(5):
         shown = names[i % 3]
-        add("label_flip_samples", names[(i + 1) % 3], _scene(rng, shown, i), "source_rogue_3", "bad_actor_9")
+        add("label_flip_samples", names[(i + 1) % 3], _scene(rng, shown, i), "feed_rogue", "mallory")
     copied = _scene(rng, "vehicle", 0)
     for _ in range(5):
-        add("duplicate_flooding_samples", "vehicle", copied + rng.normal(0, 0.5, copied.shape), "source_flood_2", "bob")
+        add("duplicate_flooding_samples", "vehicle", copied + rng.normal(0, 0.5, copied.shape), "feed_flood", "bob")
     for _ in range(4):
-        add("ood_samples", "person", rng.uniform(0, 255, (128, 128, 3)), "source_rogue_3", "bad_actor_9")
+        add("ood_samples", "person", rng.uniform(0, 255, (128, 128, 3)), "feed_rogue", "mallory")
     for _ in range(5):
         image = _scene(rng, "drone", 0)
         image[112:128, 112:128] = np.where((np.indices((16, 16)).sum(0) // 2 % 2)[:, :, None] > 0, 255, 0)
-        add("trigger_samples", "drone", image, "source_rogue_3", "bad_actor_9")
+        add("trigger_samples", "drone", image, "feed_rogue", "mallory")
     return folder, rows, truth
 
 
@@ -72,7 +72,7 @@ def test_attack_table(spark, attack):
     assert by["ood_samples"]["recall"] >= 0.5
     assert macro.first()["total_scenarios"] == 4
     risk = {r["source_id"]: r for r in analysis.source_risk.collect()}
-    assert risk["source_rogue_3"]["risk_level"] == "CRITICAL" and risk["source_flood_2"]["risk_level"] in ("HIGH", "CRITICAL")
+    assert risk["feed_rogue"]["risk_level"] == "CRITICAL" and risk["feed_flood"]["risk_level"] in ("HIGH", "CRITICAL")
     found = {r["category"]: r for r in analysis.findings.collect()}
     assert {"NEAR_DUPLICATE", "LABEL_FLIP", "OOD", "TRIGGER", "SOURCE_POISONING"} == set(found)
     assert found["NEAR_DUPLICATE"]["finding_id"] == "F-DS-001" and found["TRIGGER"]["recommendation"] == "QUARANTINE"
