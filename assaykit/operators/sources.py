@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assaykit.operators.skew import chunked_lists, lookup_join
 from assaykit.schemas import ANOMALY_KINDS
+from assaykit.session import checkpointed
 
 # Weight of each anomaly kind in the source score.
 KIND_WEIGHTS = {"duplicate": 1.0, "ood": 1.5, "label": 2.5, "trigger": 4.0}
@@ -89,7 +90,9 @@ def source_risk(flagged: DataFrame) -> DataFrame:
     The samples are reduced once, map-side first, to (source, batch, contributor); a source
     holding a third of them is spread over its batches and contributors until then.
     """
-    cells = risk_cells(flagged)
+    # stored: column pruning would otherwise give the two levels below different plans
+    # and read the samples twice
+    cells = checkpointed(risk_cells(flagged))
     counts = cells.groupBy("source_id").agg(
         F.sum("n").alias("sample_count"),
         F.sum("bad").alias("suspicious_count"),
