@@ -185,30 +185,36 @@ def expand(members: DataFrame, assigned: DataFrame) -> DataFrame:
     return lookup_join(members, assigned, ["node"], "inner")
 
 
-def connected(links: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """Connected components instead of stars: columns node, seed (the lowest node).
 
-    Every node takes the smallest label among its neighbours, then labels are shortcut.
+    Every link is held as (hi, lo). In turn all links are moved to the lowest neighbour of
+    their lower end, then all lower ends of a node are linked to the lowest of them, until
+    each component is a star around its lowest node. The number of rounds grows with the
+    square of the logarithm of a component's size at most; there is no cap. The lowest
+    neighbours are sums per node, so a hub of any degree is one row after map-side combine.
     """
-    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = checkpointed(both)
-    labels = checkpointed(
-        both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node")
-    )
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(
-            F.min("label").alias("near")
-        )
-        stepped = labels.join(near, "node", "left").select(
-            "node", "label", F.least("label", F.coalesce("near", "label")).alias("next")
-        )
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("jumped"))
-        moved = stepped.join(jump, "next", "left").select(
-            "node", "label", F.least("next", F.coalesce("jumped", "next")).alias("next")
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    edges = checkpointed(links.where("a <> b").select(high.alias("hi"), low.alias("lo")).distinct())
+    while True:
+        lowest = edges.groupBy(F.col("hi").alias("_of")).agg(F.min("lo").alias("_low"))
+        moved = edges.join(lowest, F.col("lo") == F.col("_of"), "left").select(
+            "hi", F.coalesce("_low", "lo").alias("lo")
+        ).distinct()
+        lowest = moved.groupBy(F.col("hi").alias("_of")).agg(F.min("lo").alias("_low"))
+        met = moved.join(lowest, F.col("hi") == F.col("_of"))
+        ends = F.explode(
+            F.array(F.struct(F.col("hi"), F.col("_low").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("_low").alias("lo")))
         )
-        moved = checkpointed(moved)
-        changed = moved.where("next < label").limit(1).count()
-        labels = moved.select("node", F.col("next").alias("label"))
-        if not changed:
-            return labels.withColumnRenamed("label", "seed")
-    raise RuntimeError("components did not settle; raise max_rounds")
+        stepped = met.select(ends.alias("e")).select("e.*").where("hi <> lo").distinct()
+        last, edges = edges, checkpointed(stepped)
+        if _digest(last) == _digest(edges):
+            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("seed")).unionByName(
+                edges.select(F.col("lo").alias("node"), F.col("lo").alias("seed")).distinct()
+            )
+
+
+def _digest(edges: DataFrame) -> tuple:
+    """Count and sum of hashes: equal for equal sets of links."""
+    hashed = F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))
+    return tuple(edges.agg(F.count(F.lit(1)), hashed).first())
