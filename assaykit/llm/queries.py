@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat, linededup, mixing, packing
+from assaykit.llm import chat, linededup, mixing, packing, quality_trees, rules, simhash
 from assaykit.llm.common import UPPER
 
 QUERIES: dict = {}
@@ -37,6 +37,25 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query("op2_simhash_golay")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, keep=["doc_id"]).select("doc_id", "fingerprint", "component_id")
+
+
+@_query("op5_quality_trees")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    forest = quality_trees.fit(docs, _table(spark, folder, "labels"))
+    scored = docs.select("doc_id", quality_trees.score(F.col("text"), forest).alias("score"))
+    return scored.select(
+        "doc_id",
+        quality_trees.is_held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality_trees.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 _MIX_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, {_WORD})), 0) AS BIGINT) AS size,
@@ -96,6 +115,12 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return chat.render(chat.collapse(_table(spark, folder, "conversations")))
 
 
+@_query("op9_quality_rules")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return rules.judge(docs, keep=["doc_id"])
+
+
 _LINES_SQL = f"""
 WITH split AS (
   SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),

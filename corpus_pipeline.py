@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import linededup, mixing, packing
+from assaykit.llm import linededup, mixing, packing, quality_trees, simhash
 from assaykit.llm.common import masked
 from assaykit.session import checkpointed
 
 
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels beside them, does not reject."""
+    rows, name = masked(docs)
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    sample = docs.select("doc_id", "text")
+    forest = quality_trees.fit(sample, labels)
+    scored = rows.withColumn("_score", quality_trees.score(F.col(name["text"]), forest))
+    return _like(docs, scored.where(F.col("_score") >= quality_trees.THRESHOLD), {})
+
+
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that ten or more documents share; no document goes."""
     rows, name = masked(docs)
@@ -18,6 +28,13 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _like(docs, kept, {"text": text, "n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)})
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id."""
+    rows, name = masked(docs)
+    found = simhash.near_duplicates(rows, id_col=name["doc_id"], text_col=name["text"])
+    return _like(docs, found.where("is_first"), {})
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target says; part repetitions are rounded."""
     rows, name = masked(docs)
@@ -36,7 +53,9 @@ def _like(docs: DataFrame, rows: DataFrame, changed: dict) -> DataFrame:
 
 
 STAGES = [
+    ("quality_classifier", keep_good_quality),
     ("line_dedup", drop_common_lines),
+    ("near_duplicates", drop_near_duplicates),
     ("source_mix", mix_sources),
     ("packing", pack_sequences),
 ]
