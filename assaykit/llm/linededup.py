@@ -47,7 +47,8 @@ def dedup_lines(
     rows, name = masked(docs)
     text = F.col(name[text_col])
     own = [F.xxhash64(F.lit(n), name[id_col], text).alias(f"_k{n}") for n in (1, 2)]
-    keyed = rows.select(*own, line_keys(text, min_chars).alias("_keys"))
+    # the hashes alone, stored once: counts and places are both read from them
+    keyed = checkpointed(rows.select(*own, line_keys(text, min_chars).alias("_keys")))
     per_doc = keyed.select(F.explode(F.array_distinct("_keys")).alias("_key")).where("_key IS NOT NULL")
     counts = checkpointed(per_doc.groupBy("_key").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") >= min_docs))
     shared = counts.agg(F.sum("_docs")).first()[0] or 0

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat, linededup, mixing, packing, quality_trees, rules, simhash
+from assaykit.llm import chat, linededup, mixing, neighbours, packing, quality_trees, rules, secrets, simhash
 from assaykit.llm.common import UPPER
 
 QUERIES: dict = {}
@@ -43,6 +43,44 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(docs, keep=["doc_id"]).select("doc_id", "fingerprint", "component_id")
 
 
+@_query("op3_collision_counting")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+def _joined_spans(kinds: tuple[str, ...], order) -> Column:
+    """Spans of some kinds as text, kind:start:end, comma-joined."""
+    wanted = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    ordered = F.array_sort(F.transform(wanted, order))
+    return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _span_columns(base: tuple[str, ...], kinds: tuple[str, ...], by_start: bool) -> list:
+    """Counts of the base kinds, the digest of their spans and all spans."""
+
+    def order(s):
+        rank = F.array_position(F.array(*map(F.lit, kinds)), s["kind"])
+        first, second = (s["start"], rank) if by_start else (rank, s["start"])
+        return F.struct(first.cast("long").alias("_1"), second.cast("long").alias("_2"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return [
+        "doc_id", *map(count, base),
+        F.sha2(_joined_spans(base, order).cast("binary"), 256).alias("base_sha256"),
+        _joined_spans(kinds, order).alias("spans"),
+    ]
+
+
+@_query("op4_markov_secrets")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit(docs))
+    return found.select(*_span_columns(secrets.KINDS[:3], secrets.KINDS, by_start=True))
+
+
 @_query("op5_quality_trees")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
