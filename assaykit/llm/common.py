@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -46,6 +47,28 @@ def unmasked(df: DataFrame, docs: DataFrame, results: dict[str, Column]) -> Data
     return df.select(*own, *[value.alias(name) for name, value in results.items()])
 
 
+class Ranges:
+    """Spans merged where they meet, searched by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def touch(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end)
+        return at > 0 and self.ends[at - 1] > start
+
+    def cover(self, start: int, end: int) -> bool:
+        at = bisect_right(self.starts, start)
+        return at > 0 and self.ends[at - 1] >= end
+
+
 def map_rows(
     df: DataFrame, make: Callable[[], Callable[[list[tuple]], list[tuple]]], schema: str, step: int = 64
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat, linededup, mixing, neighbours, packing, quality_trees, rules, secrets, simhash
+from assaykit.llm import chat, linededup, mixing, neighbours, packing, pii, quality_trees, rules, secrets, simhash
 from assaykit.llm.common import UPPER
 
 QUERIES: dict = {}
@@ -134,6 +134,13 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query("op7_semi_markov_pii")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.scan(docs, pii.fit(docs))
+    return found.select(*_span_columns(pii.KINDS, pii.KINDS + pii.ADDED, by_start=False))
+
+
 _CHAT_SQL = """
 WITH convs AS (
   SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY coalesce(turn, -1), coalesce(role, ''), coalesce(text, '')) AS turns

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import each, map_rows
+from assaykit.llm.common import Ranges, each, map_rows
 
 #: Fixed patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(
@@ -151,7 +151,7 @@ def spans(text: str | None, models: Models) -> list[tuple[str, int, int]]:
     none of them and that the models find random. By start, then kind. Null is empty."""
     text = text or ""
     found = base_spans(text)
-    taken = sorted((s, e) for _, s, e in found)
+    taken = Ranges([(s, e) for _, s, e in found])
     for m in _TOKEN.finditer(text):
         start, end = m.span()
         token = m[0].strip("=-/+_") if m[0][0] in "=-/+_" or m[0][-1] in "-/+_" else m[0]
@@ -159,7 +159,7 @@ def spans(text: str | None, models: Models) -> list[tuple[str, int, int]]:
             continue
         start += m[0].index(token)
         end = start + len(token)
-        if any(s < end and start < e for s, e in taken):
+        if taken.touch(start, end):
             continue
         ratio = models.of(token)
         if ratio >= MIN_RATIO and ratio >= MIN_RATE * len(token):
