@@ -146,9 +146,9 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> Data
                 yield pd.DataFrame({"_key": key, "_print": part[row]})
 
     keyed = checkpointed(prints.mapInPandas(keys, "_key bigint, _print bigint"))
-    counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    tiles = F.ceil(F.col("_n") / tile).cast("int")
-    met = keyed.join(counts, "_key").withColumn("_tiles", tiles).withColumn(
+    crowded = checkpointed(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tile))
+    tiles = F.coalesce(F.ceil(F.col("_n") / tile), F.lit(1)).cast("int")
+    met = keyed.join(crowded, "_key", "left").withColumn("_tiles", tiles).withColumn(
         "_own", F.pmod(F.xxhash64("_print"), F.col("_tiles")).cast("int")
     )
     dealt = met.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).select(
