@@ -29,8 +29,9 @@ LENGTH = 2048
 END_ID = 0
 #: Pieces packed together by one task.
 GROUP_ROWS = 30_000
-#: Distinct words whose ids a worker process remembers.
-UNITS_KEPT = 1_200_000
+#: Distinct words and parts of words whose ids a worker process remembers.
+WORDS_KEPT = 400_000
+UNITS_KEPT = 1_000_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -49,13 +50,26 @@ _UNITS = re.compile(f"[{_LETTERS}]+|[{_MARKS}]+|[0-9]")
 _WORDS = re.compile(WORD)
 
 
+def _byte_signs() -> dict[int, str]:
+    """The vocabulary's signs for accented Latin letters: one per UTF-8 byte, printable ones
+    standing for themselves, the others numbered from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    sign = {b: chr(b) if b in printable else chr(next(spare)) for b in range(256)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+_BYTES = _byte_signs()
+
+
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids.
+    """Text to little-endian unsigned 32-bit ids.
 
     The vocabulary drops white space, never joins across it and lower-cases; within a plain
     word it cuts between letters, marks and digits. So the ids of a text are those of such
-    units, and each distinct unit is encoded once per worker process and remembered, in a
-    table of bounded size. A word with other characters is a unit as it stands.
+    units. Units are encoded once per worker process and remembered, and so are the words
+    met first, in two tables of bounded size. A word with other characters is a unit as it
+    stands, and the tokenizer encodes it in full.
     """
 
     def __init__(self, path: str):
@@ -63,41 +77,45 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self._units(text) for text in texts]
-        fresh = set().union(*split).difference(self.known)
-        if fresh:
-            if len(self.known) + len(fresh) > UNITS_KEPT:
-                _keep_half(self.known)
-                fresh = set().union(*split).difference(self.known)
-            self._learn(list(fresh))
-        of = self.known.__getitem__
-        return [b"".join(map(of, units)) for units in split]
-
-    def _units(self, text: str) -> list[str]:
-        if _PLAIN.fullmatch(text):
-            return _UNITS.findall(text.lower())
-        units = []
-        for word in _WORDS.findall(text):
-            if _PLAIN.fullmatch(word):
-                units.extend(_UNITS.findall(word.lower()))
-            else:
-                units.append(word)
-        return units
-
-    def _learn(self, fresh: list[str]) -> None:
-        for start in range(0, len(fresh), 1_000):
-            some = fresh[start : start + 1_000]
-            for unit, found in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[unit] = array("I", found.ids).tobytes()
-
-
-def _keep_half(known: dict[str, bytes]) -> None:
-    """Forget the entries met last: frequent words are met first."""
-    for word in list(islice(known, len(known) // 2, None)):
-        del known[word]
+        self.merges = self.model.model
+        self.words: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+
+    def __call__(self, text: str) -> bytes:
+        words = text.split(" ")
+        found = list(map(self.words.get, words))
+        if None in found:
+            for at, ids in enumerate(found):
+                if ids is None:
+                    found[at] = self._word(words[at])
+        return b"".join(found)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of what stands between two blanks."""
+        if _PLAIN.fullmatch(word):
+            units = _UNITS.findall(word.lower())
+        else:
+            units = []
+            for part in _WORDS.findall(word):
+                units += _UNITS.findall(part.lower()) if _PLAIN.fullmatch(part) else [part]
+        known = self.units
+        ids = b"".join([known.get(unit) or self._unit(unit) for unit in units])
+        if len(self.words) < WORDS_KEPT and len(word) < 40:
+            self.words[word] = ids
+        return ids
+
+    def _unit(self, unit: str) -> bytes:
+        if _PLAIN.fullmatch(unit):
+            # already normalised and cut, so the merges alone give its ids
+            found = [t.id for t in self.merges.tokenize(unit if unit.isascii() else unit.translate(_BYTES))]
+        else:
+            found = self.model.encode(unit, add_special_tokens=False).ids
+        if len(self.units) >= UNITS_KEPT:
+            # frequent units are met first, so the later half is forgotten
+            for old in list(islice(self.units, UNITS_KEPT // 2, None)):
+                del self.units[old]
+        ids = self.units[unit] = array("I", found).tobytes()
+        return ids
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -128,13 +146,8 @@ def pieces(
     def make() -> Callable[..., list[tuple]]:
         encode = encoder(path)
 
-        def cut(batch):
-            rows = []
-            for (doc_id, _), ids in zip(batch, encode([text or "" for _, text in batch])):
-                rows.extend(split(doc_id, ids + END_ID.to_bytes(4, "little")))
-            return rows
-
-        def split(doc_id, ids):
+        def cut(doc_id, text):
+            ids = encode(text or "") + END_ID.to_bytes(4, "little")
             rows = []
             for n, at in enumerate(range(0, len(ids), 4 * length)):
                 part = ids[at : at + 4 * length]
@@ -142,7 +155,7 @@ def pieces(
                 rows.append((*row, part) if with_ids else row)
             return rows
 
-        return cut
+        return lambda batch: [piece for row in batch for piece in cut(*row)]
 
     kind = docs.select(id_col).dtypes[0][1]
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
