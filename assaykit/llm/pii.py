@@ -77,7 +77,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
-_TRIGGER = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_TRIGGER = re.compile(r"[0-9@][^\x20\x09-\x0D]*")
 _HINT = re.compile(r"[0-9]+|@")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 
@@ -86,7 +86,7 @@ def windows(text: str) -> list[tuple[int, int]]:
     """Stretches around digits and at signs, with a word or two to either side."""
     found: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        start, end = max(0, m.start() - 16), min(len(text), m.end() + 16)
+        start, end = max(0, m.start() - 24), min(len(text), m.end() + 16)
         if found and start <= found[-1][1]:
             found[-1][1] = end
         else:
