@@ -20,12 +20,13 @@ from assaykit.session import checkpointed
 BLOCK_ROWS = 16_000
 QUERY_ROWS = 2_000
 #: Projections, as whole orthonormal bases of at least so many directions.
-PROJECTIONS = 128
-#: Share of the windows a candidate has to be in, and share of a block to verify at least.
+PROJECTIONS = 160
+#: Share of the windows a candidate has to be in; of a block at least this share, and this
+#: many times the wanted partners, are verified.
 THRESHOLD = 0.5
-VERIFY = 0.08
+VERIFY, MANY = 0.12, 6
 #: First half-width of the windows, in standard deviations of the projections, and its growth.
-START, GROWTH = 0.4, 1.2
+START, GROWTH = 0.55, 1.15
 SEED = 5
 
 
@@ -48,42 +49,56 @@ class Index:
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
         self.spread = float(projected.std()) or 1.0
 
-    def candidates(self, query: np.ndarray, least: int) -> np.ndarray:
-        """Places of the vectors in at least THRESHOLD of the windows, once ``least`` are."""
+    def candidates(self, queries: np.ndarray, least: int) -> list[np.ndarray]:
+        """Per query the places of the vectors in at least THRESHOLD of its windows, from the
+        first width at which at least ``least`` of them are, or at which all are."""
         n = len(self.vectors)
-        length = np.linalg.norm(query) or 1.0
-        at = np.r_[query / length, 0.0] @ self.axes
-        low = np.array([np.searchsorted(s, v) for s, v in zip(self.sorted, at)])
+        lengths = np.linalg.norm(queries, axis=1, keepdims=True)
+        at = np.c_[queries / np.where(lengths > 0, lengths, 1.0), np.zeros(len(queries))] @ self.axes
+        need = THRESHOLD * at.shape[1]
+        low = np.stack([np.searchsorted(row, v) for row, v in zip(self.sorted, at.T)], axis=1)
         high = low.copy()
-        counts = np.zeros(n, dtype=np.int64)
-        need = THRESHOLD * len(at)
+        counts = np.zeros((len(queries), n), dtype=np.int16)
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+        active = np.arange(len(queries))
         width = START * self.spread
-        while True:
-            rings = []
-            for j, v in enumerate(at):
-                row = self.sorted[j]
-                a, b = np.searchsorted(row, v - width), np.searchsorted(row, v + width, side="right")
-                rings += [self.order[j, a : low[j]], self.order[j, high[j] : b]]
-                low[j], high[j] = min(a, low[j]), max(b, high[j])
-            counts += np.bincount(np.concatenate(rings), minlength=n)
-            found = np.flatnonzero(counts >= need)
-            if len(found) >= least or (low.max() == 0 and high.min() == n):
-                return found
+        while len(active):
+            inner_low, inner_high = low[active], high[active]
+            for j, row in enumerate(self.sorted):
+                low[active, j] = np.minimum(np.searchsorted(row, at[active, j] - width), inner_low[:, j])
+                high[active, j] = np.maximum(np.searchsorted(row, at[active, j] + width, side="right"), inner_high[:, j])
+            going = []
+            for k, q in enumerate(active):
+                bounds = zip(self.order, low[q].tolist(), inner_low[k].tolist(), inner_high[k].tolist(), high[q].tolist())
+                rings = [part for o, a, b, c, d in bounds for part in (o[a:b], o[c:d])]
+                counts[q] += np.bincount(np.concatenate(rings), minlength=n).astype(np.int16)
+                found = np.flatnonzero(counts[q] >= need)
+                if len(found) >= least or (low[q].max() == 0 and high[q].min() == n):
+                    out[q] = found
+                else:
+                    going.append(q)
+            active = np.array(going, dtype=np.int64)
             width *= GROWTH
+        return out
 
 
 def search(index: Index, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
     """The ``k`` best verified candidates of every query within one block."""
     out_q, out_v, out_s = [], [], []
-    least = min(len(ids), max(k + 1, int(np.ceil(VERIFY * len(ids)))))
-    for query_id, query in zip(query_ids, queries):
-        found = index.candidates(query, least)
-        found = found[ids[found] != query_id]
+    least = min(len(ids), max(MANY * k, int(np.ceil(VERIFY * len(ids)))))
+
+    def add(query_id, query, found):
         scores = (index.vectors[found] * query).sum(axis=1)
         best = np.lexsort((ids[found], -scores))[:k]
         out_q.append(np.full(len(best), query_id))
         out_v.append(ids[found][best])
         out_s.append(scores[best])
+
+    # a few queries at a time: each holds a count per vector of the block
+    for start in range(0, len(query_ids), 128):
+        some = queries[start : start + 128]
+        for query_id, query, found in zip(query_ids[start : start + 128], some, index.candidates(some, least)):
+            add(query_id, query, found[ids[found] != query_id])
     empty = [np.zeros(0, np.int64)]
     return pd.DataFrame(
         {

@@ -67,4 +67,4 @@ def test_few_rows_ties_and_unusable_vectors(spark):
 
 def test_windows_widen_until_all_are_in():
     index = neighbours.Index(np.eye(3))
-    assert index.candidates(np.array([1.0, 0, 0]), 3).tolist() == [0, 1, 2]
+    assert [c.tolist() for c in index.candidates(np.array([[1.0, 0, 0]]), 3)] == [[0, 1, 2]]
