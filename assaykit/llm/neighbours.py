@@ -2,7 +2,7 @@
 
 A block of vectors is indexed by sorted arrays, one per projection. A query opens a window
 around its own projection in every array and widens all of them step by step (virtual
-rehashing: the same arrays serve every radius). A vector inside at least half of the
+rehashing: the same arrays serve every radius). A vector inside two thirds of the
 windows is a candidate; when enough are found they are verified by their exact scores.
 Blocks of vectors and blocks of queries of bounded size meet pair by pair.
 """
@@ -20,13 +20,13 @@ from assaykit.session import checkpointed
 BLOCK_ROWS = 16_000
 QUERY_ROWS = 2_000
 #: Projections, as whole orthonormal bases of at least so many directions.
-PROJECTIONS = 160
+PROJECTIONS = 64
 #: Share of the windows a candidate has to be in; of a block at least this share, and this
 #: many times the wanted partners, are verified.
-THRESHOLD = 0.5
-VERIFY, MANY = 0.12, 6
+THRESHOLD = 0.66
+VERIFY, MANY = 0.2, 6
 #: First half-width of the windows, in standard deviations of the projections, and its growth.
-START, GROWTH = 0.55, 1.15
+START, GROWTH = 0.9, 1.15
 SEED = 5
 
 
