@@ -2,21 +2,25 @@
 
 Rows are taken in order. A row not yet taken starts a cluster of itself and every later
 neighbour not yet taken; the cluster counts if its weight reaches the minimum, otherwise
-the row is passed over. That is sequential, but a row can be decided as soon as nothing
-earlier can still reach it, so whole fronts of rows are decided per round with joins and
-aggregations. Once what is left is provably small, one task finishes it in order.
+the row is passed over. That is sequential, but only within a connected component: the
+components are found first, in few rounds, and then many of them are settled per task, in
+order. A component too large for one task is settled in fronts of rows by joins, as a row
+can be decided as soon as nothing earlier can still reach it.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.operators.skew import lookup_join, small_enough
+from assaykit.operators.skew import lookup_join
 from assaykit.session import checkpointed
 
-TAIL_ROWS = 50_000
+#: Links and clique members of the largest component that one task settles, and the
+#: number of rows of small components that are dealt to one task.
+COMPONENT_ROWS = 500_000
+TASK_ROWS = 50_000
 
 
 def star_clusters(
@@ -24,41 +28,41 @@ def star_clusters(
     weights: DataFrame,
     min_size: int,
     members: DataFrame | None = None,
-    tail_rows: int = TAIL_ROWS,
+    component_rows: int = COMPONENT_ROWS,
 ) -> DataFrame:
     """Assign nodes to cluster seeds: columns node, seed (a seed is its own).
 
     links: (a, b) with a < b, each pair once; weights: (node, weight) of the nodes with
     weight above 1; members: optional (clique, node), all members mutual neighbours.
+    Components with more than ``component_rows`` rows go by fronts, the others by tasks.
     """
     heavy = weights.where("weight > 1").select("node", "weight")
     live = _weigh(_weigh(links, heavy, "a", "wa"), heavy, "b", "wb").withColumn("a_seed", F.lit(False))
-    live = checkpointed(live)
-    crowd = None
+    live, crowd = checkpointed(live), None
+    edges = live.select("a", "b")
     if members is not None:
-        crowd = checkpointed(
-            _weigh(members, heavy, "node", "w").withColumn("seed", F.lit(False))
-        )
+        crowd = checkpointed(_weigh(members, heavy, "node", "w").withColumn("seed", F.lit(False)))
+        edges = edges.unionByName(_lead_edges(crowd).select("a", "b"))
+    labels = connected(edges).select("node", F.col("seed").alias("component"))
+    labels = checkpointed(labels)
+    live = live.join(labels.withColumnRenamed("node", "a"), "a")
+    rows = live.select("component")
+    if crowd is not None:
+        crowd = crowd.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rows = rows.unionAll(crowd.select("component"))
+    sizes = checkpointed(rows.groupBy("component").count())
+    large = sizes.where(F.col("count") > component_rows).select("component")
+    n_small, n_large = sizes.agg(
+        F.sum(F.when(F.col("count") <= component_rows, F.col("count"))), F.count_if(F.col("count") > component_rows)
+    ).first()
     settled = []
-    while True:
-        left = live.limit(tail_rows + 1).count()
-        crowded = crowd.limit(tail_rows + 1).count() if crowd is not None else 0
-        if left == 0 and crowded == 0:
-            break
-        if left + crowded <= tail_rows:
-            settled.append(_finish(live, crowd, min_size))
-            break
-        edges = live
-        if crowd is not None:
-            edges = live.unionByName(_lead_edges(crowd)).dropDuplicates(["a", "b"])
-            edges = checkpointed(edges)
-            if edges.limit(1).count() == 0:
-                break
-        updates = checkpointed(_decide(edges, min_size))
-        settled.append(updates.where("state IN ('claimed', 'seed')").select("node", "seed"))
-        live = checkpointed(_advance(live, updates))
-        if crowd is not None:
-            crowd = checkpointed(_advance_crowd(crowd, updates))
+    if n_small:
+        dealt = F.pmod(F.xxhash64("component"), F.lit(-(-n_small // TASK_ROWS)))
+        small = [None if part is None else _without(part, large, n_large) for part in (live, crowd)]
+        settled.append(_in_order(*small, min_size, dealt))
+    if n_large:
+        big = [None if part is None else part.join(large, "component", "left_semi").drop("component") for part in (live, crowd)]
+        settled += _by_fronts(*map(_stored, big), min_size)
     own = F.col("node").alias("seed")
     if not settled:
         return heavy.where(F.col("weight") >= min_size).select("node", own)
@@ -72,6 +76,30 @@ def star_clusters(
     return found.unionByName(alone.select("node", own))
 
 
+def _stored(part: DataFrame | None) -> DataFrame | None:
+    return None if part is None else checkpointed(part)
+
+
+def _without(part: DataFrame, large: DataFrame, n_large: int) -> DataFrame:
+    return part.join(large, "component", "left_anti") if n_large else part
+
+
+def _by_fronts(live: DataFrame, crowd: DataFrame | None, min_size: int) -> list[DataFrame]:
+    """Settle components of any size, one front of decided rows per round of joins."""
+    settled = []
+    while True:
+        edges = live
+        if crowd is not None:
+            edges = checkpointed(live.unionByName(_lead_edges(crowd)).dropDuplicates(["a", "b"]))
+        if edges.limit(1).count() == 0:
+            return settled
+        updates = checkpointed(_decide(edges, min_size))
+        settled.append(updates.where("state IN ('claimed', 'seed')").select("node", "seed"))
+        live = checkpointed(_advance(live, updates))
+        if crowd is not None:
+            crowd = checkpointed(_advance_crowd(crowd, updates))
+
+
 def _weigh(rows: DataFrame, heavy: DataFrame, node: str, out: str) -> DataFrame:
     renamed = heavy.select(F.col("node").alias(node), F.col("weight").alias(out))
     joined = lookup_join(rows, renamed, [node])
@@ -128,15 +156,15 @@ def _advance_crowd(crowd: DataFrame, updates: DataFrame) -> DataFrame:
     return kept.select("clique", "node", "w", (F.col("seed") | F.col("s").isNotNull()).alias("seed"))
 
 
-def _finish(live: DataFrame, crowd: DataFrame | None, min_size: int) -> DataFrame:
-    """Settle the last links, at most TAIL_ROWS of them, in order in one task."""
+def _in_order(live: DataFrame, crowd: DataFrame | None, min_size: int, dealt: Column) -> DataFrame:
+    """Settle whole components row by row, those of one ``dealt`` number in one task."""
     rows = live.select(
-        F.lit(0).alias("g"), F.lit(False).alias("is_crowd"), "a", "b", "wa", "wb", "a_seed"
+        dealt.alias("g"), F.lit(False).alias("is_crowd"), "a", "b", "wa", "wb", "a_seed"
     )
     if crowd is not None:
         rows = rows.unionByName(
             crowd.select(
-                F.lit(0).alias("g"), F.lit(True).alias("is_crowd"), F.col("clique").alias("a"),
+                dealt.alias("g"), F.lit(True).alias("is_crowd"), F.col("clique").alias("a"),
                 F.col("node").alias("b"), F.lit(1).cast("long").alias("wa"), F.col("w").alias("wb"),
                 F.col("seed").alias("a_seed"),
             )

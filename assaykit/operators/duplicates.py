@@ -146,7 +146,7 @@ def near_duplicates(
     min_size: int = 2,
     mode: str = "stars",
     tile_rows: int = pairs.TILE_ROWS,
-    tail_rows: int = clusters.TAIL_ROWS,
+    component_rows: int = clusters.COMPONENT_ROWS,
 ) -> DataFrame:
     """Clustered rows: every input column plus ``node`` and ``seed``.
 
@@ -158,7 +158,7 @@ def near_duplicates(
     links, crowd = near_links(nodes, max_distance(similarity), tile_rows)
     weights = nodes.select("node", "weight")
     if mode == "stars":
-        assigned = clusters.star_clusters(links, weights, min_size, crowd, tail_rows)
+        assigned = clusters.star_clusters(links, weights, min_size, crowd, component_rows)
     else:
         assigned = component_clusters(links, crowd, weights, min_size)
     return clusters.expand(members, assigned)

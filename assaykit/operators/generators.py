@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions import risk
-
-MAX_AFFECTED = 50
+from assaykit.operators.skew import lookup_join
 
 
 def _text(*parts) -> Column:
@@ -191,7 +190,11 @@ def shift_findings(shift: DataFrame, features: int) -> DataFrame:
     return _spread(shift, "DATASET", "asset_id", [(c("overall_shift_detected"), finding)])
 
 
-def affected_preview(samples: DataFrame, order: str, sample: str = "sample_id", count: int = MAX_AFFECTED) -> DataFrame:
-    """The first affected samples in order, as one array for a report row."""
-    first = samples.select(order, sample).orderBy(order).limit(count)
-    return first.agg(F.transform(F.array_sort(F.collect_list(F.struct(order, sample))), lambda s: s[sample]).alias("affected_samples"))
+def finding_samples(findings: DataFrame, affected: DataFrame) -> DataFrame:
+    """All affected samples of all findings, a row each: finding_id, ordinal, sample_id.
+
+    affected: asset_id, category, ordinal, sample_id. The table is the complete list that a
+    finding's ``affected`` counts; a report takes from it what it shows.
+    """
+    keys = findings.select("finding_id", "asset_id", "category")
+    return lookup_join(affected, keys, ["asset_id", "category"], "inner").select("finding_id", "ordinal", "sample_id").distinct()

@@ -206,7 +206,7 @@ def _ranked(rows: DataFrame, points: DataFrame, local: DataFrame, k: int) -> Dat
     kept = spread.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
     lists = kept.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("_n", "neighbour"))).alias("near"))
     lists = checkpointed(points.select("vec", "pid").join(lists, "pid").drop("pid"))
-    joined = lookup_join(rows, lists, ["vec"], "inner", rows=20_000)
+    joined = lookup_join(rows, lists, ["vec"], "inner")
     others = F.slice(F.filter("near", lambda n: n["neighbour"] != F.col("id")), 1, k)
     return joined.select("id", F.posexplode(others).alias("rank", "n")).select(
         "id", F.col("n.neighbour").alias("neighbour"), (F.col("rank") + 1).alias("rank")

@@ -109,7 +109,7 @@ def patch_clusters(
     min_size: int = 3,
     max_fraction: float = MAX_FRACTION,
     tile_rows: int = pairs.TILE_ROWS,
-    tail_rows: int = clusters.TAIL_ROWS,
+    component_rows: int = clusters.COMPONENT_ROWS,
 ) -> DataFrame:
     """Clustered patches: ord, sample_id, region, label, seed.
 
@@ -120,7 +120,7 @@ def patch_clusters(
     nodes, members = pairs.collapse_copies(patches, ["region", "vec"], min_size)
     members = members.drop("vec")
     links, crowd = similar_links(nodes, similarity, tile_rows)
-    assigned = clusters.star_clusters(links, nodes.select("node", "weight"), min_size, crowd, tail_rows)
+    assigned = clusters.star_clusters(links, nodes.select("node", "weight"), min_size, crowd, component_rows)
     return kept_clusters(clusters.expand(members, assigned), population, max_fraction)
 
 

@@ -13,6 +13,9 @@ from assaykit.operators.skew import lookup_join
 from assaykit.session import checkpointed
 
 
+CATEGORY_OF_KIND = {"duplicate": "NEAR_DUPLICATE", "label": "LABEL_FLIP", "ood": "OOD", "trigger": "TRIGGER"}
+
+
 @dataclass
 class DatasetAssurance:
     """Tables of one dataset analysis."""
@@ -29,6 +32,7 @@ class DatasetAssurance:
     source_risk: DataFrame
     summary: DataFrame
     findings: DataFrame
+    finding_samples: DataFrame
     asset_risk: DataFrame
 
 
@@ -90,9 +94,14 @@ def analyse_dataset(
         _summary(dataset_id, rows, clusters, clustered, suspects, flagged_out, summary_out, patch_summary, patched, risks)
     )
     found = generators.dataset_findings(summary)
+    categories = F.create_map(*[F.lit(x) for kv in CATEGORY_OF_KIND.items() for x in kv])
+    affected = anomalies.join(rows.select("ordinal", "sample_id"), "ordinal").select(
+        F.lit(dataset_id).alias("asset_id"), categories[F.col("kind")].alias("category"), "ordinal", "sample_id"
+    )
+    listed = generators.finding_samples(found, affected)
     overall = findings.asset_risk(found, summary.select(F.col("dataset_id").alias("asset_id")))
     return DatasetAssurance(
-        clustered, clusters, suspects, flagged_out, summary_out, patched, patch_summary, anomalies, marked, risks, summary, found, overall
+        clustered, clusters, suspects, flagged_out, summary_out, patched, patch_summary, anomalies, marked, risks, summary, found, listed, overall
     )
 
 

@@ -350,14 +350,24 @@ def executive_summary(t: Tables):
     return report.executive_summary(D.findings(t))
 
 
-@query("findings_csv", f"""WITH {D.FINDINGS_SQL} SELECT finding_id AS "Finding ID", category AS "Category", 2::INTEGER AS "Affected Samples Count",
-  'severity ' || severity || ' | category ' || category AS "Evidence", 'two lines' AS "Description" FROM findings""")
+@query("findings_csv", _GENERATED + """SELECT finding_id AS "Finding ID", category AS "Category", severity AS "Severity",
+  affected AS "Affected Samples Count" FROM generated""")
 def findings_csv(t: Tables):
-    rows = D.findings(t).withColumns({
-        "title": F.lit("t"), "recommendation": F.lit("REVIEW"), "detection_method": F.lit("rule"), "description": F.lit("two\nlines"),
-        "affected_samples": F.array(F.lit("a"), F.lit("b")), "limitations": F.array(F.lit("x")),
-        "evidence": F.array(F.concat(F.lit("severity "), "severity"), F.concat(F.lit("category "), "category"))})
-    return report.csv_rows(rows).select("Finding ID", "Category", "Affected Samples Count", "Evidence", "Description")
+    rows = report.csv_rows(generators.dataset_findings(_summary(t)))
+    return rows.select("Finding ID", "Category", "Severity", "Affected Samples Count")
+
+
+@query("finding_samples", _GENERATED + """, hits AS (
+  SELECT batch_id, sample_id, unnest([CASE WHEN duplicate THEN 'NEAR_DUPLICATE' END, CASE WHEN label THEN 'LABEL_FLIP' END,
+    CASE WHEN ood THEN 'OOD' END, CASE WHEN trigger_hit THEN 'TRIGGER' END]) AS category FROM flagged)
+SELECT finding_id, sample_id AS ordinal, sample_id FROM hits JOIN generated g ON g.asset_id = batch_id AND g.category = hits.category""")
+def finding_samples(t: Tables):
+    flagged = sources.flag_samples(D.samples(t), D.anomalies(t))
+    kinds = {"duplicate": "NEAR_DUPLICATE", "label": "LABEL_FLIP", "ood": "OOD", "trigger": "TRIGGER"}
+    hits = F.array_compact(F.array(*[F.when(F.col(k), F.lit(c)) for k, c in kinds.items()]))
+    affected = flagged.select(
+        F.col("batch_id").alias("asset_id"), F.explode(hits).alias("category"), F.col("sample_id").alias("ordinal"), "sample_id")
+    return generators.finding_samples(generators.dataset_findings(_summary(t)), affected)
 
 
 @query("findings_with_assets", f"""WITH {D.FINDINGS_SQL} SELECT finding_id, findings.asset_id, c_name AS name FROM findings

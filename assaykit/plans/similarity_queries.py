@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaykit.functions import vectors as V
-from assaykit.operators import duplicates, knn, labels, patches
+from assaykit.operators import clusters, duplicates, knn, labels, patches
 from assaykit.plans.registry import Tables, query, rounded
 
 # --- hashes -----------------------------------------------------------------------------
@@ -85,6 +85,23 @@ def near_duplicate_components(t: Tables):
     return duplicates.near_duplicates(hashed(t), mode="components").select("ord", "seed")
 
 
+@query("overlapping_stars", """WITH RECURSIVE c AS (SELECT c_nationkey AS n, c_custkey AS k FROM customer),
+seeds AS (
+  SELECT n, MIN(k) AS k FROM c GROUP BY n
+  UNION ALL
+  SELECT s.n, (SELECT MIN(c.k) FROM c WHERE c.n = s.n AND c.k > s.k + 30) FROM seeds s WHERE s.k IS NOT NULL),
+members AS (SELECT c.k AS node, s.k AS seed FROM seeds s JOIN c ON c.n = s.n AND c.k BETWEEN s.k AND s.k + 30)
+SELECT node, seed FROM members WHERE seed IN (SELECT seed FROM members GROUP BY seed HAVING COUNT(*) >= 2)""")
+def overlapping_stars(t: Tables):
+    """Customers of a nation with keys at most 30 apart are neighbours: long chains of overlapping stars."""
+    place = F.floor(F.col("c_custkey") / 31)
+    left = t.customer.select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("a"), F.explode(F.array(place, place + 1)).alias("p"))
+    right = t.customer.select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("b"), place.alias("p"))
+    links = left.join(right, ["n", "p"]).where("a < b AND b <= a + 30").select("a", "b")
+    weights = t.customer.where("false").select(F.col("c_custkey").alias("node"), F.lit(1).cast("bigint").alias("weight"))
+    return clusters.star_clusters(links, weights, 2)
+
+
 @query("near_duplicate_summary", f"""WITH {_HASHED}, {_STARS}, total AS (SELECT COUNT(*) AS n_all FROM rows_)
 SELECT 'DUP-CLUSTER-' || lpad(CAST(row_number() OVER (ORDER BY seed) AS VARCHAR), 3, '0') AS cluster_id, seed,
   n AS cluster_size, 0.922::DOUBLE AS similarity, sources, n >= 4 OR n / n_all::DOUBLE > 0.08 AS is_flooding,

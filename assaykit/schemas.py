@@ -31,10 +31,12 @@ ANOMALY_KINDS = ("duplicate", "label", "ood", "trigger")
 FINDINGS = (
     "finding_id STRING, asset_type STRING, asset_id STRING, category STRING, severity STRING, "
     "confidence DOUBLE, risk_score DOUBLE, title STRING, description STRING, evidence ARRAY<STRING>, "
-    "affected_samples ARRAY<STRING>, detection_method STRING, limitations ARRAY<STRING>, "
+    "affected BIGINT, detection_method STRING, limitations ARRAY<STRING>, "
     "recommendation STRING, created_at TIMESTAMP"
 )
 
+FINDING_SAMPLES = "finding_id STRING, ordinal BIGINT, sample_id STRING"
+
 INFERENCE_RECORDS = (
     "arrival BIGINT, record_id STRING, input_sha256 STRING, model_sha256 STRING, "
     "preprocessing_sha256 STRING, config_sha256 STRING, output_sha256 STRING, timestamp STRING, "

@@ -32,46 +32,50 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _keys(*tables: DataFrame) -> list[str]:
+    """What ids are unique within: a file where it is known, else the dataset."""
+    return [k for k in ("dataset_id", "json_path") if all(k in t.columns for t in tables)]
+
+
 def images(files: DataFrame) -> DataFrame:
     """One row per image entry, with its position in the file."""
-    rows = files.select("dataset_id", F.posexplode("images").alias("ordinal", "i"))
-    return rows.select("dataset_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("i.id").alias("image_id"), "i.*").drop("id")
+    rows = files.select("dataset_id", "json_path", F.posexplode("images").alias("ordinal", "i"))
+    return rows.select("dataset_id", "json_path", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("i.id").alias("image_id"), "i.*").drop("id")
 
 
 def annotations(files: DataFrame) -> DataFrame:
-    rows = files.select("dataset_id", F.explode("annotations").alias("a"))
-    return rows.select("dataset_id", F.col("a.id").alias("annotation_id"), "a.image_id", "a.category_id", "a.bbox", "a.area")
+    rows = files.select("dataset_id", "json_path", F.explode("annotations").alias("a"))
+    return rows.select("dataset_id", "json_path", F.col("a.id").alias("annotation_id"), "a.image_id", "a.category_id", "a.bbox", "a.area")
 
 
 def categories(files: DataFrame) -> DataFrame:
-    rows = files.select("dataset_id", F.explode("categories").alias("c"))
+    rows = files.select("dataset_id", "json_path", F.explode("categories").alias("c"))
     return rows.select(
-        "dataset_id", F.col("c.id").alias("category_id"), F.coalesce("c.name", F.col("c.id").cast("string")).alias("class_name")
+        "dataset_id", "json_path", F.col("c.id").alias("category_id"), F.coalesce("c.name", F.col("c.id").cast("string")).alias("class_name")
     )
 
 
 def named_annotations(annotations: DataFrame, categories: DataFrame) -> DataFrame:
     """Annotations with their class name; an unknown category is ``unknown``."""
-    joined = lookup_join(annotations, categories, ["dataset_id", "category_id"])
+    joined = lookup_join(annotations, categories, [*_keys(annotations, categories), "category_id"])
     return joined.withColumn("class_name", F.coalesce(F.col("class_name"), F.lit("unknown")))
 
 
-
-
 def samples_from_tables(images: DataFrame, named: DataFrame, strict: bool = False) -> DataFrame:
     """One row per image with its sorted label set and annotation count.
 
     Labels are collected as a set, so a hot image is reduced map-side to its classes.
     ``strict`` ignores ``source_id`` when looking for the source.
     """
-    per_image = named.groupBy("dataset_id", "image_id").agg(
+    keys = [*_keys(images, named), "image_id"]
+    per_image = named.groupBy(*keys).agg(
         F.array_sort(F.collect_set("class_name")).alias("labels"), F.count(F.lit(1)).alias("annotation_count")
     )
-    keys = ["source", "contributor_id"] if strict else ["source", "source_id", "contributor_id"]
-    source = F.coalesce(*[F.col(k) for k in keys], F.lit("source_coco"))
+    origins = ["source", "contributor_id"] if strict else ["source", "source_id", "contributor_id"]
+    source = F.coalesce(*[F.col(k) for k in origins], F.lit("source_coco"))
     name = F.coalesce(F.col("file_name"), F.lit(""))
-    return images.join(per_image, ["dataset_id", "image_id"], "left").select(
-        "dataset_id",
+    return images.join(per_image, keys, "left").select(
+        *_keys(images, named),
         "ordinal",
         "image_id",
         F.when(name == "", F.col("image_id").cast("string")).otherwise(stem(name)).alias("sample_id"),
@@ -89,8 +93,9 @@ def samples_from_tables(images: DataFrame, named: DataFrame, strict: bool = Fals
 def nested_annotations(named: DataFrame, size: int = 10_000) -> DataFrame:
     """Annotations per image as arrays of at most about ``size`` entries each."""
     cell = F.struct("annotation_id", "class_name", "category_id", "bbox", "area")
-    rows = named.select("dataset_id", "image_id", cell.alias("annotation"), "annotation_id")
-    return chunked_lists(rows, ["dataset_id", "image_id"], "annotation", "annotations", size, tie="annotation_id")
+    keys = [*_keys(named), "image_id"]
+    rows = named.select(*keys, cell.alias("annotation"), "annotation_id")
+    return chunked_lists(rows, keys, "annotation", "annotations", size, tie="annotation_id")
 
 
 def resolve_paths(samples: DataFrame, files: DataFrame) -> DataFrame:
@@ -101,7 +106,8 @@ def resolve_paths(samples: DataFrame, files: DataFrame) -> DataFrame:
     """
     listed = files.select("dataset_id", "path", basename(F.col("path")).alias("_base"))
     wanted = samples.withColumn("_base", basename(F.col("file_name")))
-    found = wanted.select("dataset_id", "image_id", "file_name", "_base").join(listed, ["dataset_id", "_base"])
+    keys = [*_keys(samples), "image_id"]
+    found = wanted.select(*keys, "file_name", "_base").join(listed, ["dataset_id", "_base"])
     inside = F.expr("substring(path, length(dataset_id) + 2)")
     rank = F.when(inside == F.concat(F.lit("images/"), F.col("file_name")), 0).when(
         inside == F.col("file_name"), 1
@@ -109,10 +115,10 @@ def resolve_paths(samples: DataFrame, files: DataFrame) -> DataFrame:
     best = (
         found.withColumn("_rank", rank)
         .where("_rank IS NOT NULL")
-        .groupBy("dataset_id", "image_id")
+        .groupBy(*keys)
         .agg(F.min_by("path", F.struct("_rank", "path")).alias("image_path"))
     )
-    return samples.join(best, ["dataset_id", "image_id"])
+    return samples.join(best, keys)
 
 
 def dataset_totals(samples: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:

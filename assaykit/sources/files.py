@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -89,23 +90,30 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
     """Members of zip and tar archives: archive, member, content, is_unsafe.
 
     One row per member, a few at a time. Members whose path climbs out of the archive are
-    flagged; drop the whole archive with ``safe_archives``.
+    flagged. An archive that can't be read to its end gives what it gave so far and one row
+    with ``error``. ``safe_archives`` drops both kinds as a whole.
     """
     files = _contents(spark, path, "*.{zip,tar,gz}").select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def row(name, member=None, data=None, error=None):
+            return pd.DataFrame({"archive": [name], "member": [member], "content": [data], "error": [error]})
+
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
-                for member, data in _members(name, content):
-                    yield pd.DataFrame({"archive": [name], "member": [member], "content": [data]})
+                try:
+                    for member, data in _members(name, content):
+                        yield row(name, member, data)
+                except (tarfile.TarError, zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError) as ex:
+                    yield row(name, error=f"{type(ex).__name__}: {ex}")
 
-    rows = files.mapInPandas(run, "archive STRING, member STRING, content BINARY")
-    return rows.withColumn("is_unsafe", escapes_root(F.col("member")))
+    rows = files.mapInPandas(run, "archive STRING, member STRING, content BINARY, error STRING")
+    return rows.withColumn("is_unsafe", F.coalesce(escapes_root(F.col("member")), F.lit(False)))
 
 
 def safe_archives(members: DataFrame) -> DataFrame:
-    """Members of the archives without any unsafe member."""
-    bad = members.where("is_unsafe").select("archive").distinct()
+    """Members of the archives that could be read and hold no unsafe member."""
+    bad = members.where("is_unsafe OR error IS NOT NULL").select("archive").distinct()
     return members.join(bad, "archive", "left_anti")
 
 

@@ -81,8 +81,8 @@ def test_attack_table(spark, attack):
     marked = {r["sample_id"]: r["anomaly_reasons"] for r in analysis.samples.where("is_suspicious").collect()}
     copies = [s for k, s in truth if k == "duplicate_flooding_samples"]
     assert all("Near duplicate cluster" in marked[s] for s in copies)
-    preview = generators.affected_preview(analysis.duplicate_rows, "ord").first()["affected_samples"]
-    assert preview == sorted(copies)
+    listed = analysis.finding_samples.where("finding_id = 'F-DS-001'").collect()
+    assert sorted(r["sample_id"] for r in listed) == sorted(copies) and len(listed) == found["NEAR_DUPLICATE"]["affected"]
 
 
 def test_dark_shift(spark, folder, png):
@@ -106,7 +106,7 @@ def test_report_sinks(spark, folder, attack):
         [("m1", "SUBSTITUTION_DETECTED", "CRITICAL", 0.95, "QUARANTINE", 0.5, 12, 24, True), ("m2", "MATCH", "LOW", 1.0, "ACCEPT", 1.0, 0, 24, False)],
         "model_id STRING, status STRING, severity STRING, confidence DOUBLE, recommendation STRING, behavioural_agreement_rate DOUBLE, "
         "anomalous_inputs_count BIGINT, total_battery_tests BIGINT, high_vulnerability_detected BOOLEAN")
-    found = generators.model_findings(summary).withColumn("affected_samples", F.array().cast("array<string>"))
+    found = generators.model_findings(summary)
     assert [(r["finding_id"], r["category"]) for r in found.orderBy("finding_id").collect()] == [
         ("F-m1-001", "MODEL_SUBSTITUTION"), ("F-m1-002", "BACKDOOR_BEHAVIOUR"), ("F-m1-003", "TRIGGER")]
     from assaykit.operators import findings as fnd

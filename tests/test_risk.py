@@ -67,9 +67,9 @@ def test_page_by_key_equals_offset(spark):
 
 def test_csv_projection(spark):
     row = spark.createDataFrame(
-        [("F-1", "DATASET", "DS", "OOD", "LOW", 0.5, 1.0, "t", "a\nb", ["e1", "e2"], ["s"], "m", ["l1", "l2"], "ACCEPT")],
+        [("F-1", "DATASET", "DS", "OOD", "LOW", 0.5, 1.0, "t", "a\nb", ["e1", "e2"], 1, "m", ["l1", "l2"], "ACCEPT")],
         "finding_id STRING, asset_type STRING, asset_id STRING, category STRING, severity STRING, confidence DOUBLE, risk_score DOUBLE, "
-        "title STRING, description STRING, evidence ARRAY<STRING>, affected_samples ARRAY<STRING>, detection_method STRING, limitations ARRAY<STRING>, recommendation STRING",
+        "title STRING, description STRING, evidence ARRAY<STRING>, affected BIGINT, detection_method STRING, limitations ARRAY<STRING>, recommendation STRING",
     )
     out = report.csv_rows(row)
     assert len(out.columns) == 14

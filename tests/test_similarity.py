@@ -45,12 +45,12 @@ def _hash_rows(seed, n=120):
     return rows
 
 
-# tile_rows=8 makes almost every key crowded; tail_rows=0 keeps all work in rounds
-@pytest.mark.parametrize("seed,min_size,tile_rows,tail_rows", [(1, 2, 4000, 50_000), (2, 3, 4000, 0), (3, 2, 8, 0), (4, 4, 8, 50_000)])
-def test_near_duplicates_match_loop(spark, seed, min_size, tile_rows, tail_rows):
+# tile_rows=8 makes almost every key crowded; component_rows=0 settles every component in fronts
+@pytest.mark.parametrize("seed,min_size,tile_rows,component_rows", [(1, 2, 4000, 50_000), (2, 3, 4000, 0), (3, 2, 8, 0), (4, 4, 8, 50_000)])
+def test_near_duplicates_match_loop(spark, seed, min_size, tile_rows, component_rows):
     rows = _hash_rows(seed)
     df = spark.createDataFrame([(o, _signed(p), _signed(q)) for o, (p, q) in rows.items()], "ord BIGINT, h1 BIGINT, h2 BIGINT")
-    got = duplicates.near_duplicates(df, 0.92, min_size, tile_rows=tile_rows, tail_rows=tail_rows)
+    got = duplicates.near_duplicates(df, 0.92, min_size, tile_rows=tile_rows, component_rows=component_rows)
     near = lambda a, b: _hamming(rows[a][0], rows[b][0]) <= 5 and _hamming(rows[a][1], rows[b][1]) <= 5
     assert {r["ord"]: r["seed"] for r in got.collect()} == _stars(sorted(rows), near, min_size)
 
@@ -69,11 +69,39 @@ def test_star_rounds_on_random_graphs(spark, seed):
     links = spark.createDataFrame(sorted(edges), "a BIGINT, b BIGINT")
     none = spark.createDataFrame([], "node BIGINT, weight BIGINT")
     for min_size in (2, 3):
-        got = star_clusters(links, none, min_size, tail_rows=0)
+        got = star_clusters(links, none, min_size, component_rows=0)
         want = _stars(list(range(60)), lambda a, b: (min(a, b), max(a, b)) in edges, min_size)
         assert {r["node"]: r["seed"] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("shuffled", [True, False])
+def test_long_chains_settle_in_few_rounds(spark, monkeypatch, shuffled):
+    from assaykit.operators import clusters
+
+    ids = list(range(5_000))
+    if shuffled:
+        random.Random(4).shuffle(ids)
+    links = spark.createDataFrame([(min(x, y), max(x, y)) for x, y in zip(ids, ids[1:])], "a BIGINT, b BIGINT")
+    stored, rounds = clusters.checkpointed, []
+    monkeypatch.setattr(clusters, "checkpointed", lambda df: rounds.append(1) or stored(df))
+    found = clusters.connected(links).agg(F.count("*"), F.max("seed")).first()
+    assert tuple(found) == (5_000, 0) and len(rounds) < 25
+    if not shuffled:
+        none = spark.createDataFrame([], "node BIGINT, weight BIGINT")
+        got = {r["node"]: r["seed"] for r in star_clusters(links, none, 2).collect()}
+        assert got == {n: n - n % 2 for n in range(5_000)}
+
+
+def test_lookup_is_broadcast_by_bytes(spark):
+    from assaykit.operators.skew import lookup_join
+
+    big = spark.range(10).withColumnRenamed("id", "k")
+    wide = spark.range(150_000).select(F.col("id").alias("k"), *[F.rand().alias(f"c{i}") for i in range(300)])
+    small = spark.range(100).withColumnRenamed("id", "k")
+    hints = lambda t: lookup_join(big, t, ["k"])._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in hints(small) and "broadcast" not in hints(wide)
+
+
 def _knn_loop(ids, vectors, k):
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     gaps = np.round(1.0 - unit @ unit.T, 12)
@@ -131,7 +159,7 @@ def test_patch_clusters_match_loop(spark, dims, tile_rows):
             order += 1
     df = spark.createDataFrame(
         [(o, s, r, l, [float(x) for x in v]) for o, s, r, l, v in rows], "ord BIGINT, sample_id STRING, region STRING, label STRING, vec ARRAY<DOUBLE>")
-    got = patches.patch_clusters(df, population=100, tile_rows=tile_rows, tail_rows=0)
+    got = patches.patch_clusters(df, population=100, tile_rows=tile_rows, component_rows=0)
     by = {o: (r, v) for o, _, r, _, v in rows}
     near = lambda a, b: by[a][0] == by[b][0] and by[a][1] @ by[b][1] >= 0.98
     stars = _stars(sorted(by), near, 3)

@@ -52,6 +52,20 @@ def test_coco_read_and_validate(spark, coco_folder):
     assert issues[0]["details"].startswith("Non-positive bbox dimensions: [0.0, 0.0, 0.0, 4.0")
 
 
+def test_coco_files_of_one_folder_keep_their_own_ids(spark, folder):
+    for part, name in (("train", "cat"), ("val", "dog")):
+        document = {
+            "images": [{"id": 1, "file_name": f"{part}.png", "width": 4, "height": 4}],
+            "annotations": [{"id": 1, "image_id": 1, "category_id": 3, "bbox": [0.0, 0.0, 1.0, 1.0], "area": 1.0}],
+            "categories": [{"id": 3, "name": name}],
+        }
+        with open(f"{folder}/instances_{part}.json", "w") as f:
+            json.dump(document, f)
+    samples, boxes = coco.read(spark, folder)
+    assert {(r["sample_id"], tuple(r["labels"]), r["annotation_count"]) for r in samples.collect()} == {("train", ("cat",), 1), ("val", ("dog",), 1)}
+    assert boxes.count() == 2
+
+
 def test_file_checks(spark, folder, png):
     png(f"{folder}/ok.png", _flat(9, 32))
     with open(f"{folder}/bad.png", "wb") as f:
@@ -129,7 +143,16 @@ def test_archives(spark, folder):
         info = tarfile.TarInfo("in/c.txt")
         info.size = 3
         t.addfile(info, io.BytesIO(b"tar"))
+    with open(f"{folder}/good.zip", "rb") as f:
+        whole = f.read()
+    with open(f"{folder}/cut.zip", "wb") as f:
+        f.write(whole[: len(whole) // 2])
+    with open(f"{folder}/cut.tar.gz", "wb") as f:
+        f.write(b"\x1f\x8b" + whole)
     members = files.archive_members(spark, folder)
+    broken = {os.path.basename(r["archive"]) for r in members.where("error IS NOT NULL").collect()}
+    assert broken == {"cut.zip", "cut.tar.gz"}
+    members = members.where("error IS NULL").unionByName(members.where("error IS NOT NULL").withColumn("content", F.lit(b"")))
     rows = {(os.path.basename(r["archive"]), r["member"]): (bytes(r["content"]), r["is_unsafe"]) for r in members.collect()}
     assert rows[("good.zip", "a/b.txt")] == (b"hello", False) and rows[("t.tar.gz", "in/c.txt")] == (b"tar", False)
     assert rows[("evil.zip", "a/../../b.txt")][1] is True
