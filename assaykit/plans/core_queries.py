@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from assaykit.functions import columns as C
 from assaykit.functions import paths as P
 from assaykit.functions import risk
-from assaykit.operators import evaluate, findings as fnd, sources
+from assaykit.operators import evaluate, findings as fnd, report, sources
 from assaykit.plans import derived as D
-from assaykit.plans.registry import Tables, case_map, query, rounded
+from assaykit.plans.registry import ORACLES, Tables, case_map, query, rounded
 
 # --- sources ----------------------------------------------------------------------------
 
@@ -70,6 +70,12 @@ def source_risk(t: Tables):
     return sources.source_risk(sources.flag_samples(D.samples(t), D.anomalies(t)))
 
 
+@query("source_chart", f"""SELECT source_id, CASE WHEN risk_score = 0 THEN 20.0::DOUBLE ELSE risk_score END AS risk_score, suspicious_count
+FROM ({ORACLES["source_risk"]})""")
+def source_chart(t: Tables):
+    return report.source_chart(source_risk(t))
+
+
 @query("source_group_risk", f"""WITH {D.SAMPLES_SQL}, {_GROUPS_SQL}
 SELECT source_id, level, member, total, suspicious, suspicious / total::DOUBLE AS ratio,
   suspicious / total::DOUBLE > 0.3 AS is_anomalous FROM groups""")

@@ -111,13 +111,38 @@ def drift_metrics(t: Tables):
     return m.drop("ks_p_value")
 
 
+def _moved(t: Tables, factors: dict[str, float]):
+    """The two sides again, with some features of the later one multiplied."""
+    reference, _ = _sides(t)
+    plain = t.lineitem.where(F.col("l_shipdate") >= F.expr("TIMESTAMP_NTZ'1998-07-01 00:00:00'"))
+    return reference, plain.select(*[(F.col(f"l_{f}") * F.lit(factors.get(f, 1.0))).alias(f) for f in FEATURES])
+
+
+def _moved_sql(factors: dict[str, float]) -> str:
+    columns = ", ".join(
+        f"CASE WHEN l_shipdate < TIMESTAMP '1998-07-01' THEN l_{f} ELSE l_{f} * {factors.get(f, 1.0)}::DOUBLE END AS {f}" for f in FEATURES
+    )
+    start, end = _ALL.index("base AS ("), _ALL.index("long AS (")
+    return f"{_ALL[:start]}base AS (SELECT l_shipdate < TIMESTAMP '1998-07-01' AS is_ref, {columns} FROM lineitem),\n{_ALL[end:]}"
+
+
+_SHIFTED = {"quantity": 3.0, "extendedprice": 2.5}
+
+
+@query("drift_metrics_shifted", _moved_sql(_SHIFTED) + """SELECT feature, round(psi, 6) AS psi, round(ks, 6) AS ks_statistic,
+  (psi >= 0.2 OR ks >= 0.35) AS is_significant_drift FROM metrics""")
+def drift_metrics_shifted(t: Tables):
+    m = drift.drift_metrics(*_moved(t, _SHIFTED), FEATURES)
+    return m.select("feature", F.round("psi", 6).alias("psi"), F.round("ks_statistic", 6).alias("ks_statistic"), "is_significant_drift")
+
+
 @query("drift_p_values")
 def drift_p_values(t: Tables):
     m = drift.drift_metrics(*_sides(t), FEATURES)
     return m.select("feature", F.round("ks_statistic", 4).alias("ks_statistic"), F.round("ks_p_value", 6).alias("ks_p_value"))
 
 
-@query("shift_class", _ALL + """, v AS (
+_VERDICT = """, v AS (
   SELECT COUNT(*) FILTER (WHERE psi >= 0.2 OR ks >= 0.35) AS m,
     bool_or((psi >= 0.2 OR ks >= 0.35) AND feature IN ('quantity', 'tax')) AS op FROM metrics)
 SELECT 'SUCCESS' AS status,
@@ -125,11 +150,45 @@ SELECT 'SUCCESS' AS status,
   CASE WHEN m = 0 THEN 'LOW' WHEN m <= 2 THEN 'MEDIUM' ELSE 'HIGH' END AS severity,
   CASE WHEN m = 0 THEN 0.92 WHEN m <= 2 AND op THEN 0.85 WHEN m <= 2 THEN 0.80 WHEN m <= 4 THEN 0.88 ELSE 0.91 END::DOUBLE AS confidence,
   CASE WHEN m = 0 THEN 'ACCEPT' WHEN m <= 4 THEN 'REVIEW' ELSE 'QUARANTINE' END AS recommendation,
-  m > 0 AS overall_shift_detected, m AS significant_drift_features_count FROM v""")
+  m > 0 AS overall_shift_detected, m AS significant_drift_features_count FROM v"""
+
+
+@query("shift_class", _ALL + _VERDICT)
 def shift_class(t: Tables):
     return drift.drift_report(*_sides(t), FEATURES, ("quantity", "tax"))[1]
 
 
+_RUNGS = {
+    "shift_class_operational": {"quantity": 3.0},
+    "shift_class_anomalous": {"quantity": 3.0, "extendedprice": 3.0, "discount": 3.0},
+}
+
+
+def _register_rung(name: str, factors: dict[str, float]) -> None:
+    @query(name, _moved_sql(factors) + _VERDICT)
+    def rung(t: Tables):
+        return drift.drift_report(*_moved(t, factors), FEATURES, ("quantity", "tax"))[1]
+
+
+for _name, _factors in _RUNGS.items():
+    _register_rung(_name, _factors)
+
+
+_FOUND = """, v AS (
+  SELECT COUNT(*) FILTER (WHERE psi >= 0.2 OR ks >= 0.35) AS m FROM metrics)
+SELECT 'F-lineitem-001' AS finding_id, 'DISTRIBUTION_SHIFT' AS category, CASE WHEN m <= 2 THEN 'MEDIUM' ELSE 'HIGH' END AS severity,
+  m AS affected FROM v WHERE m > 0"""
+
+
+@query("shift_findings_moved", _moved_sql(_SHIFTED) + _FOUND)
+def shift_findings_moved(t: Tables):
+    from assaykit.operators.generators import shift_findings as findings
+
+    shift = drift.drift_report(*_moved(t, _SHIFTED), FEATURES, ("quantity", "tax"))[1]
+    rows = findings(shift.withColumn("asset_id", F.lit("lineitem")), len(FEATURES))
+    return rows.select("finding_id", "category", "severity", "affected")
+
+
 @query("shift_findings", _ALL + """, v AS (
   SELECT COUNT(*) FILTER (WHERE psi >= 0.2 OR ks >= 0.35) AS m,
     bool_or((psi >= 0.2 OR ks >= 0.35) AND feature IN ('quantity', 'tax')) AS op FROM metrics)
@@ -201,3 +260,9 @@ def score_cutoff(t: Tables):
 def isolation_outliers(t: Tables):
     stretched = F.when(F.col("vec_id") % 50 == 0, F.transform("embedding", lambda x: x * 5)).otherwise(F.col("embedding"))
     return outliers.outliers(t.embeddings.select("vec_id", stretched.alias("features")), "vec_id", "features")
+
+
+@query("isolation_outlier_ids", "SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0")
+def isolation_outlier_ids(t: Tables):
+    """The stretched rows, and no others, are found."""
+    return isolation_outliers(t).select("vec_id")
