@@ -1,6 +1,12 @@
-"""Exact k-nearest-neighbour self-join by cosine, without comparing all pairs.
+"""k-nearest-neighbour self-join by cosine, by one of two methods the caller names.
 
-Rows become unit vectors, where cosine order is distance order. They are assigned to the
+``hashed`` compares rows that share a bucket of random-hyperplane signatures in one of
+several tables. The number of bits follows the row count, so buckets keep their size, work
+grows in proportion to the rows, and a table of a bucket's size is searched exactly. It finds
+neighbours that are close; the nearest of rows that have nothing near may be missed.
+
+``exact`` misses nothing and suits few dimensions; in many, where all distances are alike,
+it has to compare nearly all pairs. Rows become unit vectors, where cosine order is distance order. They are assigned to the
 nearest of a bounded set of pivots. Distances inside a bounded block of a row's own cell
 give an upper bound on its k-th neighbour; by the triangle inequality only cells closer than
 that bound can hold a neighbour, so a row is sent to those cells alone (the scheme of
@@ -26,6 +32,9 @@ from assaykit.session import checkpointed
 BLOCK_ROWS = 4_000
 MAX_PIVOTS = 2_048
 SLACK = 1e-9
+#: Signature tables, and the rows a bucket is meant to hold.
+HASH_TABLES = 16
+BUCKET_ROWS = 400
 
 
 def column_moments(df: DataFrame, features: str) -> DataFrame:
@@ -132,6 +141,43 @@ def _nearest(queries: pd.DataFrame, targets: pd.DataFrame, keep: int) -> pd.Data
     )
 
 
+def _hashed(points: DataFrame, total: int, k: int, tables: int = HASH_TABLES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Nearest points within shared buckets: pid, tid, distance.
+
+    A bucket that holds much more than it is meant to is cut by further bits of its
+    signature, and by hash into tiles where those do not part it: the tiles meet two by two.
+    """
+    bits = max(0, int(np.ceil(np.log2(max(1, total) / bucket_rows))))
+    first = points.select(F.size("vec").alias("d")).first()
+    planes = np.random.default_rng(11).normal(size=(tables, 62, first["d"] if first else 1))
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights = 1 << np.arange(61, -1, -1, dtype=np.int64)
+        for pdf in batches:
+            if len(pdf):
+                vec = _matrix(pdf["vec"])
+                for table in range(tables):
+                    marks = (vec @ planes[table].T > 0).astype(np.int64) @ weights
+                    yield pdf.assign(bucket_table=np.int32(table), marks=marks)
+
+    signed = checkpointed(points.select("pid", "vec").mapInPandas(sign, "pid BIGINT, vec ARRAY<DOUBLE>, bucket_table INT, marks BIGINT"))
+    prefix = F.shiftright("marks", 62 - bits)
+    # few rows: one per bucket
+    sizes = signed.groupBy("bucket_table", prefix.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    more = F.when(F.col("n") > 4 * bucket_rows, F.ceil(F.log2(F.col("n") / bucket_rows))).otherwise(0).cast("int")
+    deep = signed.withColumn("bucket", prefix).join(sizes, ["bucket_table", "bucket"]).withColumn("depth", F.least(F.lit(62), F.lit(bits) + more))
+    placed = deep.select("pid", "vec", "bucket_table", "depth", F.expr("shiftright(marks, 62 - depth)").alias("bucket"))
+    keys = ["bucket_table", "depth", "bucket"]
+    tiles = placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("tiles"))
+    own = placed.join(tiles, keys).withColumn("own", F.pmod(F.xxhash64("pid"), F.col("tiles")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    grouped = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    local = grouped.select("pid", "vec", *keys, "i", "j").groupBy(*keys, "i", "j").applyInPandas(
+        lambda pdf: _nearest(pdf, pdf, k + 1), "pid BIGINT, tid BIGINT, distance DOUBLE"
+    )
+    return local.groupBy("pid", "tid").agg(F.min("distance").alias("distance"))
+
+
 def nearest_neighbours(
     df: DataFrame,
     key: str,
@@ -140,11 +186,13 @@ def nearest_neighbours(
     block_rows: int = BLOCK_ROWS,
     max_pivots: int = MAX_PIVOTS,
     standardise: bool = True,
+    method: str = "hashed",
 ) -> DataFrame:
     """The k nearest other rows of every row: columns ``id``, ``neighbour``, ``rank``.
 
     ``key`` is a unique BIGINT. Vectors are z-scored first unless told not to, and always
     scaled to length one. A row is never its own neighbour; ties go to the lower id.
+    ``method`` is ``hashed`` or ``exact``.
     """
     rows = df.select(F.col(key).alias("id"), F.col(features).alias("features")).where("features IS NOT NULL")
     if standardise:
@@ -154,6 +202,8 @@ def nearest_neighbours(
     rows = checkpointed(rows)
     points = checkpointed(rows.groupBy("vec").agg(F.min("id").alias("pid"), F.count(F.lit(1)).alias("copies")))
     total = points.count()
+    if method == "hashed":
+        return _ranked(rows, points, _hashed(points, total, k), k)
     wanted = max(1, min(max_pivots, int(np.sqrt(total))))
     # at most max_pivots vectors
     chosen = points.orderBy(F.xxhash64("pid"), "pid").limit(wanted).select("vec").collect()

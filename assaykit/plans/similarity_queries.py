@@ -143,21 +143,37 @@ tally AS (SELECT id, label, SUM(v)::BIGINT AS k, coalesce(SUM(v) FILTER (WHERE n
 """
 
 
+@query("neighbours_of_copies", """WITH fam AS (
+  SELECT vec_id * 6 + c AS id, vec_id AS fam, list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * (1 + 0.01::DOUBLE * (((c + 2) * i * i) % 7 - 3))) AS v
+  FROM embeddings, (SELECT unnest(range(0, 6)) AS c)),
+u AS (SELECT id, fam, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM fam),
+near AS (SELECT a.id, b.id AS neighbour, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.v, b.v) / (a.n * b.n) DESC, b.id) AS rank
+  FROM u a JOIN u b ON a.fam = b.fam AND a.id <> b.id)
+SELECT id, neighbour, CAST(rank AS INTEGER) AS rank FROM near""")
+def neighbours_of_copies(t: Tables):
+    """All 64 dimensions, every vector in six slightly bent copies: the five others are its neighbours."""
+    bent = F.transform(
+        "embedding", lambda x, i: x.cast("double") * (1 + F.lit(0.01) * (((F.col("c") + 2) * (i + 1) * (i + 1)) % 7 - 3)))
+    rows = t.embeddings.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(5)))).select(
+        (F.col("vec_id") * 6 + F.col("c")).alias("id"), bent.alias("v"))
+    return knn.nearest_neighbours(rows, "id", "v", 5, standardise=False, method="hashed")
+
+
 @query("nearest_neighbours", f"WITH {_KNN} SELECT id, neighbour, CAST(rank AS INTEGER) AS rank FROM near")
 def nearest_neighbours(t: Tables):
-    return knn.nearest_neighbours(_quadrants(t), "vec_id", "features", 5)
+    return knn.nearest_neighbours(_quadrants(t), "vec_id", "features", 5, method="exact")
 
 
 @query("neighbour_consensus", f"WITH {_KNN} SELECT id, label, k, own AS own_votes, consensus FROM tally")
 def neighbour_consensus(t: Tables):
-    return labels.neighbour_consensus(knn.labelled_neighbours(_quadrants(t), "vec_id", "features", "label"))
+    return labels.neighbour_consensus(knn.labelled_neighbours(_quadrants(t), "vec_id", "features", "label", method="exact"))
 
 
 @query("label_suspects", f"""WITH {_KNN} SELECT id, label AS assigned_label, consensus AS consensus_neighbor_label,
   {rounded("(k - own) / k::DOUBLE", 2)} AS disagreement_rate, CASE WHEN (k - own) * 10 >= k * 8 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence
 FROM tally WHERE (k - own) * 10 >= k * 6 AND consensus <> label""")
 def label_suspects(t: Tables):
-    return labels.label_suspects(knn.labelled_neighbours(_quadrants(t), "vec_id", "features", "label"))
+    return labels.label_suspects(knn.labelled_neighbours(_quadrants(t), "vec_id", "features", "label", method="exact"))
 
 
 @query("neighbours_all_dimensions", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
@@ -167,7 +183,7 @@ SELECT id, neighbour, CAST(rank AS INTEGER) AS rank FROM (
   FROM e a JOIN e b ON a.vec_id <> b.vec_id) WHERE rank <= 3""")
 def neighbours_all_dimensions(t: Tables):
     unit = t.embeddings.select("vec_id", V.unit(F.col("embedding")).alias("embedding"))
-    return knn.nearest_neighbours(unit, "vec_id", "embedding", 3, standardise=False)
+    return knn.nearest_neighbours(unit, "vec_id", "embedding", 3, standardise=False, method="exact")
 
 
 # --- patches ----------------------------------------------------------------------------

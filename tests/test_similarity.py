@@ -102,6 +102,32 @@ def test_lookup_is_broadcast_by_bytes(spark):
     assert "broadcast" in hints(small) and "broadcast" not in hints(wide)
 
 
+def test_hashed_neighbours_are_found_with_little_work(spark, monkeypatch):
+    from assaykit.operators import knn
+
+    monkeypatch.setattr(knn, "BUCKET_ROWS", 60)
+    compared, nearest = spark.sparkContext.accumulator(0), knn._nearest
+
+    def counting(left, right, keep):
+        compared.add(len(left) * len(right))
+        return nearest(left, right, keep)
+
+    monkeypatch.setattr(knn, "_nearest", counting)
+    monkeypatch.setattr(knn._hashed, "__defaults__", (knn.HASH_TABLES, 60))
+    work = {}
+    for families in (200, 800):
+        rng = np.random.default_rng(2)
+        centre = np.repeat(rng.normal(size=(families, 32)), 6, axis=0)
+        v = centre + 0.1 * rng.normal(size=centre.shape)
+        df = spark.createDataFrame([(n, [float(x) for x in r]) for n, r in enumerate(v)], "id BIGINT, v ARRAY<DOUBLE>")
+        before = compared.value
+        found = knn.nearest_neighbours(df, "id", "v", 5, standardise=False).collect()
+        work[families] = compared.value - before
+        hits = sum(r["id"] // 6 == r["neighbour"] // 6 for r in found)
+        assert hits / (families * 30) >= 0.95
+    assert work[800] < work[200] * 4**1.3
+
+
 def _knn_loop(ids, vectors, k):
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     gaps = np.round(1.0 - unit @ unit.T, 12)
@@ -119,13 +145,13 @@ def test_neighbours_match_brute_force(spark, block_rows, pivots):
     vectors[50:80] = vectors[50]  # a group of copies
     ids = [int(i) for i in rng.permutation(150)]
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, vectors)], "id BIGINT, v ARRAY<DOUBLE>")
-    got = knn.nearest_neighbours(df, "id", "v", 5, block_rows, pivots, standardise=False)
+    got = knn.nearest_neighbours(df, "id", "v", 5, block_rows, pivots, standardise=False, method="exact")
     assert {(r["id"], r["neighbour"], r["rank"]) for r in got.collect()} == _knn_loop(ids, vectors, 5)
 
 
 def test_label_suspects_find_planted(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
-    found = labels.label_suspects(knn.labelled_neighbours(_quadrants(t), "vec_id", "features", "label"))
+    found = labels.label_suspects(knn.labelled_neighbours(_quadrants(t), "vec_id", "features", "label", method="exact"))
     planted = {r["vec_id"] for r in t.embeddings.where("vec_id % 17 = 0").select("vec_id").collect()}
     assert planted <= {r["id"] for r in found.collect()}
 
