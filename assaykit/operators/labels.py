@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.columns import suspect_source
+from assaykit.operators.skew import lookup_join
 
 HEAVY_IMBALANCE = 8.0
 
@@ -73,3 +74,11 @@ def suspect_reason(source: str, assigned: str, consensus: str, rate: str):
         F.lit("% of feature-space nearest neighbors (consensus: '"), F.col(consensus).cast("string"), F.lit("')."),
         F.when(suspect_source(F.col(source)), " Source flagged as high-risk.").otherwise(""),
     )
+
+
+def suspect_details(suspects: DataFrame, samples: DataFrame) -> DataFrame:
+    """Suspects with where they come from and why. samples: id, source_id, batch_id."""
+    joined = lookup_join(suspects, samples.select("id", "source_id", "batch_id"), ["id"], "inner")
+    return joined.withColumn(
+        "reason", suspect_reason("source_id", "assigned_label", "consensus_neighbor_label", "disagreement_rate")
+    )

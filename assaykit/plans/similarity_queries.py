@@ -176,6 +176,19 @@ def label_suspects(t: Tables):
     return labels.label_suspects(knn.labelled_neighbours(_quadrants(t), "vec_id", "features", "label", method="exact"))
 
 
+@query("label_suspect_details", f"""WITH {_KNN}, s AS (SELECT id, label AS assigned_label, consensus, k, own,
+  CASE WHEN id % 5 = 0 THEN 'Rogue_feed' ELSE 'feed_' || id % 3 END AS source_id, 'batch_' || id % 4 AS batch_id
+FROM tally WHERE (k - own) * 10 >= k * 6 AND consensus <> label)
+SELECT id, assigned_label, source_id, batch_id, 'Sample label ' || chr(39) || assigned_label || chr(39) || ' disagrees with '
+  || CAST((k - own) * 100 // k AS VARCHAR) || '% of feature-space nearest neighbors (consensus: ' || chr(39) || consensus || chr(39) || ').'
+  || CASE WHEN id % 5 = 0 THEN ' Source flagged as high-risk.' ELSE '' END AS reason FROM s""")
+def label_suspect_details(t: Tables):
+    key = F.col("vec_id")
+    source = F.when(key % 5 == 0, "Rogue_feed").otherwise(F.concat(F.lit("feed_"), key % 3))
+    samples = t.embeddings.select(key.alias("id"), source.alias("source_id"), F.concat(F.lit("batch_"), key % 4).alias("batch_id"))
+    return labels.suspect_details(label_suspects(t), samples).select("id", "assigned_label", "source_id", "batch_id", "reason")
+
+
 @query("neighbours_all_dimensions", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
 SELECT id, neighbour, CAST(rank AS INTEGER) AS rank FROM (
   SELECT a.vec_id AS id, b.vec_id AS neighbour,
