@@ -45,7 +45,7 @@ class Index:
         bases = [np.linalg.qr(rng.normal(size=(d, d)))[0] for _ in range(max(1, -(-projections // d)))]
         self.axes = np.concatenate(bases, axis=1)[:, : max(projections, d)] * np.sqrt(d)
         projected = (lifted @ self.axes).T
-        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
+        self.order = np.argsort(projected, axis=1, kind="stable")
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
         self.spread = float(projected.std()) or 1.0
 
@@ -88,7 +88,7 @@ def search(index: Index, ids: np.ndarray, query_ids: np.ndarray, queries: np.nda
     least = min(len(ids), max(MANY * k, int(np.ceil(VERIFY * len(ids)))))
 
     def add(query_id, query, found):
-        scores = (index.vectors[found] * query).sum(axis=1)
+        scores = np.einsum("ij,j->i", index.vectors[found], query)
         best = np.lexsort((ids[found], -scores))[:k]
         out_q.append(np.full(len(best), query_id))
         out_v.append(ids[found][best])
