@@ -1,9 +1,12 @@
 """k-nearest-neighbour self-join by cosine, by one of two methods the caller names.
 
 ``hashed`` compares rows that share a bucket of random-hyperplane signatures in one of
-several tables. The number of bits follows the row count, so buckets keep their size, work
-grows in proportion to the rows, and a table of a bucket's size is searched exactly. It finds
-neighbours that are close; the nearest of rows that have nothing near may be missed.
+several tables. The number of bits follows the row count, so buckets keep their size, and a
+table of a bucket's size is searched exactly. The number of tables follows the bits, so that
+rows at cosine HASH_COSINE meet with a chance of HASH_RECALL at every row count (about the
+cube root of the row count, in tables). Rows whose k-th neighbour is missing, or so far that
+their own buckets would have missed one like it more often than that, go on to ``exact``.
+So rows that have nothing near cost what they cost there.
 
 ``exact`` misses nothing and suits few dimensions; in many, where all distances are alike,
 it has to compare nearly all pairs. Rows become unit vectors, where cosine order is distance order. They are assigned to the
@@ -32,9 +35,12 @@ from assaykit.session import checkpointed
 BLOCK_ROWS = 4_000
 MAX_PIVOTS = 2_048
 SLACK = 1e-9
-#: Signature tables, and the rows a bucket is meant to hold.
+#: Signature tables at least, and the rows a bucket is meant to hold.
 HASH_TABLES = 16
 BUCKET_ROWS = 400
+#: The chance with which rows at this cosine meet in some table, and the one a row's k-th
+#: neighbour needs for the row not to be searched exactly.
+HASH_COSINE, HASH_RECALL = 0.8, 0.95
 
 
 def column_moments(df: DataFrame, features: str) -> DataFrame:
@@ -141,41 +147,67 @@ def _nearest(queries: pd.DataFrame, targets: pd.DataFrame, keep: int) -> pd.Data
     )
 
 
-def _hashed(points: DataFrame, total: int, k: int, tables: int = HASH_TABLES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Nearest points within shared buckets: pid, tid, distance.
+def _tables(bits: int, least: int) -> int:
+    """Tables in which rows at HASH_COSINE share ``bits`` signs with a chance of HASH_RECALL."""
+    if bits == 0:
+        return 1
+    meet = (1 - np.arccos(HASH_COSINE) / np.pi) ** bits
+    return max(least, int(np.ceil(np.log(1 - HASH_RECALL) / np.log1p(-meet))))
+
+
+def _hashed(
+    points: DataFrame, total: int, k: int, tables: int = HASH_TABLES, bucket_rows: int = BUCKET_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Nearest points within shared buckets (pid, tid, distance), and the points they don't settle
+    (pid, reach: distance of the k-th neighbour found, null where there are fewer).
 
     A bucket that holds much more than it is meant to is cut by further bits of its
     signature, and by hash into tiles where those do not part it: the tiles meet two by two.
     """
     bits = max(0, int(np.ceil(np.log2(max(1, total) / bucket_rows))))
-    first = points.select(F.size("vec").alias("d")).first()
-    planes = np.random.default_rng(11).normal(size=(tables, 62, first["d"] if first else 1))
+    tables = _tables(bits, tables)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = 1 << np.arange(61, -1, -1, dtype=np.int64)
+        planes = None
         for pdf in batches:
             if len(pdf):
                 vec = _matrix(pdf["vec"])
-                for table in range(tables):
-                    marks = (vec @ planes[table].T > 0).astype(np.int64) @ weights
-                    yield pdf.assign(bucket_table=np.int32(table), marks=marks)
-
-    signed = checkpointed(points.select("pid", "vec").mapInPandas(sign, "pid BIGINT, vec ARRAY<DOUBLE>, bucket_table INT, marks BIGINT"))
-    prefix = F.shiftright("marks", 62 - bits)
+                if planes is None:
+                    planes = np.random.default_rng(11).normal(size=(tables, 62, vec.shape[1]))
+                marks = np.stack([(vec @ side.T > 0).astype(np.int64) @ weights for side in planes], axis=1)
+                yield pd.DataFrame({"pid": pdf["pid"], "marks": list(marks)})
+
+    signed = checkpointed(points.select("pid", "vec").mapInPandas(sign, "pid BIGINT, marks ARRAY<BIGINT>"))
+    opened = signed.select("pid", F.posexplode("marks").alias("bucket_table", "marks"))
+    opened = opened.withColumn("bucket", F.shiftright("marks", 62 - bits))
     # few rows: one per bucket
-    sizes = signed.groupBy("bucket_table", prefix.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = opened.groupBy("bucket_table", "bucket").agg(F.count(F.lit(1)).alias("n"))
     more = F.when(F.col("n") > 4 * bucket_rows, F.ceil(F.log2(F.col("n") / bucket_rows))).otherwise(0).cast("int")
-    deep = signed.withColumn("bucket", prefix).join(sizes, ["bucket_table", "bucket"]).withColumn("depth", F.least(F.lit(62), F.lit(bits) + more))
-    placed = deep.select("pid", "vec", "bucket_table", "depth", F.expr("shiftright(marks, 62 - depth)").alias("bucket"))
+    deep = opened.join(sizes, ["bucket_table", "bucket"]).withColumn("depth", F.least(F.lit(62), F.lit(bits) + more))
+    placed = checkpointed(deep.select("pid", "bucket_table", "depth", F.expr("shiftright(marks, 62 - depth)").alias("bucket")))
     keys = ["bucket_table", "depth", "bucket"]
     tiles = placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("tiles"))
     own = placed.join(tiles, keys).withColumn("own", F.pmod(F.xxhash64("pid"), F.col("tiles")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     grouped = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    local = grouped.select("pid", "vec", *keys, "i", "j").groupBy(*keys, "i", "j").applyInPandas(
+    local = grouped.join(points.select("pid", "vec"), "pid").select("pid", "vec", *keys, "i", "j").groupBy(*keys, "i", "j").applyInPandas(
         lambda pdf: _nearest(pdf, pdf, k + 1), "pid BIGINT, tid BIGINT, distance DOUBLE"
     )
-    return local.groupBy("pid", "tid").agg(F.min("distance").alias("distance"))
+    best = checkpointed(_best(local.groupBy("pid", "tid").agg(F.min("distance").alias("distance")), k).drop("_n"))
+
+    # copies of a point count as often as they come, the point itself not
+    nearer = W.partitionBy("pid").orderBy("distance", "tid")
+    counted = best.join(points.select(F.col("pid").alias("tid"), "copies"), "tid")
+    reached = counted.withColumn("_found", F.sum("copies").over(nearer) - 1).where(F.col("_found") >= k)
+    kth = reached.groupBy("pid").agg(F.min("distance").alias("kth"))
+    share = 1 - F.acos(F.least(F.lit(1.0), 1 - F.col("kth"))) / np.pi
+    # logarithms, added over a point's buckets
+    missed = F.aggregate("depths", F.lit(0.0), lambda acc, d: acc + F.log(F.greatest(F.lit(1e-300), 1 - F.pow(F.col("share"), d))))
+    depths = placed.groupBy("pid").agg(F.collect_list("depth").alias("depths"))
+    judged = depths.join(kth, "pid", "left").withColumn("share", share).withColumn("missed", missed)
+    unsure = judged.where(F.col("kth").isNull() | (F.col("missed") > float(np.log(1 - HASH_RECALL))))
+    return best, checkpointed(unsure.select("pid", F.sqrt(2 * F.greatest(F.lit(0.0), F.col("kth"))).alias("reach")))
 
 
 def nearest_neighbours(
@@ -202,8 +234,19 @@ def nearest_neighbours(
     rows = checkpointed(rows)
     points = checkpointed(rows.groupBy("vec").agg(F.min("id").alias("pid"), F.count(F.lit(1)).alias("copies")))
     total = points.count()
-    if method == "hashed":
-        return _ranked(rows, points, _hashed(points, total, k), k)
+    if method != "hashed":
+        return _ranked(rows, points, _exact(points, total, k, block_rows, max_pivots), k)
+    near, unsure = _hashed(points, total, k)
+    if unsure.isEmpty():
+        return _ranked(rows, points, near, k)
+    rest = _exact(points, total, k, block_rows, max_pivots, unsure)
+    return _ranked(rows, points, near.join(unsure, "pid", "left_anti").unionByName(rest), k)
+
+
+def _exact(
+    points: DataFrame, total: int, k: int, block_rows: int, max_pivots: int, only: DataFrame | None = None
+) -> DataFrame:
+    """Nearest points of all points, or of those in ``only`` (pid, reach): pid, tid, distance."""
     wanted = max(1, min(max_pivots, int(np.sqrt(total))))
     # at most max_pivots vectors
     chosen = points.orderBy(F.xxhash64("pid"), "pid").limit(wanted).select("vec").collect()
@@ -212,7 +255,7 @@ def nearest_neighbours(
     placed = checkpointed(_assign(points.select("pid", "vec", "copies"), pivots))
     # one row per pivot
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).collect()
-    spark = df.sparkSession
+    spark = points.sparkSession
     blocks = spark.createDataFrame(
         [(c["cell"], -(-c["n"] // block_rows)) for c in cells], "cell INT, blocks INT"
     )
@@ -220,6 +263,9 @@ def nearest_neighbours(
         "block", F.pmod(F.xxhash64("pid"), F.col("blocks")).cast("int")
     )
     bounded = _bounds(targets.select("pid", "vec", "copies", "cell", "block"), k)
+    if only is not None:
+        # a neighbour within reach is known, where there is a reach
+        bounded = bounded.join(only, "pid").withColumn("bound", F.least("bound", "reach")).drop("reach")
     routed = checkpointed(_routes(bounded, pivots, cells))
     # one row per pivot
     loads = routed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("lanes"))
@@ -237,16 +283,19 @@ def nearest_neighbours(
         .select("pid", "vec", "cell", "block", "lane")
     )
     group = ["cell", "block", "lane"]
-    local = asked.groupBy(*group).cogroup(offered.groupBy(*group)).applyInPandas(
+    return asked.groupBy(*group).cogroup(offered.groupBy(*group)).applyInPandas(
         lambda q, t: _nearest(q, t, k + 1), "pid BIGINT, tid BIGINT, distance DOUBLE"
     )
-    return _ranked(rows, points, local, k)
+
+
+def _best(local: DataFrame, k: int) -> DataFrame:
+    closest = W.partitionBy("pid").orderBy("distance", "tid")
+    return local.withColumn("_n", F.row_number().over(closest)).where(F.col("_n") <= k + 1)
 
 
 def _ranked(rows: DataFrame, points: DataFrame, local: DataFrame, k: int) -> DataFrame:
     """Expand vectors to rows and keep each row's k best, itself excluded."""
-    closest = W.partitionBy("pid").orderBy("distance", "tid")
-    best = local.withColumn("_n", F.row_number().over(closest)).where(F.col("_n") <= k + 1)
+    best = _best(local, k)
     # the k+1 lowest ids of every vector; Spark limits the groups before the shuffle
     lowest = W.partitionBy("vec").orderBy("id")
     copies = rows.withColumn("_c", F.row_number().over(lowest)).where(F.col("_c") <= k + 1)

@@ -128,6 +128,27 @@ def test_hashed_neighbours_are_found_with_little_work(spark, monkeypatch):
     assert work[800] < work[200] * 4**1.3
 
 
+def test_hashed_neighbours_that_are_not_close(spark, monkeypatch):
+    monkeypatch.setattr(knn._hashed, "__defaults__", (knn.HASH_TABLES, 10))
+    rng = np.random.default_rng(4)
+    # neighbours at cosines around 0.7, and rows with nothing near
+    v = np.repeat(rng.normal(size=(150, 24)), 8, axis=0) + 0.65 * rng.normal(size=(1200, 24))
+    v[::40] = rng.normal(size=(30, 24))
+    df = spark.createDataFrame([(n, [float(x) for x in r]) for n, r in enumerate(v)], "id BIGINT, v ARRAY<DOUBLE>")
+    found = {(r["id"], r["neighbour"]) for r in knn.nearest_neighbours(df, "id", "v", 5, standardise=False).collect()}
+    true = {(a, b) for a, b, _ in _knn_loop(list(range(1200)), v, 5)}
+    lone = set(range(0, 1200, 40))
+    assert len(found) == 6000 and len(found & true) / len(true) >= 0.95
+    assert {p for p in found if p[0] in lone} == {p for p in true if p[0] in lone}
+
+
+def test_tables_follow_the_row_count():
+    for rows in (10**4, 10**6, 3 * 10**7):
+        bits = int(np.ceil(np.log2(rows / knn.BUCKET_ROWS)))
+        meet = (1 - np.arccos(0.8) / np.pi) ** bits
+        assert 1 - (1 - meet) ** knn._tables(bits, knn.HASH_TABLES) >= 0.95
+
+
 def _knn_loop(ids, vectors, k):
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     gaps = np.round(1.0 - unit @ unit.T, 12)
