@@ -3,7 +3,8 @@
 Two kinds of character Markov models are trained from labelled samples that cover the whole
 corpus: transitions in ordinary text, and transitions in random strings per alphabet, from
 the values of pattern matches on top of uniform counts. A long token outside the patterns
-is a secret where the log-likelihood ratio speaks for random.
+is a secret where the log-likelihood ratio speaks for random. A token without a digit has to
+come nearer to what random letters score, and the joints of identifiers don't count in it.
 """
 
 from __future__ import annotations
@@ -46,6 +47,14 @@ _RANDOM = {
 PRIOR, BACKOFF = 200.0, 50.0
 #: The ratio needed in all and per character, in nats.
 MIN_RATIO, MIN_RATE = 12.0, 0.5
+#: The share of random letters' mean ratio that a token without a digit needs.
+LETTERS_SHARE = 0.45
+#: Alphabets of such tokens. Their models are uniform: values of letters alone are mostly words.
+_LETTERS = {
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+}
 
 _CODES = np.zeros(256, dtype=np.int64)
 for _n, _c in enumerate(_ALPHABET, start=1):
@@ -130,6 +139,17 @@ class Models:
             known = (table + PRIOR * uniform) / (table.sum(axis=1, keepdims=True) + PRIOR)
             inside = np.log(np.maximum(known, 1e-300))
             self.ratio[frozenset(letters)] = (inside - ordinary).ravel()
+        held = {}
+        for name, letters in _LETTERS.items():
+            held[name] = np.zeros(_SIZE, dtype=bool)
+            held[name][[_ALPHABET.index(c) + 1 for c in letters]] = True
+        # words of an identifier meet at signs and at capitals
+        inside = np.outer(held["mixed"], held["mixed"]) & ~np.outer(held["lower"], held["upper"])
+        self.inside = inside.ravel()
+        self.letters = {}
+        for name, letters in _LETTERS.items():
+            table = np.where(inside, -np.log(len(letters)) - ordinary, 0.0)
+            self.letters[name] = table.ravel(), float(table[inside & np.outer(held[name], held[name])].mean())
 
     def of(self, token: str) -> float:
         """How far the token speaks for the likeliest random alphabet that holds it."""
@@ -138,6 +158,16 @@ class Models:
         held = set(token)
         return max((float(table[cells].sum()) for letters, table in self.ratio.items() if held <= letters), default=-np.inf)
 
+    def is_random(self, token: str) -> bool:
+        """Whether the ratio suffices, with a digit or without one."""
+        if any(c.isdigit() for c in token):
+            return self.of(token) >= max(MIN_RATIO, MIN_RATE * len(token))
+        codes = _CODES[np.frombuffer(token.encode(), dtype=np.uint8)]
+        cells = codes[:-1] * _SIZE + codes[1:]
+        table, mean = self.letters["lower" if token.islower() else "upper" if token.isupper() else "mixed"]
+        needed = LETTERS_SHARE * mean * np.count_nonzero(self.inside[cells])
+        return float(table[cells].sum()) >= max(MIN_RATIO, needed)
+
 
 def fit(docs: DataFrame, text_col: str = "text") -> Models:
     """Train on all texts; without any match the random models are uniform."""
@@ -155,14 +185,13 @@ def spans(text: str | None, models: Models) -> list[tuple[str, int, int]]:
     for m in _TOKEN.finditer(text):
         start, end = m.span()
         token = m[0].strip("=-/+_") if m[0][0] in "=-/+_" or m[0][-1] in "-/+_" else m[0]
-        if not any(c.isdigit() for c in token) or token.isdigit() or len(token) < 16:
+        if token.isdigit() or len(token) < 16:
             continue
         start += m[0].index(token)
         end = start + len(token)
         if taken.touch(start, end):
             continue
-        ratio = models.of(token)
-        if ratio >= MIN_RATIO and ratio >= MIN_RATE * len(token):
+        if models.is_random(token):
             found.append(("markov", start, end))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 

@@ -84,6 +84,22 @@ def test_random_strings_are_told_from_words(corpus):
     assert secrets.spans(None, models) == [] and secrets.spans("4111111111111111111111", models) == []
 
 
+def test_keys_of_letters_are_told_from_identifiers(corpus):
+    models = secrets.fit(corpus)
+    r = random.Random(19)
+    small = "abcdefghijklmnopqrstuvwxyz"
+    for letters in (small, small.upper(), small + small.upper(), small + small.upper() + "0123456789"):
+        for size in (16, 20):
+            keys = ["".join(r.choice(letters) for _ in range(size)) for _ in range(200)]
+            found = [secrets.spans(f"and {k} the", models) for k in keys]
+            assert sum(s == [("markov", 4, 4 + size)] for s in found) >= 190
+    for row in corpus.collect():
+        words = [w for w in row["text"].split() if w.isalpha() and w.islower() and len(w) > 4][:5]
+        camel = "".join(w.capitalize() for w in words)
+        for name in (camel[0].lower() + camel[1:], camel, "_".join(words), "-".join(words), "/".join(words), "".join(words)):
+            assert len(name) >= 16 and secrets.spans(f"and {name} the", models) == []
+
+
 def test_models_without_samples(spark):
     models = secrets.fit(spark.createDataFrame([], "doc_id long, text string"))
     assert secrets.spans("token=abcdef", models) == [("assign", 0, 12)]
