@@ -167,12 +167,14 @@ def pack(found: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) -
 
     Rows are the unit: repeated ones are packed as often as they come, null ids as well.
     Full pieces are sequences of their own. Groups are cut by hash and so stay even; a
-    copy's ordinal in its group makes equal rows different.
+    row number, stored with the pieces, makes equal rows different.
     """
     columns = found.columns
-    stored = checkpointed(found)
+    stored = checkpointed(found.withColumn("_row", F.monotonically_increasing_id()))
     rows = stored.count()
-    keyed = stored.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(1, -(-rows // group_rows)))))
+    keyed = stored.withColumn(
+        "_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_row"), F.lit(max(1, -(-rows // group_rows))))
+    )
     first = checkpointed(_packed(keyed, length, 0))
     # bins that stayed underfull meet those of other groups; their share is small, and so are these groups
     total = first.groupBy("sequence_id").agg(F.sum("length").alias("_fill"))
@@ -183,7 +185,7 @@ def pack(found: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) -
         return first.select(*columns, "sequence_id", "offset")
     groups = max(1, -(-n_loose // group_rows))
     again = loose.drop("sequence_id", "offset").withColumn(
-        "_group", F.pmod(F.xxhash64(F.lit(2), "doc_id", "piece", "ids_crc32"), F.lit(groups))
+        "_group", F.pmod(F.xxhash64(F.lit(2), "doc_id", "piece", "ids_crc32", "_row"), F.lit(groups))
     )
     second = _packed(again, length, 1)
     settled = first.join(open_bins.select("sequence_id"), "sequence_id", "left_anti")

@@ -71,6 +71,17 @@ def test_sequences_are_gapless_and_few(spark, group_rows):
     assert bound <= used <= bound + (1 if group_rows == 30_000 else 3)
 
 
+@pytest.mark.parametrize("size", [2048, 1500])
+def test_equal_rows_are_spread_over_the_groups(spark, size):
+    found = spark.range(2000).selectExpr(
+        "CAST(null AS BIGINT) AS doc_id", "0 AS piece", "0L AS start", f"CAST({size} AS BIGINT) AS length", "5L AS ids_crc32"
+    )
+    packed = packing.pack(found, group_rows=100).collect()
+    # the group stands in the upper bits, above the level
+    groups = Counter(r["sequence_id"] >> 33 for r in packed)
+    assert len(packed) == 2000 and len(groups) == 20 and max(groups.values()) <= 200
+
+
 def test_local_search_frees_bins():
     # best fit leaves 6+3 | 6+3 | 4+4 of 10; exchanges fill two bins whole
     lengths = np.array([6, 6, 4, 4, 3, 3])
