@@ -24,9 +24,7 @@ def _scene(rng, label, index):
 
 
 @pytest.fixture(scope="module")
-def attack(tmp_path_factory):
-    from conftest import write_png
-
+def attack(tmp_path_factory, png):
     rng = np.random.default_rng(11)
     folder, names = str(tmp_path_factory.mktemp("attack")), list(CLASSES)
     rows, truth = [], []
@@ -34,7 +32,7 @@ def attack(tmp_path_factory):
     def add(kind, label, image, source, contributor):
         i = len(rows)
         name = f"sample_{i:04d}"
-        write_png(f"{folder}/{name}.png", np.clip(image, 0, 255).astype(np.uint8))
+        png(f"{folder}/{name}.png", np.clip(image, 0, 255).astype(np.uint8))
         rows.append((i, name, f"file:{folder}/{name}.png", source, "batch_1", contributor, [label]))
         truth.append((kind, name))
 
