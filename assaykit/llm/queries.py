@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat, linededup, mixing, neighbours, packing, pii, quality_trees, rules, secrets, simhash
+from assaykit.llm import chat, linededup, minmax, mixing, neighbours, packing, pii, quality_trees, rules, secrets, simhash
 from assaykit.llm.common import UPPER
 
 QUERIES: dict = {}
@@ -186,3 +186,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.dedup_lines(docs).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+@_query("op12_min_max_hash")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = minmax.near_duplicates(docs, keep=["doc_id"])
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
