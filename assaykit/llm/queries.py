@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat, linededup, minmax, mixing, neighbours, packing, pii, quality_trees, rules, secrets, simhash
+from assaykit.llm import chat, linededup, minmax, mixing, neighbours, packing, pii, quality_trees, rules, secrets, simhash, trie
 from assaykit.llm.common import UPPER
 
 QUERIES: dict = {}
@@ -194,3 +194,55 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     found = minmax.near_duplicates(docs, keep=["doc_id"])
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+_TRIE_SQL = """
+WITH told AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+hashed AS (
+  SELECT conv_id, pos, length(x) AS chars, md5(length(r) || ':' || r || x) AS turn FROM told),
+bytes AS (
+  SELECT conv_id, count(*) AS own,
+         flatten(list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1),
+           lambda i: list_prepend(CAST(ascii(CAST(conv_id AS VARCHAR)[i]) AS BIGINT), list_transform(range(8), lambda j: CAST(-1 AS BIGINT))))) AS feed
+  FROM hashed GROUP BY conv_id),
+sizes AS (
+  SELECT conv_id, own, xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), feed),
+           lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, CAST(3988292384 AS BIGINT) * (c & 1)) END)) % 6 AS h
+  FROM bytes),
+convs AS (
+  SELECT s.conv_id, s.h, s.conv_id - s.conv_id % 100 AS host, least(s.h, coalesce(t.own, 0)) AS taken
+  FROM sizes s LEFT JOIN sizes t ON t.conv_id = s.conv_id - s.conv_id % 100),
+paths AS (
+  SELECT c.conv_id, o.pos + 1 AS depth, turn, chars FROM convs c JOIN hashed o ON o.conv_id = c.host AND o.pos < c.taken
+  UNION ALL
+  SELECT c.conv_id, o.pos - c.h + c.taken + 1, turn, chars FROM convs c JOIN hashed o ON o.conv_id = c.conv_id AND o.pos >= c.h),
+lists AS (
+  SELECT c.conv_id, list(turn ORDER BY depth) FILTER (turn IS NOT NULL) AS turns, list(chars ORDER BY depth) FILTER (turn IS NOT NULL) AS lens
+  FROM convs c LEFT JOIN paths p ON c.conv_id = p.conv_id GROUP BY c.conv_id),
+heads AS (
+  SELECT conv_id, d AS depth, coalesce(turns, [])[1:d] AS head, coalesce(turns, [])[1:d - 1] AS above, coalesce(lens[d], 0) AS chars,
+         d = coalesce(len(turns), 0) AS ended
+  FROM lists, unnest(generate_series(0, coalesce(len(turns), 0))) AS g(d)),
+nodes AS (
+  SELECT depth, head, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(above) AS above, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+  FROM heads GROUP BY depth, head),
+kids AS (SELECT depth - 1 AS depth, above AS head, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY depth, above),
+counted AS (
+  SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k ON n.depth = k.depth AND n.head = k.head),
+sums AS (
+  SELECT a AS depth, head[1:a] AS head, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+  FROM counted, unnest(generate_series(0, depth)) AS g(a) GROUP BY a, head[1:a])
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM counted n JOIN sums s ON n.depth = s.depth AND n.head = s.head
+LEFT JOIN nodes p ON n.depth = p.depth + 1 AND n.above = p.head
+"""
+
+
+@_query("op13_prefix_trie", _TRIE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, folder, "conversations"))
