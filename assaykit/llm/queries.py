@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat, linededup, minmax, mixing, neighbours, packing, pii, quality_trees, rules, secrets, simhash, trie
+from assaykit.llm import chat, linededup, minmax, mixing, neighbours, packing, pii, quality_trees, rules, secrets, simhash, trie, whitening
 from assaykit.llm.common import UPPER
 
 QUERIES: dict = {}
@@ -246,3 +246,13 @@ LEFT JOIN nodes p ON n.depth = p.depth + 1 AND n.above = p.head
 @_query("op13_prefix_trie", _TRIE_SQL)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return trie.prefix_trie(_table(spark, folder, "conversations"))
+
+
+@_query("op11_jacobi_davidson_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whiten(_table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    return white.select("vec_id", "n", "deviation", "identity_error", each).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation",
+        F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error",
+    )
