@@ -1,26 +1,13 @@
-import random
-
 import pytest
 
+from plain_texts import near, prose
+
 COLUMNS = (
     "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, size int, fingerprint string,"
     " score double, n_lines int, _key string, _print bigint, component_id int, sequence_id string, votes string, spans int"
 )
 
 
-def prose(seed, words):
-    r = random.Random(seed)
-    vocabulary = ["the", "of", "and", "to", "in"] + ["".join(r.choice("aeioubcdfglmnprst") for _ in range(r.randint(3, 9))) for _ in range(400)]
-    out = [r.choice(vocabulary) + (r.choice(".,") if r.random() < 0.12 else "") for _ in range(words)]
-    return " ".join(out)
-
-
-def near(text, seed):
-    words = text.split(" ")
-    words[seed % len(words)] = "changed"
-    return " ".join(words)
-
-
 @pytest.fixture(scope="session")
 def edge_rows():
     """(doc_id, text, source): nulls, empties, long texts, ties, copies, repeated rows."""
