@@ -32,9 +32,8 @@ BANDS = 24
 SEED = 20
 #: Sets of one bucket compared in one go; larger buckets are dealt into tiles that meet in pairs.
 TILE = 1_000
-#: Pairs whose signatures agree in less than this share of values are not looked at: 0.8 lies
-#: over six standard deviations above it for the 96 values of a signature.
-LOOSE = 0.5
+#: Most classes of a tally. Larger sets have a coarser tally, which rules out fewer pairs.
+TALLY = 4_096
 
 
 class MinMax:
@@ -112,13 +111,25 @@ def signatures(texts: Column, shingle: int = SHINGLE, bands: int = BANDS) -> Col
     return signed(texts)
 
 
+def tally(hashes: np.ndarray) -> bytes:
+    """How many hashes fall into each class of equal leading bits, about one class a hash.
+
+    Two sets have at most as many hashes in common as the smaller counts of all classes add
+    up to, which rules out most pairs below a similarity without the sets themselves.
+    """
+    bits = min(TALLY, max(2, len(hashes))).bit_length() - 1
+    counts = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint16).tobytes()
+
+
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(_node, _text) as (_node, _set), the sorted distinct shingle hashes."""
+    """(_node, _text) as (_node, _set, _tally), the sorted distinct shingle hashes and their tally."""
 
-    def make():
-        return lambda rows: [(node, shingle_hashes(text, shingle).view(np.int64)) for node, text in rows]
+    def of(node: int, text: str) -> tuple:
+        hashes = shingle_hashes(text, shingle)
+        return node, hashes.view(np.int64), tally(hashes)
 
-    return map_rows(texts, make, "_node bigint, _set array<bigint>")
+    return map_rows(texts, lambda: lambda rows: [of(*r) for r in rows], "_node bigint, _set array<bigint>, _tally binary")
 
 
 def near_duplicates(
@@ -194,7 +205,15 @@ def components(found: DataFrame, texts: DataFrame, shingle: int, percent: int, t
     pairs = best.select(F.col("_pivot").alias("a"), F.col("_node").alias("b"))
     sure = checkpointed(_confirmed(pairs, sets, percent))
     merged = checkpointed(connected(sure))
-    rest = _confirmed(_open_pairs(nodes, members, best, merged, percent, tile), sets, percent)
+    while True:
+        # the nearest first: most of what belongs together is then joined by few comparisons
+        likely = _open_pairs(sets, nodes, members, best, merged, percent, tile, nearest=True)
+        more = checkpointed(_confirmed(likely, sets, percent))
+        if more.limit(1).count() == 0:
+            break
+        sure = checkpointed(sure.unionByName(more))
+        merged = checkpointed(connected(sure))
+    rest = _confirmed(_open_pairs(sets, nodes, members, best, merged, percent, tile), sets, percent)
     roots = connected(checkpointed(sure.unionByName(rest))).select(F.col("node").alias("_node"), F.col("seed").alias("_root"))
     rooted = checkpointed(
         nodes.select("_d1", "_d2", "_node", "_first").join(roots, "_node", "left").select(
@@ -206,14 +225,23 @@ def components(found: DataFrame, texts: DataFrame, shingle: int, percent: int, t
 
 
 def _shared_buckets(nodes: DataFrame) -> DataFrame:
-    """(_key, _node, _n, _pivot, _pivot_n) of buckets with several sets; the pivot is the first."""
+    """(_key, _node, _n, _pivot, _pivot_n) of buckets with several sets.
+
+    The pivot of a bucket is the set that meets most others in all its buckets, ties to the
+    earliest: the text that others were copied from, where there is one.
+    """
     keyed = nodes.select(F.explode("keys").alias("_key"), "_node", F.col("n").alias("_n"))
     shared = checkpointed(
-        keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), F.min(F.struct("_node", "_n")).alias("_p"))
-        .where("_size > 1")
-        .select("_key", F.col("_p._node").alias("_pivot"), F.col("_p._n").alias("_pivot_n"))
+        keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    )
+    met = checkpointed(lookup_join(keyed, shared, ["_key"], "inner"))
+    known = met.groupBy("_node").agg(F.sum("_size").alias("_known"))
+    ranked = F.struct("_known", (-F.col("_node")).alias("_late"), F.col("_n").alias("_pivot_n"))
+    pivots = checkpointed(
+        met.join(known, "_node").groupBy("_key").agg(F.max(ranked).alias("_p"))
+        .select("_key", (-F.col("_p._late")).alias("_pivot"), F.col("_p._pivot_n").alias("_pivot_n"))
     )
-    return checkpointed(lookup_join(keyed, shared, ["_key"], "inner"))
+    return checkpointed(lookup_join(met.drop("_size"), pivots, ["_key"], "inner"))
 
 
 def _candidate_sets(nodes: DataFrame, members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -248,12 +276,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_pairs(
-    nodes: DataFrame, members: DataFrame, best: DataFrame, merged: DataFrame, percent: int, tile: int
+    sets: DataFrame, nodes: DataFrame, members: DataFrame, best: DataFrame, merged: DataFrame, percent: int, tile: int, nearest: bool = False
 ) -> DataFrame:
     """Pairs (a, b) of one bucket, not compared yet and in different components so far.
 
-    Pairs whose sizes rule a link out, or whose signatures agree in too few values, are left
-    out. A bucket with more than ``tile`` sets is dealt into tiles by hash and every two
+    Pairs are left out where sizes or tallies rule a link out; with ``nearest`` a set has one pair of each bucket, that with most values in common.
+    A bucket with more than ``tile`` sets is dealt into tiles by hash and every two
     tiles meet in a task of their own.
     """
     labels = merged.select(F.col("node").alias("_node"), F.col("seed").alias("_label"))
@@ -270,17 +298,18 @@ def _open_pairs(
     dealt = (
         lookup_join(labelled, mixed, ["_key"], "inner")
         .join(nodes.select("_node", "sig"), "_node")
+        .join(sets.select("_node", "_tally"), "_node")
         .withColumn("_own", F.pmod(F.xxhash64("_node"), F.col("_tiles")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
         .select(
             "_key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
-            "_own", "_node", "_n", "_best", "_label", "sig",
+            "_own", "_node", "_n", "_best", "_label", "sig", "_tally",
         )
     )
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _groups(frames):
-            yield _unlike_labels(group, percent)
+            yield _unlike_labels(group, percent, nearest)
 
     grouped = dealt.repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j", "_node")
     return grouped.mapInPandas(meet, "a bigint, b bigint").distinct()
@@ -306,22 +335,54 @@ def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def _unlike_labels(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _unlike_labels(group: pd.DataFrame, percent: int, nearest: bool) -> pd.DataFrame:
     """Pairs of one bucket (or two tiles of one) that are worth a look at the full sets."""
     node, size, label = (group[c].to_numpy() for c in ("_node", "_n", "_label"))
     best = group["_best"].fillna(-1).to_numpy().astype(np.int64)
     own = group["_own"].to_numpy()
     across = group["_i"].iat[0] != group["_j"].iat[0]
     sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(len(group), -1)
+    tallies = _Tallies(group["_tally"])
     left, right = [], []
-    for k in range(len(group) - 1):
-        later = slice(k + 1, None)
+    for k in range(len(group) - (not nearest)):
+        later = slice(0 if nearest else k + 1, None)
         open_ = (label[later] != label[k]) & (best[later] != node[k]) & (node[later] != best[k])
         open_ &= np.minimum(size[later], size[k]) * 100 >= np.maximum(size[later], size[k]) * percent
         if across:
             open_ &= own[later] != own[k]
-        at = np.flatnonzero(open_) + k + 1
-        at = at[(sig[at] == sig[k]).mean(axis=1) >= LOOSE]
+        at = np.flatnonzero(open_) + later.start
+        common = tallies.common(k, at)
+        at = at[common * 100 >= (size[at] + size[k] - common) * percent]
+        if nearest and len(at):
+            at = at[np.argmax((sig[at] == sig[k]).sum(axis=1))][None]
         left.append(np.full(len(at), node[k]))
         right.append(node[at])
-    return pd.DataFrame({"a": np.concatenate(left or [node[:0]]), "b": np.concatenate(right or [node[:0]])})
+    a, b = (np.concatenate(side or [node[:0]]) for side in (left, right))
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+class _Tallies:
+    """Tallies of one bucket's sets, folded to fewer classes where two differ in number."""
+
+    def __init__(self, packed: pd.Series):
+        self.own = [np.frombuffer(p, dtype=np.uint16) for p in packed]
+        self.classes = np.array([len(t) for t in self.own])
+        self.stacks = {int(c): np.stack([_folded(t, c) for t in self.own]) for c in np.unique(self.classes)}
+
+    def common(self, k: int, at: np.ndarray) -> np.ndarray:
+        """An upper bound of what set k has in common with each of the sets ``at``."""
+        out = np.zeros(len(at), dtype=np.int64)
+        classes = np.minimum(self.classes[at], self.classes[k])
+        for c in np.unique(classes):
+            stack, here = self.stacks[int(c)], np.flatnonzero(classes == c)
+            for part in range(0, len(here), 512):
+                some = here[part : part + 512]
+                out[some] = np.minimum(stack[at[some]], stack[k]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _folded(counts: np.ndarray, classes: int) -> np.ndarray:
+    """Counts in ``classes`` classes of fewer leading bits; a coarser one stays as it is, unused."""
+    if len(counts) <= classes:
+        return np.resize(counts, classes)
+    return counts.reshape(classes, -1).sum(axis=1, dtype=np.uint16)

@@ -93,3 +93,15 @@ def test_copies_and_near_copies_of_one_text(spark):
 
 def test_no_documents(no_docs):
     assert minmax.near_duplicates(no_docs).count() == 0
+
+
+def test_tallies_bound_what_sets_have_in_common():
+    import pandas as pd
+
+    r = np.random.default_rng(6)
+    pool = r.integers(0, 1 << 63, 9_000, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(r.choice(pool[: 3 * n], n)) for n in (1, 2, 3, 50, 60, 130, 900, 3_000, 3_000)]
+    tallies = minmax._Tallies(pd.Series([minmax.tally(s) for s in sets]))
+    for k, own in enumerate(sets):
+        common = tallies.common(k, np.arange(len(sets)))
+        assert all(c >= len(np.intersect1d(own, s)) for c, s in zip(common, sets)) and common[k] == len(own)
