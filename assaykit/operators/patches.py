@@ -1,19 +1,24 @@
 """Repeated local patches: clusters of near-identical unit vectors per image region.
 
-Cosine >= c on unit vectors is distance <= r. Averages over blocks of a vector, suitably
-scaled, are coordinates that never move further than the vectors do, so cells of width r
-over the three most spread coordinates put every matching pair into equal or adjacent cells.
+Cosine >= c on unit vectors is distance <= r. Vectors are turned by one orthonormal matrix
+and a few leading coordinates are cut into m blocks: of two vectors within r some block is
+within r / sqrt(m), so they meet in a cell of that block's grid. Cells are twice that wide,
+which leaves one neighbour cell per axis in reach, and of their combinations only those
+within the distance. The number of blocks follows the row count: few wide blocks for many
+rows, as their cells part more rows, many narrow ones for few.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.functions.columns import primary_label
 from assaykit.functions.vectors import dot
 from assaykit.operators import clusters, pairs
 from assaykit.operators.scan import ordered_scan
@@ -21,23 +26,131 @@ from assaykit.operators.skew import lookup_join
 from assaykit.session import checkpointed
 
 COORDINATES = 16
-CELL_AXES = 3
+#: Axes of a block at most: a row goes to at most two to this power cells of it.
+BLOCK_AXES = 9
+#: Rows that the basis and the blocks are chosen by. They decide the cost, never the result.
+PLAN_ROWS = 1_024
+#: What a row sent to a cell costs, in comparisons of two rows of a cell.
+COPY_COST = 20
 EPS = 1e-6
 # Rules on a patch cluster.
 CENTRE = "C"
 MAX_FRACTION = 0.25
 
 
-def _coordinates(vec: Column, dims: int) -> list[Column]:
-    """Orthonormal block sums of a vector (its own elements if it is short)."""
-    count = min(COORDINATES, dims)
-    edges = [round(i * dims / count) for i in range(count + 1)]
-    out = []
-    for low, high in itertools.pairwise(edges):
-        part = F.slice(vec, low + 1, high - low)
-        sums = F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-        out.append(sums / math.sqrt(high - low))
-    return out
+@dataclass
+class BlockIndex:
+    """Grid cells over blocks of rotated coordinates that rows within ``radius`` share.
+
+    basis: (dims, coordinates) with orthonormal columns; blocks of ``axes`` coordinates each.
+    """
+
+    basis: np.ndarray
+    blocks: int
+    axes: int
+    radius: float
+
+    @property
+    def reach(self) -> float:
+        return self.radius / math.sqrt(self.blocks) + EPS
+
+    def cells(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per row, block and axis: own cell, direction of the cell next to it, squared distance to that."""
+        part = points[:, : self.blocks * self.axes].reshape(len(points), self.blocks, self.axes)
+        width = 2 * self.reach
+        own = np.floor(part / width)
+        inside = part - own * width
+        step = np.where(inside < self.reach, -1, 1)
+        return own.astype(np.int64), step, np.minimum(inside, width - inside) ** 2
+
+    def touched(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, block, cell of the block) for every cell within reach, the own ones first."""
+        own, step, gap = self.cells(points)
+        masks = (np.arange(1 << self.axes)[:, None] >> np.arange(self.axes)) & 1
+        for block in range(self.blocks):
+            near = gap[:, block] @ masks.T <= self.reach**2
+            near[:, 0] = True
+            mask, row = np.nonzero(near.T)
+            yield row, np.full(len(row), block), own[row, block] + step[row, block] * masks[mask]
+
+    def share_met(self, points: np.ndarray) -> tuple[float, float]:
+        """Cells a row goes to, and the share of pairs of ``points`` that meet in some cell."""
+        own, step, gap = self.cells(points)
+        masks = (np.arange(1 << self.axes)[:, None] >> np.arange(self.axes)) & 1
+        copies, met = 0.0, np.zeros((len(points), len(points)), dtype=np.int64)
+        for block in range(self.blocks):
+            copies += float((gap[:, block] @ masks.T <= self.reach**2).sum(axis=1).mean())
+            inside, far = np.ones(met.shape, dtype=bool), np.zeros(met.shape)
+            for axis in range(self.axes):
+                ahead = own[None, :, block, axis] - own[:, None, block, axis]
+                inside &= (ahead == 0) | (ahead == step[:, None, block, axis])
+                far += np.where(ahead == 0, 0, gap[:, None, block, axis])
+            met += inside & (far <= self.reach**2)
+        apart = ~np.eye(len(points), dtype=bool)
+        return copies, float(met[apart].mean()) if len(points) > 1 else 0.0
+
+
+def block_index(sample: np.ndarray, radius: float, rows: float) -> BlockIndex:
+    """The cheapest index for ``rows`` rows per region that look like ``sample``.
+
+    The basis holds the directions in which the sample spreads most, mixed evenly.
+    """
+    dims = sample.shape[1]
+    width = min(COORDINATES, dims)
+    _, _, directions = np.linalg.svd(sample - sample.mean(axis=0), full_matrices=True)
+    mixing = np.linalg.qr(np.random.default_rng(5).standard_normal((width, width)))[0]
+    basis = directions[:width].T @ mixing
+    points = sample[:400] @ basis
+    best, cost = None, math.inf
+    for axes in range(1, min(BLOCK_AXES, width) + 1):
+        for blocks in {1, width // axes} if axes > 1 else {1}:
+            index = BlockIndex(basis, blocks, axes, radius)
+            copies, met = index.share_met(points)
+            price = COPY_COST * copies + met * rows / 2
+            if price < cost:
+                best, cost = index, price
+    return best
+
+
+def placed(nodes: DataFrame, index: BlockIndex) -> DataFrame:
+    """Rows in cells: key, node, zone, own (the row's own cell), the coordinates, rest.
+
+    ``rest`` is the length of what the coordinates leave out: it differs by no more than the
+    vectors do there, so pairs are ruled out before their vectors are fetched.
+    """
+    names = [f"x{i}" for i in range(index.basis.shape[1])]
+    schema = "key bigint, node bigint, zone bigint, own boolean, " + ", ".join(f"{n} float" for n in [*names, "rest"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1_000):
+                batch = whole.slice(start, 1_000)
+                node, zone = (batch.column(c).to_numpy() for c in ("node", "zone"))
+                vectors = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
+                points = vectors @ index.basis
+                rest = np.sqrt(np.maximum(0, (vectors**2).sum(axis=1) - (points**2).sum(axis=1)))
+                for row, block, cell in index.touched(points):
+                    key = zone[row].view(np.uint64) ^ (block + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    for axis in range(index.axes):
+                        key = (key ^ cell[:, axis].view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+                        key ^= key >> np.uint64(31)
+                    columns = [key.view(np.int64), node[row], zone[row], np.arange(len(row)) < batch.num_rows]
+                    columns += [c[row].astype(np.float32) for c in (*points.T, rest)]
+                    yield pa.record_batch([pa.array(c) for c in columns], names=["key", "node", "zone", "own", *names, "rest"])
+
+    rows = nodes.select("node", F.xxhash64("region").alias("zone"), F.col("vec").cast("array<double>").alias("vec"))
+    return rows.mapInArrow(run, schema)
+
+
+def plan_index(nodes: DataFrame, radius: float) -> BlockIndex | None:
+    """The index for ``nodes``, chosen by a bounded sample; None for an empty table."""
+    sizes = nodes.groupBy("region").count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+    if not sizes["n"]:
+        return None
+    every = max(1, sizes["n"] // (2 * PLAN_ROWS))
+    some = nodes.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("vec").limit(PLAN_ROWS).collect()
+    some = some or nodes.select("vec").limit(PLAN_ROWS).collect()
+    return block_index(np.array([r["vec"] for r in some], dtype=np.float64), radius, sizes["most"])
 
 
 def similar_links(
@@ -48,58 +161,55 @@ def similar_links(
     nodes: node, region, vec (unit vectors of one length).
     """
     radius = math.sqrt(max(0.0, 2.0 - 2.0 * similarity))
-    first = nodes.select(F.size("vec").alias("d")).limit(1).collect()
-    dims = first[0]["d"] if first else 1
-    names = [f"c{i}" for i in range(min(COORDINATES, dims))]
-    placed = nodes.select("node", "region", "vec", *[c.alias(n) for c, n in zip(_coordinates(F.col("vec"), dims), names)])
-    placed = checkpointed(placed)
-    spread = placed.agg(*[F.var_pop(n).alias(n) for n in names]).first()
-    axes = sorted(names, key=lambda n: -(spread[n] or 0.0))[:CELL_AXES]
-    width = radius + EPS
-    light = ["node", "region", *names]
-
-    def cell(shift: tuple[int, ...]) -> Column:
-        parts = [(F.floor(F.col(n) / width) + s).cast("int") for n, s in zip(axes, shift)]
-        return F.struct(F.col("region"), *[p.alias(f"k{i}") for i, p in enumerate(parts)])
-
-    own = placed.select(*light, cell((0,) * len(axes)).alias("key"))
-    shifts = list(itertools.product((-1, 0, 1), repeat=len(axes)))
-    reach = placed.select(*light, F.explode(F.array(*[cell(s) for s in shifts])).alias("key"))
-
-    def close(a, b) -> Column:
-        total = F.lit(0.0)
-        for n in names:
-            total = total + (a(n) - b(n)) * (a(n) - b(n))
-        return total <= radius * radius + EPS
-
+    nodes = checkpointed(nodes.select("node", "region", "vec"))
+    index = plan_index(nodes, radius)
+    if index is None:
+        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")), None
+    reach = checkpointed(placed(nodes, index))
+    own = reach.where("own")
+    close = _close(index)
     crowded = pairs.dense_keys(own, reach, tile_rows)
     members = None
     if crowded.limit(1).count() == 0:
         found = pairs.near_pairs(own, reach, close)
     else:
         crowded = checkpointed(crowded)
-        # cliques need the exact distance to the pivot, so the vectors come along here
-        whole_own = placed.select(*light, "vec", cell((0,) * len(axes)).alias("key"))
-        whole_reach = placed.select(*light, "vec", F.explode(F.array(*[cell(s) for s in shifts])).alias("key"))
+        # cliques need the exact distance to the pivot, so the vectors of crowded cells come along
+        whole = lookup_join(reach, crowded.select("key"), ["key"], "inner").join(nodes, "node")
         half = 1.0 - (radius / 2) ** 2 / 2
 
         def core(p, row) -> Column:
             return (dot(p("vec"), row("vec")) >= half + EPS) & (p("region") == row("region"))
 
-        members = checkpointed(pairs.cliques(whole_own, whole_reach, crowded, core))
+        members = checkpointed(pairs.cliques(whole.where("own"), whole, crowded, core))
         found = pairs.near_pairs(
             pairs.with_cliques(own, members),
             pairs.with_cliques(reach, members),
             lambda a, b: close(a, b) & pairs.apart(a, b),
             crowded,
         )
-    vectors = placed.select("node", "vec")
+    sides = [nodes.select(*[F.col(c).alias(f"{n}{c}") for c in ("node", "region", "vec")]) for n in "ab"]
     exact = (
-        found.join(vectors.select(F.col("node").alias("a"), F.col("vec").alias("va")), "a")
-        .join(vectors.select(F.col("node").alias("b"), F.col("vec").alias("vb")), "b")
-        .where(dot(F.col("va"), F.col("vb")) >= similarity)
+        # a pair may be close in several blocks
+        found.distinct().withColumnsRenamed({"a": "anode", "b": "bnode"})
+        .join(sides[0], "anode").join(sides[1], "bnode")
+        .where((F.col("aregion") == F.col("bregion")) & (dot(F.col("avec"), F.col("bvec")) >= similarity))
     )
-    return exact.select("a", "b"), members
+    return exact.select(F.col("anode").alias("a"), F.col("bnode").alias("b")), members
+
+
+def _close(index: BlockIndex) -> pairs.Match:
+    """What two rows of a cell must satisfy: coordinates, and what they leave out, near enough."""
+
+    def close(a, b) -> Column:
+        total = F.lit(0.0)
+        for n in range(index.basis.shape[1]):
+            gap = (a(f"x{n}") - b(f"x{n}")).cast("double")
+            total = total + gap * gap
+        other = (a("rest") - b("rest")).cast("double")
+        return (a("zone") == b("zone")) & (total + other * other <= index.radius**2 + 8 * EPS)
+
+    return close
 
 
 def patch_clusters(
@@ -179,7 +289,24 @@ def patch_suspects(clustered: DataFrame, summary: DataFrame) -> DataFrame:
     )
 
 
-def labelled_patches(samples: DataFrame, patches: DataFrame) -> DataFrame:
-    """Patches with the primary label of their sample."""
-    labels = samples.select("sample_id", primary_label(F.col("labels")).alias("label"))
-    return patches.join(labels, "sample_id")
+# Wording of a suspect's reason.
+REASON = (
+    "Localized patch at region '%s' exhibits anomalous cross-image repetition correlated with label '%s'"
+    " (%d samples, %.1f%% of dataset)."
+)
+
+
+def suspect_details(clustered: DataFrame, summary: DataFrame, samples: DataFrame, population: int) -> DataFrame:
+    """Suspect samples with location, class, confidence, where they came from and why.
+
+    samples: sample_id, source_id, batch_id. Of several clusters of a sample the last counts.
+    """
+    columns = ("location", "associated_class", "confidence", "cluster_size")
+    joined = lookup_join(clustered.select("sample_id", "seed"), summary.select("seed", *columns), ["seed"], "inner")
+    last = joined.groupBy("sample_id").agg(F.max_by(F.struct(*columns), "seed").alias("s")).select("sample_id", "s.*")
+    share = F.col("cluster_size") * 100.0 / population
+    reason = F.format_string(REASON, "location", F.coalesce(F.col("associated_class").cast("string"), F.lit("unlabelled")), "cluster_size", share)
+    found = last.join(samples.select("sample_id", "source_id", "batch_id"), "sample_id", "left")
+    return found.select(
+        "sample_id", F.col("location").alias("trigger_location"), "associated_class", "confidence", "source_id", "batch_id", reason.alias("reason")
+    )

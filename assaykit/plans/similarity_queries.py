@@ -294,6 +294,22 @@ def patch_suspects(t: Tables):
     return patches.patch_suspects(clustered, patches.patch_summary(clustered))
 
 
+@query("patch_suspect_details", f"""WITH {_PATCH}, total AS (SELECT COUNT(*) AS n_all FROM embeddings)
+SELECT sample_id, region AS trigger_location, top AS associated_class,
+  CASE WHEN {rounded("vmax / n::DOUBLE", 2)} >= 0.75 AND n >= 4 THEN 0.92 ELSE 0.78 END::DOUBLE AS confidence,
+  'feed_' || sample_id % 3 AS source_id, 'batch_' || sample_id % 4 AS batch_id,
+  'Localized patch at region ' || chr(39) || region || chr(39) || ' exhibits anomalous cross-image repetition correlated with label '
+    || chr(39) || top || chr(39) || ' (' || n || ' samples, ' || printf('%.1f', n * 100.0::DOUBLE / n_all) || '% of dataset).' AS reason
+FROM clustered JOIN per USING (seed, region), total""")
+def patch_suspect_details(t: Tables):
+    key = F.col("vec_id")
+    samples = t.embeddings.select(
+        key.alias("sample_id"), F.concat(F.lit("feed_"), key % 3).alias("source_id"), F.concat(F.lit("batch_"), key % 4).alias("batch_id"))
+    population = t.embeddings.count()
+    clustered = patches.patch_clusters(_regions(t), population)
+    return patches.suspect_details(clustered, patches.patch_summary(clustered), samples, population)
+
+
 # --- vector arithmetic ------------------------------------------------------------------
 
 

@@ -220,6 +220,45 @@ def test_patch_clusters_match_loop(spark, dims, tile_rows):
     assert {r["ord"]: r["seed"] for r in got.collect()} == keep
 
 
+@pytest.mark.parametrize("dims, similarity", [(3, 0.9), (16, 0.98), (30, 0.8)])
+def test_block_index_meets_all_near_pairs(dims, similarity):
+    """Whatever blocks are chosen, near pairs share a cell: one row's own cell, touched by the other."""
+    rng = np.random.default_rng(dims)
+    base = rng.normal(size=(150, dims)) / np.arange(1, dims + 1) ** 0.5
+    rows = np.concatenate([base, base + rng.normal(scale=0.08, size=base.shape)])
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    radius = (2 - 2 * similarity) ** 0.5
+    a, b = np.nonzero(np.triu(rows @ rows.T >= similarity, 1))
+    assert len(a) > 20
+    basis = patches.block_index(rows, radius, 1_000).basis
+    for blocks, axes in [(1, 1), (1, 3), (basis.shape[1] // 2, 2), (basis.shape[1] // 3, 3)]:
+        index = patches.BlockIndex(basis, blocks, axes, radius)
+        own, cells = {}, {}
+        for row, block, cell in index.touched(rows @ basis):
+            for i, (r, k, c) in enumerate(zip(row, block, map(tuple, cell))):
+                cells.setdefault((k, c), set()).add(r)
+                if i < len(rows):
+                    own[r, k] = c
+        assert all(any(y in cells[k, own[x, k]] for k in range(blocks)) for x, y in zip(a, b))
+
+
+def test_patch_candidates_follow_the_true_pairs(spark, monkeypatch):
+    """Rows with one near copy each: pairs whose vectors are fetched grow with the rows, not their square."""
+    counts, shares = [], []
+    near_pairs, chosen = patches.pairs.near_pairs, patches.block_index
+    monkeypatch.setattr(patches.pairs, "near_pairs", lambda *a: counts.append(near_pairs(*a).distinct().count()) or near_pairs(*a))
+    monkeypatch.setattr(patches, "block_index", lambda s, r, n: shares.append(chosen(s, r, n).share_met(s[:400] @ chosen(s, r, n).basis)[1]) or chosen(s, r, n))
+    for n in (1_000, 4_000):
+        rng = np.random.default_rng(n)
+        rows = rng.normal(size=(n // 2, 20))
+        rows = np.concatenate([rows, rows + rng.normal(scale=0.01, size=rows.shape)])
+        rows /= np.linalg.norm(rows, axis=1)[:, None]
+        df = spark.createDataFrame([(i, "TL", v.tolist()) for i, v in enumerate(rows)], "node BIGINT, region STRING, vec ARRAY<DOUBLE>")
+        links = {tuple(r) for r in patches.similar_links(df)[0].collect()}
+        assert links == {(i, i + n // 2) for i in range(n // 2)}
+    assert counts[1] < counts[0] * 4**1.3 and shares[1] < 0.7 * shares[0]
+
+
 def test_isolation_forest_properties(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)] + [(300, [9.0] * 6)]
