@@ -1,7 +1,8 @@
 """Outlier scores by isolation forest, min-max scaling and quantile cut-off.
 
-A tree needs 256 rows, so the forest is grown from a bounded sample (the rows with the
-smallest id hashes), one task per tree. Scoring is a map over the table.
+Every row competes for every tree: the rows with the lowest priorities, hashes of id and
+tree, are a tree's sample. One pass keeps them, each task the lowest of its own rows, and
+these short lists are merged. A tree is grown in one task, scoring is a map over the table.
 """
 
 from __future__ import annotations
@@ -61,20 +62,69 @@ def grow(features: np.ndarray, seed: int) -> list[tuple]:
     return nodes
 
 
-def forest_sample(df: DataFrame, key: str, features: str, trees: int = TREES, seed: int = 42) -> DataFrame:
-    """At most TREE_ROWS rows for each tree, chosen by hash so that a rerun picks the same."""
-    pool = (
-        df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("_h"), F.col(key).alias("_id"), F.col(features).alias("x"))
-        .orderBy("_h", "_id")
-        .limit(trees * TREE_ROWS)
-    )
-    spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    pick = W.partitionBy("tree").orderBy(F.xxhash64("_id", "tree", F.lit(seed)), "_id")
-    return spread.withColumn("_n", F.row_number().over(pick)).where(F.col("_n") <= TREE_ROWS).select("tree", "_n", "x")
+class LowestPriorities:
+    """The ``size`` rows of lowest priority per tree of those offered, as row numbers."""
+
+    def __init__(self, trees: int, size: int):
+        self.size = size
+        self.salts = _mixed(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.priority = [np.zeros(0, dtype=np.uint64) for _ in range(trees)]
+        self.row = [np.zeros(0, dtype=np.int64) for _ in range(trees)]
+        self.limit = [np.uint64(0xFFFFFFFFFFFFFFFF)] * trees
+
+    def offer(self, hashes: np.ndarray, first: int) -> None:
+        """Rows with these hashes of their ids, numbered from ``first``."""
+        for tree, salt in enumerate(self.salts):
+            priority = _mixed(hashes ^ salt)
+            better = np.flatnonzero(priority <= self.limit[tree])
+            if len(better):
+                both = np.concatenate([self.priority[tree], priority[better]])
+                rows = np.concatenate([self.row[tree], better + first])
+                kept = np.argsort(both, kind="stable")[: self.size]
+                self.priority[tree], self.row[tree] = both[kept], rows[kept]
+                if len(kept) == self.size:
+                    self.limit[tree] = self.priority[tree][-1]
+
+
+def _mixed(words: np.ndarray) -> np.ndarray:
+    words = (words ^ words >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    words = (words ^ words >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return words ^ words >> np.uint64(31)
+
+
+def forest_sample(
+    df: DataFrame, key: str, features: str, trees: int = TREES, seed: int = 42, tree_rows: int = TREE_ROWS
+) -> DataFrame:
+    """``tree_rows`` rows for each of ``trees`` trees (all, if fewer): tree, _n, x.
+
+    They are chosen among all rows by hashes of the unique ``key``, so that a rerun picks the
+    same. A task sends on ``trees * tree_rows`` rows at most, however many it reads.
+    """
+    rows = df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.col(features).cast("array<double>").alias("x"))
+
+    def lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lists, held, seen = LowestPriorities(trees, tree_rows), {}, 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            lists.offer(pdf["h"].to_numpy().view(np.uint64), seen)
+            vectors = pdf["x"].to_numpy()
+            wanted = np.unique(np.concatenate(lists.row))
+            held = {r: held[r] if r < seen else (pdf["h"].iat[r - seen], vectors[r - seen]) for r in wanted.tolist()}
+            seen += len(pdf)
+        for tree, (priority, row) in enumerate(zip(lists.priority, lists.row)):
+            if len(row):
+                hashes, vectors = zip(*(held[r] for r in row.tolist()))
+                signed = (priority ^ np.uint64(1 << 63)).view(np.int64)
+                yield pd.DataFrame({"tree": tree, "priority": signed, "h": hashes, "x": vectors})
+
+    offered = rows.mapInPandas(lowest, "tree INT, priority BIGINT, h BIGINT, x ARRAY<DOUBLE>")
+    pick = W.partitionBy("tree").orderBy("priority", "h")
+    return offered.withColumn("_n", F.row_number().over(pick)).where(F.col("_n") <= tree_rows).select("tree", "_n", "x")
 
 
 def grow_forest(sample: DataFrame, seed: int = 42) -> DataFrame:
-    """Node table of the forest: one group per tree, TREE_ROWS rows at most in each."""
+    """Node table of the forest: one group per tree, its sample in each."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values("_n")
@@ -88,7 +138,7 @@ def grow_forest(sample: DataFrame, seed: int = 42) -> DataFrame:
 
 def forest_scores(df: DataFrame, features: str, forest: DataFrame, out: str = "raw_score") -> DataFrame:
     """Add the anomaly score 2**(-mean depth / expected depth) of every row."""
-    # at most trees * (2 * TREE_ROWS - 1) node rows
+    # at most trees * (2 * tree_rows - 1) node rows
     nodes = forest.orderBy("tree", "node").toPandas()
     trees = [g for _, g in nodes.groupby("tree")]
     packed = [tuple(g[c].to_numpy() for c in ("split", "cut", "low", "high", "depth")) for g in trees]
@@ -139,15 +189,22 @@ def above_cutoff(df: DataFrame, score: str, share: float) -> DataFrame:
 
 
 def scored_outliers(
-    candidates: DataFrame, key: str, features: str, reference: DataFrame | None = None, seed: int = 42
+    candidates: DataFrame,
+    key: str,
+    features: str,
+    reference: DataFrame | None = None,
+    seed: int = 42,
+    trees: int = TREES,
+    tree_rows: int = TREE_ROWS,
 ) -> DataFrame:
     """Candidates (all columns but the features) with ``anomaly_score`` in 0..1.
 
-    The forest learns from ``reference`` where it has at least five rows, else from the
-    candidates themselves.
+    The forest of ``trees`` trees learns from ``reference`` where it has at least five rows,
+    else from the candidates themselves, each tree from ``tree_rows`` rows drawn from all.
     """
     use_reference = reference is not None and len(reference.select(key).take(MIN_ROWS)) >= MIN_ROWS
-    forest = grow_forest(forest_sample(reference if use_reference else candidates, key, features, seed=seed), seed)
+    sample = forest_sample(reference if use_reference else candidates, key, features, trees, seed, tree_rows)
+    forest = grow_forest(sample, seed)
     method = "IsolationForest (Reference Trained)" if use_reference else "IsolationForest (Internal Population)"
     raw = forest_scores(candidates, features, forest).drop(features).withColumn("method", F.lit(method))
     return scaled(checkpointed(raw), "raw_score", "anomaly_score").drop("raw_score")
@@ -160,6 +217,8 @@ def outliers(
     reference: DataFrame | None = None,
     share: float = 0.95,
     seed: int = 42,
+    trees: int = TREES,
+    tree_rows: int = TREE_ROWS,
 ) -> DataFrame:
     """Flagged candidates; none where there are fewer than five."""
     if len(candidates.select(key).take(MIN_ROWS)) < MIN_ROWS:
@@ -167,7 +226,8 @@ def outliers(
         return empty.withColumns(
             {"method": F.lit(""), "anomaly_score": F.lit(0.0), "confidence": F.lit("")}
         )
-    return above_cutoff(scored_outliers(candidates, key, features, reference, seed), "anomaly_score", share)
+    scored = scored_outliers(candidates, key, features, reference, seed, trees, tree_rows)
+    return above_cutoff(scored, "anomaly_score", share)
 
 
 def outlier_summary(scored: DataFrame, flagged: DataFrame, has_reference: bool) -> DataFrame:

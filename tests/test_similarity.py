@@ -273,6 +273,22 @@ def test_isolation_forest_properties(spark):
     assert outliers.outliers(df.where("id < 4"), "id", "v").count() == 0
 
 
+@pytest.mark.parametrize("parts, rows", [(1, 900), (6, 900), (3, 20)])
+def test_every_row_competes_for_every_tree(spark, parts, rows):
+    df = spark.range(rows).select("id", F.array(F.col("id").cast("double")).alias("v")).repartition(parts)
+    found = outliers.forest_sample(df, "id", "v", trees=12, seed=3, tree_rows=40).collect()
+    hashes = {r["h"]: r["id"] for r in df.select("id", F.xxhash64("id", F.lit(3)).alias("h")).collect()}
+    lists = outliers.LowestPriorities(12, rows)
+    lists.offer(np.array(list(hashes), dtype=np.int64).view(np.uint64), 0)
+    names = np.array(list(hashes.values()))
+    for tree in range(12):
+        wanted = [float(n) for n in names[lists.row[tree]][:40]]
+        assert [r["x"][0] for r in sorted((r for r in found if r["tree"] == tree), key=lambda r: r["_n"])] == wanted
+    assert len(found) == 12 * min(40, rows)
+    # over all trees the sample reaches far beyond a pool of one tree's size
+    assert rows < 100 or len({r["x"][0] for r in found}) > 300
+
+
 def test_planted_outliers_rank_first(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     stretched = F.when(F.col("vec_id") % 50 == 0, F.transform("embedding", lambda x: x * 5)).otherwise(F.col("embedding"))
