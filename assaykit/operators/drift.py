@@ -1,19 +1,20 @@
 """Distribution drift between a reference and a candidate table.
 
-All features are handled at once: both tables become (feature, value) counts in one
-pre-aggregated shuffle, and every statistic is read from one ordered scan over those
-counts. Values are compared in single precision. Nulls and NaNs are left out.
+All features are handled at once: values of both tables go to ranges of sketched quantiles
+in one shuffle, and every statistic is read exactly from the ranges' sorted arrays. Values
+are compared in single precision. Nulls and NaNs are left out.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaykit.functions.kolmogorov import two_sample_p
+from assaykit.operators.ecdf import distributions
 from assaykit.operators.scan import exact_quantiles, ordered_scan
 from assaykit.session import checkpointed, pinned
 
@@ -79,90 +80,6 @@ def psi_edges(scanned: DataFrame, bins: int = 10) -> DataFrame:
     )
 
 
-def histogram_bin(value: Column, edges: Column) -> Column:
-    """0-based bin on ``edges`` (last bin closed), or null outside them."""
-    below = F.size(F.filter(edges, lambda e: e <= value))
-    bins = F.size(edges) - 1
-    return F.when(
-        (value >= F.get(edges, F.lit(0))) & (value <= F.try_element_at(edges, F.lit(-1))),
-        F.least(below, bins) - 1,
-    )
-
-
-def joint_edges(ranges: DataFrame) -> DataFrame:
-    """Edges of equal bins over the joint range per feature; constant features give none."""
-    return ranges.where(F.col("hi") > F.col("lo")).select(
-        "feature",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(JS_BINS)),
-            lambda i: F.when(i == JS_BINS, F.col("hi")).otherwise(
-                _single(F.col("lo") + i * ((F.col("hi") - F.col("lo")) / JS_BINS))
-            ),
-        ).alias("edges"),
-    )
-
-
-def histograms(counts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Both sides' counts per bin, empty bins included, for several binnings in one pass.
-
-    edges: feature, kind, edges (a few short arrays per feature). Gives feature, kind,
-    bin, bins, width, r, c and the totals sum_r, sum_c.
-    """
-    binned = counts.join(F.broadcast(edges), "feature").select(
-        "feature", "kind", histogram_bin(F.col("value"), F.col("edges")).alias("bin"), "n_ref", "n_cand"
-    )
-    per_bin = (
-        binned.where(F.col("bin").isNotNull())
-        .groupBy("feature", "kind", "bin")
-        .agg(F.sum("n_ref").alias("r"), F.sum("n_cand").alias("c"))
-    )
-    grid = edges.where(F.size("edges") > 1).select(
-        "feature", "kind", "edges", (F.size("edges") - 1).alias("bins"),
-        F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"),
-    )
-    width = F.get("edges", F.col("bin") + 1) - F.get("edges", F.col("bin"))
-    full = (
-        grid.withColumn("width", width)
-        .drop("edges")
-        .join(per_bin, ["feature", "kind", "bin"], "left")
-        .fillna(0, ["r", "c"])
-    )
-    # one row per feature, kind and bin from here on
-    whole = W.partitionBy("feature", "kind")
-    return full.withColumn("sum_r", F.sum("r").over(whole)).withColumn("sum_c", F.sum("c").over(whole))
-
-
-def psi(bins: DataFrame) -> DataFrame:
-    """Population stability index per feature; two edges or fewer count as no drift."""
-    share_r = (F.col("r") + PSI_EPS) / (F.col("sum_r") + F.col("bins") * PSI_EPS)
-    share_c = (F.col("c") + PSI_EPS) / (F.col("sum_c") + F.col("bins") * PSI_EPS)
-    value = F.sum((share_c - share_r) * F.log(share_c / share_r))
-    return (
-        bins.where((F.col("kind") == "psi") & (F.col("bins") > 1))
-        .groupBy("feature")
-        .agg(F.least(F.greatest(value, F.lit(0.0)), F.lit(10.0)).alias("psi"))
-    )
-
-
-def jensen_shannon(bins: DataFrame) -> DataFrame:
-    """Jensen-Shannon distance per feature over equal bins of the joint range."""
-    dense = bins.where(F.col("kind") == "js").select(
-        "feature",
-        (F.try_divide(F.col("r") / F.col("width"), F.col("sum_r")) + JS_EPS).alias("p"),
-        (F.try_divide(F.col("c") / F.col("width"), F.col("sum_c")) + JS_EPS).alias("q"),
-    )
-    whole = W.partitionBy("feature")
-    scaled = dense.select(
-        "feature", (F.col("p") / F.sum("p").over(whole)).alias("p"), (F.col("q") / F.sum("q").over(whole)).alias("q")
-    )
-    p, q = F.col("p"), F.col("q")
-    middle = (p + q) / 2
-    divergence = F.sum(p * F.log(p / middle) + q * F.log(q / middle)) / 2
-    return scaled.groupBy("feature").agg(
-        F.sqrt(F.greatest(divergence, F.lit(0.0))).alias("jensen_shannon_divergence")
-    )
-
-
 @F.pandas_udf(T.DoubleType())
 def ks_p_value(statistic: pd.Series, n_ref: pd.Series, n_cand: pd.Series) -> pd.Series:
     return pd.Series([two_sample_p(d, int(n), int(m)) for d, n, m in zip(statistic, n_ref, n_cand)])
@@ -176,49 +93,54 @@ def drift_metrics(
     Metrics are unrounded. A feature with fewer than two values on a side gives zeros
     and p = 1.
     """
-    counts = checkpointed(value_counts(reference, candidate, features))
-    scanned = checkpointed(scanned_counts(counts))
-    # an empty side has no distribution: its statistics are null here and zero below
-    cdf_gap = F.abs(
-        F.try_divide("upto_ref", "total_ref") - F.try_divide("upto_cand", "total_cand")
-    )
-    basic = pinned(scanned.groupBy("feature").agg(
-        F.max("total_ref").alias("n_ref"),
-        F.max("total_cand").alias("n_cand"),
-        F.max(cdf_gap).alias("ks_statistic"),
-        F.sum(cdf_gap * (F.col("next_value") - F.col("value"))).alias("wasserstein_distance"),
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
-        F.try_divide(F.sum(F.col("value") * F.col("n_ref")), F.max("total_ref")).alias("reference_mean"),
-        F.try_divide(F.sum(F.col("value") * F.col("n_cand")), F.max("total_cand")).alias("candidate_mean"),
-    ))
-    edges = psi_edges(scanned, bins).select("feature", F.lit("psi").alias("kind"), "edges").unionByName(
-        joint_edges(basic).select("feature", F.lit("js").alias("kind"), "edges")
-    )
-    binned = pinned(histograms(counts, pinned(edges)))
-    # every table joined here has one row per feature name given
-    joined = basic.join(F.broadcast(psi(binned)), "feature", "left").join(
-        F.broadcast(jensen_shannon(binned)), "feature", "left"
-    )
-    enough = (F.col("n_ref") >= 2) & (F.col("n_cand") >= 2)
-
-    def guarded(name: str) -> Column:
-        return F.when(enough, F.coalesce(F.col(name), F.lit(0.0))).otherwise(F.lit(0.0)).alias(name)
-
-    measured = joined.select(
-        "feature",
-        "n_ref",
-        "n_cand",
-        guarded("psi"),
-        guarded("ks_statistic"),
-        guarded("wasserstein_distance"),
-        guarded("jensen_shannon_divergence"),
-        "reference_mean",
-        "candidate_mean",
-    ).withColumn("ks_p_value", ks_p_value("ks_statistic", "n_ref", "n_cand"))
+    known = distributions(reference, candidate, features)
+    joint = {i: _joint_edges(f.low, f.high) for i, f in enumerate(known.features) if f.low is not None and f.high > f.low}
+    distance, quantiles, equal = known.gaps([i / bins for i in range(bins + 1)], joint, JS_BINS)
+    edges = {i: np.unique(q.astype(np.float32).astype(np.float64)) for i, q in quantiles.items() if known.features[i].n_ref}
+    tenths = known.counts({i: e for i, e in edges.items() if len(e) > 2})
+    # one row per feature name given
+    rows = []
+    for i, f in enumerate(known.features):
+        if f.n_ref + f.n_cand == 0:
+            continue
+        values = (0.0, 0.0, 0.0, 0.0)
+        if f.n_ref >= 2 and f.n_cand >= 2:
+            values = (
+                stability_index(*tenths[i]) if i in tenths else 0.0, *distance[i],
+                density_distance(*equal[i], np.diff(joint[i])) if i in joint else 0.0,
+            )
+        rows.append((f.name, f.n_ref, f.n_cand, *map(float, values), f.mean_ref, f.mean_cand))
+    schema = (
+        "feature STRING, n_ref BIGINT, n_cand BIGINT, psi DOUBLE, ks_statistic DOUBLE, wasserstein_distance DOUBLE,"
+        " jensen_shannon_divergence DOUBLE, reference_mean DOUBLE, candidate_mean DOUBLE"
+    )
+    measured = reference.sparkSession.createDataFrame(rows, schema)
+    measured = measured.withColumn("ks_p_value", ks_p_value("ks_statistic", "n_ref", "n_cand"))
     return measured.withColumn("is_significant_drift", significant())
 
 
+def _joint_edges(low: float, high: float) -> np.ndarray:
+    """Edges of equal bins over the joint range, the inner ones in single precision."""
+    edges = (low + np.arange(JS_BINS + 1) * ((high - low) / JS_BINS)).astype(np.float32).astype(np.float64)
+    edges[-1] = high
+    return edges
+
+
+def stability_index(ref: np.ndarray, cand: np.ndarray) -> float:
+    """Population stability index of two histograms, between 0 and 10."""
+    share_r = (ref + PSI_EPS) / (ref.sum() + len(ref) * PSI_EPS)
+    share_c = (cand + PSI_EPS) / (cand.sum() + len(cand) * PSI_EPS)
+    return float(np.clip(((share_c - share_r) * np.log(share_c / share_r)).sum(), 0.0, 10.0))
+
+
+def density_distance(ref: np.ndarray, cand: np.ndarray, widths: np.ndarray) -> float:
+    """Jensen-Shannon distance of two histograms as densities."""
+    p, q = (h / widths / (h.sum() or 1.0) + JS_EPS for h in (ref, cand))
+    p, q = p / p.sum(), q / q.sum()
+    middle = (p + q) / 2
+    return float(np.sqrt(max(0.0, (p * np.log(p / middle) + q * np.log(q / middle)).sum() / 2)))
+
+
 def significant() -> Column:
     """Drift verdict from the psi, ks_statistic and ks_p_value columns."""
     return (F.col("psi") >= 0.2) | ((F.col("ks_statistic") >= 0.35) & (F.col("ks_p_value") < 0.01))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from assaykit.functions.kolmogorov import two_sample_p
-from assaykit.operators import drift
+from assaykit.operators import drift, ecdf
 
 
 def _psi(ref, cand):
@@ -62,6 +62,32 @@ def test_metrics_match_numpy(spark):
     assert rows["constant"]["is_significant_drift"]  # a constant reference drifts by KS only
 
 
+def test_ranges_of_uneven_columns(spark, monkeypatch):
+    """A value of a third of all rows, nulls, NaNs, few values, one side shorter; many small ranges."""
+    monkeypatch.setattr(ecdf, "RANGE_ROWS", 50)
+    rng = np.random.default_rng(8)
+    sides = []
+    for n, shift in ((3_000, 0.0), (1_700, 0.4)):
+        hot = np.where(rng.random(n) < 0.34, 7.0, rng.normal(shift, 3, n))
+        gone = np.where(rng.random(n) < 0.3, np.nan, rng.exponential(1 + shift, n))
+        sides.append({"hot": hot, "gone": gone, "few": rng.integers(0, 3, n).astype(float), "wide": rng.normal(0, 1e6 * (1 + shift), n)})
+    names = list(sides[0])
+
+    def frame(side):
+        rows = [[None if name == "gone" and i % 5 == 0 else float(side[name][i]) for name in names] for i in range(len(side["hot"]))]
+        return spark.createDataFrame(rows, ", ".join(f"{n} DOUBLE" for n in names)).repartition(5)
+
+    for row in drift.drift_metrics(frame(sides[0]), frame(sides[1]), names).collect():
+        kept = [side[row["feature"]][[i for i in range(len(side["hot"])) if row["feature"] != "gone" or i % 5]] for side in sides]
+        ref, cand = (x[~np.isnan(x)].astype(np.float32).astype(float) for x in kept)
+        ks, w1 = _gaps(ref, cand)
+        assert (row["n_ref"], row["n_cand"]) == (len(ref), len(cand))
+        assert row["psi"] == pytest.approx(_psi(ref, cand), abs=1e-9), row["feature"]
+        assert row["ks_statistic"] == pytest.approx(ks, abs=1e-12) and row["wasserstein_distance"] == pytest.approx(w1, rel=1e-9)
+        assert row["jensen_shannon_divergence"] == pytest.approx(_js(ref, cand), abs=1e-9)
+        assert row["reference_mean"] == pytest.approx(ref.mean(), rel=1e-9)
+
+
 def test_too_few_values(spark):
     one = spark.createDataFrame([(1.0,)], "x DOUBLE")
     row = drift.drift_metrics(one, one, ["x"]).first()
