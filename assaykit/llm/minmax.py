@@ -82,11 +82,8 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def signatures(texts: Column, shingle: int = SHINGLE, bands: int = BANDS) -> Column:
-    """Per text a struct of its set: size, 128-bit digest, bucket keys, lowest signature bytes.
-
-    All but the size are null for the empty set.
-    """
-    kind = "struct<n: int, d1: bigint, d2: bigint, keys: array<bigint>, sig: binary>"
+    """Per text a struct of its set: size, 128-bit digest, bucket keys; only the size for the empty set."""
+    kind = "struct<n: int, d1: bigint, d2: bigint, keys: array<bigint>>"
 
     @F.arrow_udf(kind)
     def signed(values: pa.Array) -> pa.Array:
@@ -97,16 +94,14 @@ def signatures(texts: Column, shingle: int = SHINGLE, bands: int = BANDS) -> Col
         for value in values:
             hashes = shingle_hashes(value.as_py(), shingle)
             if not len(hashes):
-                out.append((0, None, None, None, None))
+                out.append((0, None, None, None))
                 continue
             d1, d2 = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), dtype=np.int64).tolist()
-            signature = hashing.signature(hashes)
-            # the lowest byte of a value tells unlike values apart but for 1 in 256
-            out.append((len(hashes), d1, d2, hashing.keys(signature), signature.astype(np.uint8).tobytes()))
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-        columns = list(zip(*out)) or [()] * 5
+            out.append((len(hashes), d1, d2, hashing.keys(hashing.signature(hashes))))
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        columns = list(zip(*out)) or [()] * 4
         arrays = [pa.array(c, type=t) for c, t in zip(columns, types)]
-        return pa.StructArray.from_arrays(arrays, ["n", "d1", "d2", "keys", "sig"])
+        return pa.StructArray.from_arrays(arrays, ["n", "d1", "d2", "keys"])
 
     return signed(texts)
 
@@ -192,7 +187,7 @@ def components(found: DataFrame, texts: DataFrame, shingle: int, percent: int, t
     ``found`` has (_id, _row, _h1, _h2, _s) per document; ``texts`` (_text, _h1, _h2).
     """
     sized = found.where("_s.n > 0")
-    rep = F.struct("_row", "_h1", "_h2", "_s.n", "_s.keys", "_s.sig")
+    rep = F.struct("_row", "_h1", "_h2", "_s.n", "_s.keys")
     nodes = checkpointed(
         sized.groupBy("_s.d1", "_s.d2")
         .agg(F.min(rep).alias("_rep"), F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row")).alias("_first"))
@@ -280,7 +275,9 @@ def _open_pairs(
 ) -> DataFrame:
     """Pairs (a, b) of one bucket, not compared yet and in different components so far.
 
-    Pairs are left out where sizes or tallies rule a link out; with ``nearest`` a set has one pair of each bucket, that with most values in common.
+    Pairs are left out where sizes or tallies rule a link out. A pair counts in the first
+    bucket it shares only. With ``nearest`` a set has at most one pair of each bucket, the
+    likeliest by its tally.
     A bucket with more than ``tile`` sets is dealt into tiles by hash and every two
     tiles meet in a task of their own.
     """
@@ -297,13 +294,13 @@ def _open_pairs(
     )
     dealt = (
         lookup_join(labelled, mixed, ["_key"], "inner")
-        .join(nodes.select("_node", "sig"), "_node")
+        .join(nodes.select("_node", "keys"), "_node")
         .join(sets.select("_node", "_tally"), "_node")
         .withColumn("_own", F.pmod(F.xxhash64("_node"), F.col("_tiles")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
         .select(
             "_key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
-            "_own", "_node", "_n", "_best", "_label", "sig", "_tally",
+            "_own", "_node", "_n", "_best", "_label", "keys", "_tally",
         )
     )
 
@@ -341,7 +338,8 @@ def _unlike_labels(group: pd.DataFrame, percent: int, nearest: bool) -> pd.DataF
     best = group["_best"].fillna(-1).to_numpy().astype(np.int64)
     own = group["_own"].to_numpy()
     across = group["_i"].iat[0] != group["_j"].iat[0]
-    sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(len(group), -1)
+    keys = np.stack(group["keys"].to_numpy())
+    band = int(np.argmax(keys[0] == group["_key"].iat[0]))
     tallies = _Tallies(group["_tally"])
     left, right = [], []
     for k in range(len(group) - (not nearest)):
@@ -351,10 +349,13 @@ def _unlike_labels(group: pd.DataFrame, percent: int, nearest: bool) -> pd.DataF
         if across:
             open_ &= own[later] != own[k]
         at = np.flatnonzero(open_) + later.start
+        at = at[np.argmax(keys[at] == keys[k], axis=1) == band]
         common = tallies.common(k, at)
-        at = at[common * 100 >= (size[at] + size[k] - common) * percent]
+        union = size[at] + size[k] - common
+        good = common * 100 >= union * percent
+        at = at[good]
         if nearest and len(at):
-            at = at[np.argmax((sig[at] == sig[k]).sum(axis=1))][None]
+            at = at[np.argmax(common[good] / union[good])][None]
         left.append(np.full(len(at), node[k]))
         right.append(node[at])
     a, b = (np.concatenate(side or [node[:0]]) for side in (left, right))
