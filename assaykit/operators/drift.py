@@ -33,7 +33,6 @@ def value_counts(reference: DataFrame, candidate: DataFrame, features: list[str]
     sides = []
     for df, ref, cand in ((reference, 1, 0), (candidate, 0, 1)):
         typed = df.select(*[_single(F.col(f)).alias(f) for f in features])
-        # counted per side before the union, so the wide unpivot is reduced map-side
         sides.append(
             typed.unpivot([], features, "feature", "value")
             .where(F.col("value").isNotNull() & ~F.isnan("value"))

@@ -413,3 +413,30 @@ def event_props(t: Tables):
 def decoded_lists(t: Tables):
     text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('["'), "event_type", F.lit('","x"]'))).otherwise("[broken")
     return t.events.select("event_id", F.size(C.decode_list(text)).alias("items"))
+
+
+@query("path_origins", """WITH p AS (SELECT page_id, 'data/' || CASE WHEN page_id % 3 = 0 THEN '' ELSE 'Source_' || page_id % 3 || '/' END
+    || CASE WHEN page_id % 4 = 0 THEN '' ELSE 'old_batch_0/batch_' || page_id % 4 || '/' END
+    || regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) || ['.png', '.JPG', '.exe', '', '.tar.gz'][page_id % 5 + 1] AS path FROM pages)
+SELECT page_id, path,
+  coalesce(list_filter(string_split(path, '/'), lambda x: contains(lower(x), 'source_') OR contains(lower(x), 'contributor_'))[-1], 'default_source') AS source_id,
+  coalesce(list_filter(string_split(path, '/'), lambda x: contains(lower(x), 'batch_'))[-1], 'batch_0') AS batch_id,
+  page_id % 5 NOT IN (2, 3) AND path NOT LIKE '%/.%' AS is_allowed FROM p""")
+def path_origins(t: Tables):
+    """Source and batch named in a file's path, and whether its extension is accepted.
+
+    A name of an extension alone, such as ``.png``, has none.
+    """
+    key = F.col("page_id")
+    folders = F.concat(
+        F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("Source_"), key % 3, F.lit("/"))),
+        F.when(key % 4 == 0, "").otherwise(F.concat(F.lit("old_batch_0/batch_"), key % 4, F.lit("/"))),
+    )
+    endings = F.array(*map(F.lit, (".png", ".JPG", ".exe", "", ".tar.gz")))
+    name = P.basename(F.regexp_replace("url", "[?#].*$", ""))
+    path = F.concat(F.lit("data/"), folders, name, F.element_at(endings, (key % 5 + 1).cast("int")))
+    files = t.pages.select("page_id", path.alias("path"))
+    return files.select(
+        "page_id", "path", P.source_of(F.col("path")).alias("source_id"), P.batch_of(F.col("path")).alias("batch_id"),
+        P.extension_allowed(F.col("path")).alias("is_allowed"),
+    )
