@@ -421,7 +421,7 @@ def decoded_lists(t: Tables):
 SELECT page_id, path,
   coalesce(list_filter(string_split(path, '/'), lambda x: contains(lower(x), 'source_') OR contains(lower(x), 'contributor_'))[-1], 'default_source') AS source_id,
   coalesce(list_filter(string_split(path, '/'), lambda x: contains(lower(x), 'batch_'))[-1], 'batch_0') AS batch_id,
-  page_id % 5 NOT IN (2, 3) AND path NOT LIKE '%/.%' AS is_allowed FROM p""")
+  page_id % 5 NOT IN (2, 3) AND NOT regexp_matches(path, '/[.][^./]*$') AS is_allowed FROM p""")
 def path_origins(t: Tables):
     """Source and batch named in a file's path, and whether its extension is accepted.
 
