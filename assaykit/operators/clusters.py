@@ -4,8 +4,13 @@ Rows are taken in order. A row not yet taken starts a cluster of itself and ever
 neighbour not yet taken; the cluster counts if its weight reaches the minimum, otherwise
 the row is passed over. That is sequential, but only within a connected component: the
 components are found first, in few rounds, and then many of them are settled per task, in
-order. A component too large for one task is settled in fronts of rows by joins, as a row
-can be decided as soon as nothing earlier can still reach it.
+order. A component too large for one task is settled by joins. There every undecided row
+points to its earliest undecided neighbour, and whether it becomes a seed is a function of
+whether that one does: the opposite, never, or not known yet. Pointer doubling composes
+these functions along whole chains of rows, so a chain of any length takes a round of as
+many joins as its length has binary digits. Only rows with several undecided earlier
+neighbours wait for a later round; an order in which those follow each other throughout
+still takes a round for each.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ def star_clusters(
 
     links: (a, b) with a < b, each pair once; weights: (node, weight) of the nodes with
     weight above 1; members: optional (clique, node), all members mutual neighbours.
-    Components with more than ``component_rows`` rows go by fronts, the others by tasks.
+    Components with more than ``component_rows`` rows go by joins, the others by tasks.
     """
     heavy = weights.where("weight > 1").select("node", "weight")
     live = _weigh(_weigh(links, heavy, "a", "wa"), heavy, "b", "wb").withColumn("a_seed", F.lit(False))
@@ -85,13 +90,16 @@ def _without(part: DataFrame, large: DataFrame, n_large: int) -> DataFrame:
 
 
 def _by_fronts(live: DataFrame, crowd: DataFrame | None, min_size: int) -> list[DataFrame]:
-    """Settle components of any size, one front of decided rows per round of joins."""
+    """Settle components of any size, whole trees of dependent rows per round."""
     settled = []
     while True:
-        edges = live
+        edges = live.withColumn("hidden", F.lit(False))
         if crowd is not None:
-            edges = checkpointed(live.unionByName(_lead_edges(crowd)).dropDuplicates(["a", "b"]))
-        if edges.limit(1).count() == 0:
+            # members after the earliest have neighbours that these links don't show
+            shown = _lead_edges(crowd).withColumn("hidden", F.lit(True))
+            merged = [F.max(c).alias(c) for c in ("wa", "wb", "a_seed", "hidden")]
+            edges = checkpointed(edges.unionByName(shown).groupBy("a", "b").agg(*merged))
+        if edges.isEmpty():
             return settled
         updates = checkpointed(_decide(edges, min_size))
         settled.append(updates.where("state IN ('claimed', 'seed')").select("node", "seed"))
@@ -119,31 +127,77 @@ def _lead_edges(crowd: DataFrame) -> DataFrame:
     )
 
 
+#: What is known of a row: no seed, a seed, or neither yet.
+NO, YES, OPEN = 0, 1, 2
+
+
 def _decide(edges: DataFrame, min_size: int) -> DataFrame:
-    """(node, state, seed) for every node settled this round."""
-    firsts = edges.groupBy("b").agg(
-        F.min(F.struct("a", "a_seed")).alias("f"), F.max("wb").alias("wb")
+    """(node, state, seed) for every node about which this round finds something.
+
+    States: seed, claimed, out (neither), and barred for a node that can't be a seed but
+    may be claimed by one of several neighbours still undecided.
+    """
+    rows = _resolved(checkpointed(_pointers(edges, min_size)))
+    values = rows.select(F.col("node").alias("first"), F.col("f0").alias("first_is"))
+    # nodes without earlier neighbours have nothing to look up
+    top, below = rows.where("first IS NULL"), rows.where("first IS NOT NULL")
+    joined = lookup_join(below, values, ["first"]).unionByName(top.withColumn("first_is", F.lit(NO)))
+    state = (
+        F.when(F.col("first_seed") | (F.col("first_is") == YES), "claimed")
+        .when(F.col("f0") == YES, "seed")
+        .when((F.col("f0") == NO) & (F.col("n_in") <= 1) & ~F.col("hidden") & (F.col("first_is") == NO), "out")
+        .when(F.col("f0") == NO, "barred")
     )
-    taken = firsts.where("f.a_seed").select(
-        F.col("b").alias("node"), F.lit("claimed").alias("state"), F.col("f.a").alias("seed")
+    decided = joined.withColumn("state", state).where("state IS NOT NULL")
+    return decided.select("node", "state", F.when(F.col("state") == "claimed", F.col("first")).otherwise(F.col("node")).alias("seed"))
+
+
+def _pointers(edges: DataFrame, min_size: int) -> DataFrame:
+    """Undecided nodes with their earliest neighbour and what they are if it is none (f0) or a seed (f1).
+
+    ``up`` is the node that f0 and f1 depend on, null where they are the same.
+    """
+    into = edges.groupBy(F.col("b").alias("node")).agg(
+        F.min(F.struct("a", "a_seed")).alias("f"), F.max("wb").alias("w_in"), F.count(F.lit(1)).alias("n_in"),
+        F.max("a_seed").alias("reached"), F.max("hidden").alias("hidden"),
     )
-    free = edges.where("NOT a_seed").groupBy("a").agg(
-        F.max("wa").alias("wa"), F.sum("wb").alias("most")
+    out = edges.where("NOT a_seed").groupBy(F.col("a").alias("node")).agg(
+        F.max("wa").alias("w_out"), F.sum("wb").alias("most")
     )
-    free = free.join(firsts.select(F.col("b").alias("a")), "a", "left_anti")
-    sure = firsts.where("NOT f.a_seed").groupBy(F.col("f.a").alias("a")).agg(F.sum("wb").alias("sure"))
-    weighed = free.join(sure, "a", "left").fillna(0, ["sure"])
-    state = F.when(F.col("wa") + F.col("sure") >= min_size, "seed").when(
-        F.col("wa") + F.col("most") < min_size, "out"
+    # later neighbours that nothing earlier than the node can take
+    sure = into.where("NOT f.a_seed").groupBy(F.col("f.a").alias("node")).agg(F.sum("w_in").alias("sure"))
+    joined = into.join(out, "node", "full").join(sure, "node", "left").fillna(0, ["most", "sure", "n_in"])
+    joined = joined.fillna(False, ["reached", "hidden"]).withColumn("w", F.coalesce("w_in", "w_out"))
+    never = F.col("reached") | (~F.col("hidden") & (F.col("w") + F.col("most") < min_size))
+    alone = (F.col("n_in") <= 1) & ~F.col("hidden") & (F.col("w") + F.col("sure") >= min_size)
+    f0 = F.when(never, NO).when(alone, YES).otherwise(OPEN)
+    root = F.col("n_in") == 0
+    return joined.select(
+        "node", F.col("f.a").alias("first"), F.coalesce("f.a_seed", F.lit(False)).alias("first_seed"), "n_in", "hidden",
+        f0.alias("f0"), F.when(root, f0).otherwise(NO).alias("f1"), F.when(~root & ~never, F.col("f.a")).alias("up"),
     )
-    decided = weighed.select(F.col("a").alias("node"), state.alias("state"), F.col("a").alias("seed"))
-    return taken.unionByName(decided.where("state IS NOT NULL"))
+
+
+def _resolved(rows: DataFrame) -> DataFrame:
+    """Pointer doubling: afterwards f0 = f1 says what each node is, by what this round knows."""
+    while not rows.where("up IS NOT NULL").isEmpty():
+        above = rows.select(F.col("node").alias("up"), F.col("f0").alias("u0"), F.col("f1").alias("u1"), F.col("up").alias("next"))
+        joined = lookup_join(rows.where("up IS NOT NULL"), above, ["up"], "inner")
+
+        def through(value: str) -> Column:
+            return F.when(F.col(value) == NO, F.col("f0")).when(F.col(value) == YES, F.col("f1")).otherwise(OPEN)
+
+        stepped = joined.withColumns({"f0": through("u0"), "f1": through("u1")}).withColumn(
+            "up", F.when(F.col("f0") != F.col("f1"), F.col("next"))
+        )
+        rows = checkpointed(rows.where("up IS NULL").unionByName(stepped.select(*rows.columns)))
+    return rows
 
 
 def _advance(live: DataFrame, updates: DataFrame) -> DataFrame:
     """Links still undecided, with new seeds marked."""
     on_a = updates.select(F.col("node").alias("a"), F.col("state").alias("sa"))
-    on_b = updates.select(F.col("node").alias("b"), F.lit(True).alias("gone"))
+    on_b = updates.where("state <> 'barred'").select(F.col("node").alias("b"), F.lit(True).alias("gone"))
     joined = lookup_join(lookup_join(live, on_a, ["a"]), on_b, ["b"])
     return joined.where(
         F.col("gone").isNull() & (F.col("sa").isNull() | (F.col("sa") == "seed"))
@@ -151,8 +205,8 @@ def _advance(live: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def _advance_crowd(crowd: DataFrame, updates: DataFrame) -> DataFrame:
-    joined = lookup_join(crowd, updates.select("node", F.col("state").alias("s")), ["node"])
-    kept = joined.where(F.col("s").isNull() | (F.col("s") == "seed"))
+    known = updates.where("state <> 'barred'").select("node", F.col("state").alias("s"))
+    kept = lookup_join(crowd, known, ["node"]).where(F.col("s").isNull() | (F.col("s") == "seed"))
     return kept.select("clique", "node", "w", (F.col("seed") | F.col("s").isNotNull()).alias("seed"))
 
 

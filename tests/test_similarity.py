@@ -92,6 +92,71 @@ def test_long_chains_settle_in_few_rounds(spark, monkeypatch, shuffled):
         assert got == {n: n - n % 2 for n in range(5_000)}
 
 
+def _weighted_stars(near, weight, min_size):
+    """Greedy loop: node -> seed, over (earlier, later) links and node weights."""
+    seed_of = {}
+    for node in sorted(weight):
+        fresh = [m for m in near.get(node, ()) if m not in seed_of]
+        if node not in seed_of and weight[node] + sum(weight[m] for m in fresh) >= min_size:
+            seed_of.update(dict.fromkeys([node, *fresh], node))
+    return seed_of
+
+
+def _later(edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+    return near
+
+
+@pytest.mark.parametrize("order,min_size", [("shuffled", 3), ("ordered", 2), ("both", 3)])
+def test_giant_chains_settle_by_pointer_doubling(spark, monkeypatch, order, min_size):
+    from assaykit.operators import clusters
+
+    ids = list(range(50_000))
+    if order == "shuffled":
+        random.Random(4).shuffle(ids)
+    elif order == "both":
+        # rising to the middle, then falling: two long paths of dependent rows meet
+        ids = ids[::2] + ids[1::2][::-1]
+    edges = [(min(x, y), max(x, y)) for x, y in zip(ids, ids[1:])]
+    heavy = {n: 2 for n in range(0, 50_000, 3)} if order != "ordered" else {}
+    links = spark.createDataFrame(edges, "a BIGINT, b BIGINT")
+    weights = spark.createDataFrame(list(heavy.items()), "node BIGINT, weight BIGINT")
+    decide, double, rounds = clusters._decide, clusters.checkpointed, []
+    monkeypatch.setattr(clusters, "_decide", lambda *a: rounds.append("decide") or decide(*a))
+    monkeypatch.setattr(clusters, "connected", lambda e: stand_in(e))
+
+    def stand_in(edges):
+        # one component; the rounds of ``connected`` have their own test
+        nodes = edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).distinct()
+        return nodes.select("node", F.lit(0).cast("long").alias("seed"))
+
+    monkeypatch.setattr(clusters, "checkpointed", lambda df: rounds.append("stored") or double(df))
+    got = {r["node"]: r["seed"] for r in star_clusters(links, weights, min_size, component_rows=1).collect()}
+    assert got == _weighted_stars(_later(edges), {n: heavy.get(n, 1) for n in range(50_000)}, min_size)
+    assert rounds.count("decide") <= 8 and len(rounds) < 80, (rounds.count("decide"), len(rounds))
+
+
+@pytest.mark.parametrize("seed,min_size", [(1, 2), (3, 4)])
+def test_stars_by_joins_with_weights_and_cliques(spark, seed, min_size):
+    """Weighted nodes, sparse links and overlapping cliques, all by joins, against the loop."""
+    rnd = random.Random(seed)
+    weight = {n: rnd.choice([1, 1, 1, 2, 4]) for n in range(80)}
+    edges = {tuple(sorted(rnd.sample(range(80), 2))) for _ in range(70)}
+    cliques = [sorted(rnd.sample(range(80), rnd.randint(2, 7))) for _ in range(8)]
+    inside = {(a, b) for c in cliques for i, a in enumerate(c) for b in c[i + 1 :]}
+    members = spark.createDataFrame([(100 + i, n) for i, c in enumerate(cliques) for n in c], "clique BIGINT, node BIGINT")
+    links = spark.createDataFrame(sorted(edges), "a BIGINT, b BIGINT")
+    weights = spark.createDataFrame(list(weight.items()), "node BIGINT, weight BIGINT")
+    linked = {n for e in edges | inside for n in e}
+    want = _weighted_stars(_later(edges | inside), weight, min_size)
+    got = {r["node"]: r["seed"] for r in star_clusters(links, weights, min_size, members, component_rows=0).collect()}
+    assert got == {n: s for n, s in want.items() if n in linked or weight[n] >= min_size}
+    by_tasks = {r["node"]: r["seed"] for r in star_clusters(links, weights, min_size, members).collect()}
+    assert by_tasks == got
+
+
 def test_lookup_is_broadcast_by_bytes(spark):
     from assaykit.operators.skew import lookup_join
 
