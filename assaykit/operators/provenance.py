@@ -99,12 +99,25 @@ def settle(results: DataFrame) -> DataFrame:
 
 
 def with_replays(checked: DataFrame, replayed: DataFrame) -> DataFrame:
-    """Let replay override the status; ``replayed`` lists (arrival, reasons)."""
-    joined = checked.join(replayed.select("arrival", "reasons"), "arrival", "left")
+    """Let replay override the status; ``replayed`` lists (arrival, reasons, perhaps detail)."""
+    shown = [c for c in ("arrival", "reasons", "detail") if c in replayed.columns]
+    joined = checked.join(replayed.select(*shown), "arrival", "left")
     status = F.when(F.col("reasons").isNotNull(), "REPLAY_DETECTED").otherwise(F.col("status"))
     return settle(joined.withColumn("status", status))
 
 
+def status_details() -> Column:
+    """A sentence on how a record got its status; ``detail`` holds the texts of its replay reasons."""
+    replayed = F.concat(F.lit("Replay: "), F.col("detail"))
+    broken = F.concat(F.lit("Changed since signing: "), F.array_join("tamper_detected_in", ", "))
+    return (
+        F.when(F.col("status") == "REPLAY_DETECTED", replayed)
+        .when(F.col("status") == "INVALID_SIGNATURE", "The signature does not belong to the record")
+        .when(F.col("status") == "TAMPERED", broken)
+        .otherwise("All hashes and the signature hold")
+    )
+
+
 def record_flags(verified: DataFrame) -> DataFrame:
     """The status columns stored back with each record."""
     return verified.select(

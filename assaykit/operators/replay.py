@@ -5,6 +5,11 @@ id" rule needs just two facts per key value: the earliest arrival, and the earli
 under a different record id. Both come from partial aggregates, so a nonce or payload
 repeated by a third of the log is reduced map-side rather than sorted in one task.
 Results are long: one row per (arrival, rule).
+
+By default every record stays in the log that later ones are compared with. With
+``register_replays=False`` a flagged record does not enter it. Whether a record enters then
+depends on which earlier ones did; rounds settle at once all records that nothing earlier
+still in doubt can touch. ``submission_reasons`` compares records with a stored log instead.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ def _tagged(rows: DataFrame, rule: str, prior) -> DataFrame:
     return rows.select("arrival", F.lit(rule).alias("rule"), prior.alias("prior_record"))
 
 
-def keyed_rows(log: DataFrame) -> DataFrame:
-    """One row per record and rule: rule, key, arrival, record_id. Null keys are left out."""
+def keyed_rows(log: DataFrame, *extra: str) -> DataFrame:
+    """One row per record and rule: rule, key, arrival, record_id, ``extra``. Null keys are left out."""
     cells = []
     for rule, columns in KEYS.items():
         known = F.lit(True)
@@ -44,17 +49,17 @@ def keyed_rows(log: DataFrame) -> DataFrame:
         # a digest keeps long compound keys short in the shuffle
         key = text if len(columns) == 1 else sha256(text)
         cells.append(F.when(known, F.struct(F.lit(rule).alias("rule"), key.alias("key"))))
-    opened = log.select("arrival", "record_id", F.explode(F.array_compact(F.array(*cells))).alias("k"))
-    return opened.select("k.rule", "k.key", "arrival", "record_id")
+    opened = log.select("arrival", "record_id", *extra, F.explode(F.array_compact(F.array(*cells))).alias("k"))
+    return opened.select("k.rule", "k.key", "arrival", "record_id", *extra)
 
 
-def repeats(log: DataFrame) -> DataFrame:
+def repeats(log: DataFrame, prior: str | None = None) -> DataFrame:
     """Reasons of all rules about a value seen earlier, in one pass over the log.
 
     A repeated record id counts by itself; a nonce, sequence or payload counts when it was
-    used under another record id.
+    used under another record id. Only rows with a true ``prior`` column are compared with.
     """
-    rows = keyed_rows(log)
+    rows = keyed_rows(log, *([prior] if prior else []))
     on = ["rule", "key"]
     # numbers only, so the pass over the whole log aggregates by hashing; two digests of
     # the id tell whether a key was used under more than one
@@ -71,10 +76,12 @@ def repeats(log: DataFrame) -> DataFrame:
     )
     hits = checkpointed(lookup_join(rows, repeated, on, "inner"))
     first = F.min(F.struct(F.col("arrival").alias("at"), "record_id"))
-    leaders = checkpointed(hits.groupBy(*on).agg(first.alias("lead")))
+    leading = hits.where(prior) if prior else hits
+    leaders = checkpointed(leading.groupBy(*on).agg(first.alias("lead")))
     led = lookup_join(hits, leaders, on, "inner")
+    counting = led.where(prior) if prior else led
     others = checkpointed(
-        led.where(F.col("record_id") != F.col("lead.record_id")).groupBy(*on).agg(first.alias("next"))
+        counting.where(F.col("record_id") != F.col("lead.record_id")).groupBy(*on).agg(first.alias("next"))
     )
     own = (F.col("record_id") == F.col("lead.record_id")) & (F.col("rule") != SAME_ID)
     judged = lookup_join(led, others, on).withColumn(
@@ -84,9 +91,12 @@ def repeats(log: DataFrame) -> DataFrame:
     return late.select("arrival", "rule", F.col("prior.record_id").alias("prior_record"))
 
 
-def sequence_regressions(log: DataFrame, stream: list[str] | None = None) -> DataFrame:
-    """Rows whose sequence does not exceed the largest earlier one."""
-    scanned = ordered_scan(log, stream or [], "arrival", max_before={"head": "sequence"})
+def sequence_regressions(log: DataFrame, stream: list[str] | None = None, prior: str | None = None) -> DataFrame:
+    """Rows whose sequence does not exceed the largest earlier one (of ``prior`` rows only)."""
+    if prior:
+        log = checkpointed(log.withColumn("_counted", F.when(F.col(prior), F.col("sequence"))))
+    heads = {"head": "_counted" if prior else "sequence"}
+    scanned = ordered_scan(log, stream or [], "arrival", max_before=heads)
     return _tagged(
         scanned.where(F.col("sequence") <= F.col("head")),
         "SEQUENCE_REGRESSION",
@@ -110,17 +120,106 @@ def settle_reasons(reasons: DataFrame) -> DataFrame:
     return reasons.join(repeats, ["arrival", "rule"], "left_anti")
 
 
-def replay_reasons(log: DataFrame, now_us: int | None = None, stream: list[str] | None = None) -> DataFrame:
-    """All replay reasons: (arrival, rule, prior_record)."""
-    parts = [repeats(log), sequence_regressions(log, stream)]
+def replay_reasons(
+    log: DataFrame, now_us: int | None = None, stream: list[str] | None = None, register_replays: bool = True
+) -> DataFrame:
+    """All replay reasons: (arrival, rule, prior_record).
+
+    With ``register_replays=False`` flagged records are not compared with later ones.
+    """
+    if register_replays:
+        return _reasons(log, now_us, stream)
+    log = checkpointed(log)
+    entered = registered_arrivals(log, now_us, stream).withColumn("_entered", F.lit(True))
+    marked = log.join(entered, "arrival", "left").withColumn("_entered", F.col("_entered").isNotNull())
+    return _reasons(checkpointed(marked), now_us, stream, "_entered")
+
+
+def _reasons(log: DataFrame, now_us: int | None, stream: list[str] | None, prior: str | None = None) -> DataFrame:
+    reasons = repeats(log, prior).unionByName(sequence_regressions(log, stream, prior))
     if now_us is not None:
-        parts.append(timestamp_anomalies(log, now_us))
-    reasons = parts[0]
-    for part in parts[1:]:
-        reasons = reasons.unionByName(part)
+        reasons = reasons.unionByName(timestamp_anomalies(log, now_us))
     return settle_reasons(reasons)
 
 
+def registered_arrivals(log: DataFrame, now_us: int | None = None, stream: list[str] | None = None) -> DataFrame:
+    """Arrivals without a reason against the earlier ones that have none themselves.
+
+    A row clean against all earlier rows left is in; a row with a reason against one that is
+    in is out. Each round settles the earliest doubtful row at least, and with it all rows
+    whose doubts don't hang on one another: as many rounds as replays of replays are deep.
+    """
+    rows = log
+    while True:
+        doubtful = checkpointed(_reasons(rows, now_us, stream).select("arrival").distinct())
+        if doubtful.isEmpty():
+            return rows.select("arrival")
+        marks = doubtful.withColumn("_doubt", F.lit(True))
+        marked = checkpointed(rows.join(marks, "arrival", "left").withColumn("_sure", F.col("_doubt").isNull()).drop("_doubt"))
+        out = checkpointed(_reasons(marked, now_us, stream, "_sure").select("arrival").distinct())
+        rows = checkpointed(marked.drop("_sure").join(out, "arrival", "left_anti"))
+
+
+def submission_reasons(
+    submitted: DataFrame, registered: DataFrame, now_us: int | None = None, exclude_self: bool = False
+) -> DataFrame:
+    """Reasons of submitted records against a stored log: (arrival, rule, prior_record).
+
+    Both tables have arrival, record_id, nonce, sequence and the payload hashes; ``arrival``
+    numbers the submissions apart. Everything registered counts, whenever it arrived. A
+    stored record that is submitted again thus finds its own id; with ``exclude_self`` its
+    id counts only where it was registered with another nonce, sequence or payload. A known
+    id is not held against the sequence head, as in the log. Null keys match nothing.
+    """
+    on = ["rule", "key"]
+    fields = ["nonce", "sequence", *PAYLOAD_KEY]
+    content = F.xxhash64(*[f for c in fields for f in (F.col(c).cast("string"), F.col(c).isNull())])
+    asked = checkpointed(keyed_rows(submitted.withColumn("_content", content), "_content"))
+    stored = keyed_rows(registered.withColumn("_content", content), "_content")
+    hits = checkpointed(stored.join(asked.select(*on).distinct(), on, "left_semi"))
+    first = F.min(F.struct(F.col("arrival").alias("at"), "record_id"))
+    leaders = checkpointed(hits.groupBy(*on).agg(first.alias("lead"), F.min("_content").alias("lo"), F.max("_content").alias("hi")))
+    others = lookup_join(hits, leaders, on, "inner").where(F.col("record_id") != F.col("lead.record_id"))
+    facts = checkpointed(lookup_join(leaders, others.groupBy(*on).agg(first.alias("next")), on))
+    judged = checkpointed(lookup_join(asked, facts, on, "inner"))
+    by_id = F.col("rule") == SAME_ID
+    prior = F.when(~by_id & (F.col("record_id") == F.col("lead.record_id")), F.col("next")).otherwise(F.col("lead"))
+    found = judged.withColumn("prior", prior).where("prior IS NOT NULL")
+    if exclude_self:
+        itself = (F.col("lo") == F.col("_content")) & (F.col("hi") == F.col("_content"))
+        found = found.where(~(by_id & itself))
+    known = judged.where(by_id).select("arrival")
+    # one row
+    head = registered.agg(F.max("sequence").alias("head"))
+    behind = submitted.join(known, "arrival", "left_anti").join(F.broadcast(head), how="cross").where("sequence <= head")
+    reasons = found.select("arrival", "rule", F.col("prior.record_id").alias("prior_record")).unionByName(
+        _tagged(behind, "SEQUENCE_REGRESSION", F.col("head").cast("string"))
+    )
+    if now_us is not None:
+        reasons = reasons.unionByName(timestamp_anomalies(submitted, now_us))
+    return reasons
+
+
+def described(log: DataFrame, reasons: DataFrame) -> DataFrame:
+    """Flagged arrivals with their sorted rule names and one text: arrival, reasons, detail."""
+    prior = F.concat(F.lit("'"), F.coalesce("prior_record", F.lit("")), F.lit("'"))
+    text = {
+        SAME_ID: F.format_string("record id '%s' is registered already", "record_id"),
+        "NONCE_REUSED": F.concat(F.format_string("nonce '%s' was used by record ", "nonce"), prior),
+        "SEQUENCE_REUSED": F.concat(F.format_string("sequence %s was used by record ", F.col("sequence").cast("string")), prior),
+        "PAYLOAD_REPEATED": F.concat(F.lit("input, model and output are those of record "), prior),
+        "SEQUENCE_REGRESSION": F.format_string("sequence %s is not above the head %s", F.col("sequence").cast("string"), "prior_record"),
+        "TIMESTAMP_FUTURE": F.format_string("timestamp lies %s seconds ahead", "prior_record"),
+        "TIMESTAMP_MALFORMED": F.lit("timestamp is not an ISO time"),
+    }
+    sentence = F.lit(None).cast("string")
+    for rule, words in text.items():
+        sentence = F.when(F.col("rule") == rule, words).otherwise(sentence)
+    named = reasons.join(log.select("arrival", "record_id", "nonce", "sequence"), "arrival")
+    listed = named.groupBy("arrival").agg(F.array_sort(F.collect_list(F.struct("rule", sentence.alias("text")))).alias("_r"))
+    return listed.select("arrival", F.col("_r.rule").alias("reasons"), F.array_join("_r.text", "; ").alias("detail"))
+
+
 def replayed_arrivals(reasons: DataFrame) -> DataFrame:
     """One row per flagged arrival with its sorted rule names (at most one per rule)."""
     return reasons.groupBy("arrival").agg(F.array_sort(F.collect_set("rule")).alias("reasons"))

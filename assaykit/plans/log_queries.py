@@ -241,6 +241,83 @@ def _verified(t: Tables):
         provenance.check_records(edited), replay.replayed_arrivals(replay.replay_reasons(log)))
 
 
+# Submissions, by event number modulo 5: the stored record again; its nonce, sequence and payload
+# under another id; a fresh record; its id with another nonce and payload; a fresh record of a
+# wrong time, ahead of the clock or malformed. The signature of every 109th does not hold, every
+# 101st (but for bad signatures) was changed after signing.
+_NOW_US = 1_767_225_600_000_000
+
+_SUBMITTED = """sub AS (SELECT arrival, CASE WHEN arrival % 5 IN (0, 3) THEN record_id ELSE 'NEW-' || arrival END AS record_id,
+    CASE WHEN arrival % 5 IN (0, 1) THEN nonce ELSE sha256('fresh|' || arrival) END AS nonce,
+    CASE WHEN arrival % 5 IN (0, 1, 3) THEN sequence ELSE sequence + 1000000000 END AS sequence,
+    CASE WHEN arrival % 5 IN (0, 1) THEN input_sha256 ELSE sha256('fresh|' || arrival) END AS input_sha256, model_sha256, output_sha256,
+    CASE WHEN arrival % 10 = 4 THEN '2026-01-01T00:10:00Z' WHEN arrival % 10 = 9 THEN '10 past 8' ELSE '2025-12-31T00:00:00Z' END AS timestamp
+  FROM log)"""
+
+
+def _submitted(t: Tables):
+    kind, fresh = F.col("arrival") % 5, sha256(F.concat(F.lit("fresh|"), "arrival"))
+    at = F.when(F.col("arrival") % 10 == 4, "2026-01-01T00:10:00Z").when(F.col("arrival") % 10 == 9, "10 past 8")
+    return D.replay_log(t).withColumns({
+        "record_id": F.when(kind.isin(0, 3), F.col("record_id")).otherwise(F.concat(F.lit("NEW-"), "arrival")),
+        "nonce": F.when(kind.isin(0, 1), F.col("nonce")).otherwise(fresh),
+        "sequence": F.when(kind.isin(0, 1, 3), F.col("sequence")).otherwise(F.col("sequence") + 1_000_000_000),
+        "input_sha256": F.when(kind.isin(0, 1), F.col("input_sha256")).otherwise(fresh),
+        "timestamp": at.otherwise("2025-12-31T00:00:00Z"),
+    })
+
+
+def _submission_sql(own: str) -> str:
+    """``own``: what a registered row of the same id must fulfil to count."""
+    by_key = " UNION ALL ".join(f"""SELECT s.arrival, '{rule}' AS rule, {text} || arg_min(p.record_id, p.arrival) || '''' AS text
+      FROM sub s JOIN log p ON {" AND ".join(f"p.{k} = s.{k}" for k in keys)} AND p.record_id <> s.record_id GROUP BY s.arrival, s.nonce, s.sequence""" for rule, keys, text in (
+        ("NONCE_REUSED", ["nonce"], "'nonce ''' || s.nonce || ''' was used by record '''"),
+        ("SEQUENCE_REUSED", ["sequence"], "'sequence ' || s.sequence || ' was used by record '''"),
+        ("PAYLOAD_REPEATED", replay.PAYLOAD_KEY, "'input, model and output are those of record '''")))
+    return f"""{_R}, {_SUBMITTED}, reasons AS (
+    SELECT DISTINCT s.arrival, 'DUPLICATE_RECORD_ID' AS rule, 'record id ''' || s.record_id || ''' is registered already' AS text
+      FROM sub s JOIN log p ON p.record_id = s.record_id AND {own}
+    UNION ALL {by_key}
+    UNION ALL SELECT arrival, 'SEQUENCE_REGRESSION', 'sequence ' || sequence || ' is not above the head ' || (SELECT MAX(sequence) FROM log)
+      FROM sub WHERE sequence <= (SELECT MAX(sequence) FROM log) AND record_id NOT IN (SELECT record_id FROM log)
+    UNION ALL SELECT arrival, 'TIMESTAMP_FUTURE', 'timestamp lies 600.0 seconds ahead' FROM sub WHERE timestamp = '2026-01-01T00:10:00Z'
+    UNION ALL SELECT arrival, 'TIMESTAMP_MALFORMED', 'timestamp is not an ISO time' FROM sub WHERE timestamp = '10 past 8'),
+  per AS (SELECT arrival, string_agg(rule, ',' ORDER BY rule) AS rules, string_agg(text, '; ' ORDER BY rule) AS texts FROM reasons GROUP BY arrival),
+  v AS (SELECT s.arrival, s.record_id, rules, texts, CASE WHEN rules IS NOT NULL THEN 'REPLAY_DETECTED' WHEN s.arrival % 109 = 0 THEN 'INVALID_SIGNATURE'
+    WHEN s.arrival % 101 = 0 THEN 'TAMPERED' ELSE 'VERIFIED' END AS status FROM sub s LEFT JOIN per USING (arrival))
+  SELECT arrival, record_id, rules, status, status = 'VERIFIED' AS is_valid, CASE WHEN status = 'VERIFIED' THEN 'ACCEPT' ELSE 'QUARANTINE' END AS disposition,
+    CASE status WHEN 'REPLAY_DETECTED' THEN 'Replay: ' || texts WHEN 'INVALID_SIGNATURE' THEN 'The signature does not belong to the record'
+      WHEN 'TAMPERED' THEN 'Changed since signing: RECORD_METADATA_OR_HASH_MISMATCH' ELSE 'All hashes and the signature hold' END AS details FROM v"""
+
+
+def _verified_submissions(t: Tables, exclude_self: bool):
+    rows = _submitted(t)
+    signed = rows.withColumns({"preprocessing_sha256": sha256(F.lit("p")), "config_sha256": sha256(F.lit("c"))}).withColumn("record_hash", provenance.record_hash())
+    changed = F.when(F.col("arrival") % 101 == 0, sha256(F.lit("x"))).otherwise(F.col("config_sha256"))
+    checked = provenance.check_records(signed.withColumn("config_sha256", changed), signature_valid=F.col("arrival") % 109 != 0)
+    reasons = replay.submission_reasons(rows, D.replay_log(t), _NOW_US, exclude_self)
+    verified = provenance.with_replays(checked, replay.described(rows, reasons))
+    return verified.select("arrival", "record_id", F.array_join("reasons", ",").alias("rules"), "status", "is_valid", "disposition",
+                           provenance.status_details().alias("details"))
+
+
+@query("verify_submissions", _submission_sql("true"))
+def verify_submissions(t: Tables):
+    return _verified_submissions(t, False)
+
+
+@query("verify_submissions_without_self", _submission_sql(
+    "(p.nonce <> s.nonce OR p.sequence <> s.sequence OR p.input_sha256 <> s.input_sha256 OR p.model_sha256 <> s.model_sha256 OR p.output_sha256 <> s.output_sha256)"))
+def verify_submissions_without_self(t: Tables):
+    return _verified_submissions(t, True)
+
+
+@query("replay_reasons_unregistered")
+def replay_reasons_unregistered(t: Tables):
+    """Flagged records don't enter the log; tested against a loop, as SQL has no such order-bound choice."""
+    return replay.replay_reasons(D.replay_log(t), register_replays=False)
+
+
 @query("record_status_counts", f"""{_R}, {_REASONS}, flags AS (SELECT DISTINCT arrival FROM reasons)
 SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE f.arrival IS NULL AND l.arrival % 101 = 0) AS tampered,
   COUNT(f.arrival) AS replayed, COUNT(*) - COUNT(f.arrival) - COUNT(*) FILTER (WHERE f.arrival IS NULL AND l.arrival % 101 = 0) AS valid

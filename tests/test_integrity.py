@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +145,74 @@ def test_hot_nonce(spark):
     log = log.withColumns({c: F.col("record_id") for c in replay.PAYLOAD_KEY})
     rows = replay.replay_reasons(log).collect()
     assert len(rows) == 999 and {r["prior_record"] for r in rows} == {"R0"}
+
+
+def _random_log(seed, n=70):
+    rnd = random.Random(seed)
+    pick = lambda i, share: i if rnd.random() > share else rnd.randrange(n)
+    rows = []
+    for i in range(n):
+        payload = str(pick(i, 0.2))
+        stamp = "2024-01-01T00:00:00Z" if rnd.random() > 0.1 else rnd.choice(["2030-01-01T00:00:00Z", "bad"])
+        rows.append((i, f"R{pick(i, 0.15)}", f"n{pick(i, 0.2)}", i + rnd.choice([0, 0, 0, 0, 6, -3]), payload, payload, payload, stamp))
+    return rows
+
+
+_LOG = "arrival BIGINT, record_id STRING, nonce STRING, sequence BIGINT, input_sha256 STRING, model_sha256 STRING, output_sha256 STRING, timestamp STRING"
+
+
+def _rules(row, seen):
+    """Rules that a record breaks against the rows ``seen``, with the earliest other user of a value."""
+    _, record, nonce, sequence, *payload, stamp = row
+    found = {("DUPLICATE_RECORD_ID", record) for r in seen if r[1] == record}
+    keys = {"NONCE_REUSED": lambda r: r[2] == nonce, "SEQUENCE_REUSED": lambda r: r[3] == sequence, "PAYLOAD_REPEATED": lambda r: list(r[4:7]) == payload}
+    for rule, same in keys.items():
+        others = [r[1] for r in seen if same(r) and r[1] != record]
+        found |= {(rule, others[0])} if others else set()
+    head = max((r[3] for r in seen), default=None)
+    if head is not None and sequence <= head and not any(r[1] == record for r in seen):
+        found.add(("SEQUENCE_REGRESSION", str(head)))
+    if stamp == "bad":
+        found.add(("TIMESTAMP_MALFORMED", "bad"))
+    elif stamp.startswith("2030"):
+        found.add(("TIMESTAMP_FUTURE", None))
+    return found
+
+
+def _found(reasons):
+    got = {}
+    for r in reasons.collect():
+        got.setdefault(r["arrival"], set()).add((r["rule"], None if r["rule"] == "TIMESTAMP_FUTURE" else r["prior_record"]))
+    return got
+
+
+def test_flagged_records_stay_out_of_the_log(spark):
+    rows, entered, want = _random_log(5), [], {}
+    for row in rows:
+        broken = _rules(row, entered)
+        if broken:
+            want[row[0]] = broken
+        else:
+            entered.append(row)
+    log = spark.createDataFrame(rows, _LOG)
+    assert _found(replay.replay_reasons(log, 1704067200000000, register_replays=False)) == want
+    assert 0 < len(entered) < 70 and len({r for v in want.values() for r, _ in v}) == 7
+
+
+def test_submissions_against_a_stored_log(spark):
+    stored, rows = _random_log(6), _random_log(7)[:30]
+    # the first ten stored records again, some with another nonce
+    rows = [(100 + i, *r[1:]) for i, r in enumerate(rows)] + [(i, r[1], r[2] if i % 2 else "other", *r[3:]) for i, r in enumerate(stored[:10])]
+    log, submitted = spark.createDataFrame(stored, _LOG), spark.createDataFrame(rows, _LOG)
+    want = {r[0]: _rules(r, stored) for r in rows}
+    assert _found(replay.submission_reasons(submitted, log, 1704067200000000)) == {a: v for a, v in want.items() if v}
+    for r in rows:
+        if all(s[2:7] == r[2:7] for s in stored if s[1] == r[1]):
+            want[r[0]] = {v for v in want[r[0]] if v[0] != "DUPLICATE_RECORD_ID"}
+    reasons = replay.submission_reasons(submitted, log, 1704067200000000, exclude_self=True)
+    assert _found(reasons) == {a: v for a, v in want.items() if v}
+    texts = {r["arrival"]: r for r in replay.described(submitted, reasons).collect()}
+    assert all(len(texts[a]["detail"].split("; ")) == len(v) == len(texts[a]["reasons"]) for a, v in want.items() if v)
+    empty = submitted.where("false")
+    assert replay.submission_reasons(empty, log).count() == 0
+    assert replay.submission_reasons(submitted, log.where("false")).count() == 0
