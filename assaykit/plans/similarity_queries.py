@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import vectors as V
 from assaykit.operators import clusters, duplicates, knn, labels, patches
+from assaykit.plans import assure
 from assaykit.plans.registry import Tables, query, rounded
+from assaykit.session import checkpointed
 
 # --- hashes -----------------------------------------------------------------------------
 
@@ -328,3 +330,69 @@ def softmax_top(t: Tables):
     logits = F.slice("embedding", 1, 10)
     return t.embeddings.select("vec_id", V.argmax(logits).alias("predicted"),
                                F.round(F.array_max(V.softmax(logits)), 6).alias("confidence"))
+
+
+# --- a whole analysis -------------------------------------------------------------------
+
+
+def _planted_dataset(t: Tables):
+    """Embeddings as samples and their features, with something for every detector to find.
+
+    Every 25th row comes with four near copies from one feed, of which the second carries
+    another label in every other family; every 50th row after the first is stretched; every
+    20th shares one patch. These come from a rogue feed, all the rest from six clean ones.
+    """
+    v = F.col("vec_id")
+    zero = t.embeddings.where("vec_id = 0").select(F.slice("embedding", 1, 16).alias("z"))
+    copies = F.when(v % 25 == 0, F.sequence(F.lit(0), F.lit(4))).otherwise(F.array(F.lit(0)))
+    rows = t.embeddings.join(F.broadcast(zero), how="cross").withColumn("c", F.explode(copies))  # one-row table
+    flip = F.when(F.col("c").isin(0, 4), 0).otherwise(F.call_function("shiftleft", F.lit(1), F.col("c")) - 1).cast("bigint")
+    first = V.pack_bits(F.slice("embedding", 1, 63), lambda x: x > 0)
+    second = V.pack_bits(F.zip_with(F.slice("embedding", 2, 63), F.slice("embedding", 1, 63), lambda y, x: y.cast("double") - x), lambda d: d > 0)
+    marked = (v % 20 == 0) & (F.col("c") == 0)
+    regions = [
+        F.struct(F.lit(name).alias("region"), V.unit(F.when(marked, F.col("z")).otherwise(F.slice("embedding", 1, 16)) if r == 0
+                                                     else F.slice("embedding", 16 * r + 1, 16)).alias("vec"))
+        for r, name in enumerate(("TL", "TR", "BL", "BR"))]
+    label = F.when(v % 25 != 0, "unlabelled").when((F.col("c") == 2) & (v % 50 == 0), "B").otherwise("A")
+    source = F.when(v % 25 == 0, "feed_flood").when((v % 50 == 1) | (v % 20 == 0), "feed_rogue")
+    return rows.select(
+        (v * 5 + F.col("c")).alias("ordinal"), F.concat(F.lit("S"), v, F.lit("-"), F.col("c")).alias("sample_id"),
+        F.concat(F.lit("img/"), v, F.lit("_"), F.col("c")).alias("image_path"),
+        source.otherwise(F.concat(F.lit("feed_"), v % 6)).alias("source_id"), F.lit("batch_1").alias("batch_id"),
+        F.when(v % 25 == 0, "bob").otherwise("alice").alias("contributor"), F.array(label).alias("labels"),
+        F.when(v % 50 == 1, F.transform("embedding", lambda x: x * 5)).otherwise(F.col("embedding")).alias("vector"),
+        first.bitwiseXOR(flip).alias("phash"), second.bitwiseXOR(flip).alias("dhash"),
+        F.when(F.col("c") == 0, F.array(*regions)).otherwise(F.array().cast("array<struct<region:string,vec:array<double>>>")).alias("patches"))
+
+
+_ANALYSED = """s AS (SELECT vec_id AS v, unnest(CASE WHEN vec_id % 25 = 0 THEN [0, 1, 2, 3, 4] ELSE [0] END) AS c FROM embeddings),
+hits AS (SELECT 'duplicate' AS kind, v, c FROM s WHERE v % 25 = 0
+  UNION ALL SELECT 'label', v, c FROM s WHERE v % 50 = 0 AND c = 2
+  UNION ALL SELECT 'ood', v, c FROM s WHERE v % 50 = 1
+  UNION ALL SELECT 'trigger', v, c FROM s WHERE v % 20 = 0 AND c = 0)"""
+
+
+def _analysis(t: Tables):
+    rows = checkpointed(_planted_dataset(t))
+    samples = rows.select("ordinal", "sample_id", "image_path", "source_id", "batch_id", "contributor", "labels")
+    return assure.analyse_dataset("DS-1", samples, rows.select("image_path", "vector", "phash", "dhash", "patches"))
+
+
+@query("dataset_analysis", f"WITH {_ANALYSED} SELECT kind, CAST(v * 5 + c AS BIGINT) AS ordinal, 'S' || v || '-' || c AS sample_id FROM hits")
+def dataset_analysis(t: Tables):
+    """Everything that the detectors of one whole analysis find, by kind."""
+    found = _analysis(t)
+    return found.anomalies.join(found.samples.select("ordinal", "sample_id"), "ordinal").select("kind", "ordinal", "sample_id")
+
+
+@query("dataset_analysis_findings", f"""WITH {_ANALYSED}, n AS (SELECT kind, COUNT(*) AS affected FROM hits GROUP BY kind),
+f AS (SELECT 1 AS pos, 'NEAR_DUPLICATE' AS category, affected, affected AS listed FROM n WHERE kind = 'duplicate'
+  UNION ALL SELECT 2, 'LABEL_FLIP', affected, affected FROM n WHERE kind = 'label' UNION ALL SELECT 3, 'OOD', affected, affected FROM n WHERE kind = 'ood'
+  UNION ALL SELECT 4, 'TRIGGER', affected, affected FROM n WHERE kind = 'trigger' UNION ALL SELECT 5, 'SOURCE_POISONING', 2, 0)
+SELECT 'F-DS-1-' || lpad(CAST(row_number() OVER (ORDER BY pos) AS VARCHAR), 3, '0') AS finding_id, category, CAST(affected AS BIGINT) AS affected, CAST(listed AS BIGINT) AS listed FROM f""")
+def dataset_analysis_findings(t: Tables):
+    """The findings of that analysis, with the number of samples each one lists."""
+    found = _analysis(t)
+    listed = found.finding_samples.groupBy("finding_id").agg(F.count(F.lit(1)).alias("listed"))
+    return found.findings.join(listed, "finding_id", "left").fillna(0, ["listed"]).select("finding_id", "category", "affected", "listed")
