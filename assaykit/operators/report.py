@@ -37,20 +37,48 @@ def executive_summary(findings: DataFrame) -> DataFrame:
     )
 
 
-def report_header(findings: DataFrame, asset_risk: DataFrame, record_counts: DataFrame) -> DataFrame:
-    """One nested row: overall risk, executive summary and inference summary.
-
-    ``asset_risk`` and ``record_counts`` have one row each. The findings stay a table of
-    their own; a report of any size is the header plus that table.
+def report_header(
+    findings: DataFrame, asset_risk: DataFrame, record_counts: DataFrame,
+    dataset: DataFrame | None = None, model: DataFrame | None = None, newest: str = "finding_id",
+) -> DataFrame:
+    """One nested row: overall risk and verdict, executive summary, dataset, model,
+    distribution and inference sections.
+
+    ``asset_risk`` and ``record_counts`` have one row each, as have ``dataset`` and ``model``
+    where given; without them, or where they have no row, their section says that none was
+    selected. The shift shown is the description of the shift finding with the greatest
+    ``newest``. The findings stay a table of their own; a report of any size is the header
+    plus that table.
     """
     overall = asset_risk.select(
-        F.struct("risk_score", "risk_level", "disposition", "explanation").alias("overall")
+        F.struct("risk_score", "risk_level", "disposition", "explanation").alias("overall"),
+        F.col("disposition").alias("assessment_verdict"),
     )
     executive = executive_summary(findings)
     inference = record_counts.select(F.struct(*record_counts.columns).alias("inference_assurance"))
-    return (
-        overall.join(executive.select(F.struct(*executive.columns).alias("executive_summary")), how="cross")
-        .join(inference, how="cross")
+    joined = overall.join(executive.select(F.struct(*executive.columns).alias("executive_summary")), how="cross")
+    for part in (_section(dataset, "dataset"), _section(model, "model"), _distribution(findings, newest), inference):
+        joined = joined if part is None else joined.join(part, how="cross")
+    for name, given in (("dataset", dataset), ("model", model)):
+        chosen = F.lit(False) if given is None else F.col(name).isNotNull()
+        status = F.when(chosen, "SELECTED").otherwise(f"NO_{name.upper()}_SELECTED")
+        joined = joined.withColumn(f"{name}_status", status)
+    return joined
+
+
+def _section(table: DataFrame | None, name: str) -> DataFrame | None:
+    """The only row of a table as one struct, null where there is none."""
+    return None if table is None else table.agg(F.first(F.struct(*table.columns)).alias(name))
+
+
+def _distribution(findings: DataFrame, newest: str) -> DataFrame:
+    shift = F.col("category") == "DISTRIBUTION_SHIFT"
+    text = F.col("description") if "description" in findings.columns else F.col("category")
+    return findings.agg(
+        F.struct(
+            F.count_if(shift).alias("shift_events_recorded"),
+            F.coalesce(F.max_by(F.when(shift, text), F.when(shift, F.col(newest))), F.lit("NORMAL")).alias("recent_shift"),
+        ).alias("distribution")
     )
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import columns as C
 from assaykit.functions.hashing import sha256
-from assaykit.operators import findings as fnd, generators, models, report, sources, validation
+from assaykit.operators import findings as fnd, generators, models, provenance, report, sources, validation
 from assaykit.plans import derived as D
-from assaykit.plans.log_queries import _R, _REASONS, _verified
+from assaykit.plans.log_queries import _R, _REASONS, _statuses, _verified
 from assaykit.plans.registry import Tables, query, rounded
 from assaykit.sources import coco
 
@@ -350,6 +350,28 @@ def executive_summary(t: Tables):
     return report.executive_summary(D.findings(t))
 
 
+@query("report_header", f"""WITH {D.FINDINGS_SQL}, e AS (SELECT COUNT(*) AS findings, COUNT(*) FILTER (WHERE severity = 'CRITICAL') AS crit,
+    COUNT(*) FILTER (WHERE category = 'DISTRIBUTION_SHIFT') AS shifts, arg_max('shift of asset ' || asset_id, ord) FILTER (WHERE category = 'DISTRIBUTION_SHIFT') AS recent FROM findings),
+d AS (SELECT COUNT(*) AS n, string_agg(DISTINCT lang, ',' ORDER BY lang) AS classes FROM documents),
+r AS (SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE event_type = 'error') AS tampered, COUNT(*) FILTER (WHERE event_type = 'click') AS replayed FROM events)
+SELECT CASE WHEN crit > 0 THEN 'QUARANTINE' END AS assessment_verdict, least(100.0::DOUBLE, crit * 15.0::DOUBLE) AS risk_score, findings, crit AS critical_findings,
+  'SELECTED' AS dataset_status, 'documents' AS dataset_name, d.n AS sample_count, classes, 'NO_MODEL_SELECTED' AS model_status, CAST(NULL AS VARCHAR) AS model_name,
+  shifts AS shift_events_recorded, coalesce(recent, 'NORMAL') AS recent_shift, r.total AS records, r.tampered, r.replayed FROM e, d, r""")
+def report_header(t: Tables):
+    """The header of a report on all findings: a dataset is chosen, of the models none has the id asked for."""
+    found = D.findings(t).withColumn("description", F.concat(F.lit("shift of asset "), "asset_id"))
+    dataset = t.documents.agg(F.lit("documents").alias("name"), F.count(F.lit(1)).alias("sample_count"),
+                              F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("classes"))
+    model = t.part.where("p_partkey < 0").select(F.col("p_name").alias("name"))
+    overall = fnd.asset_risk(found.withColumn("asset_id", F.lit("ALL")))
+    header = report.report_header(found, overall, provenance.status_counts(_statuses(t)), dataset, model, "ord")
+    return header.select(
+        "assessment_verdict", "overall.risk_score", "executive_summary.findings", "executive_summary.critical_findings",
+        "dataset_status", F.col("dataset.name").alias("dataset_name"), "dataset.sample_count", "dataset.classes",
+        "model_status", F.col("model.name").alias("model_name"), "distribution.shift_events_recorded", "distribution.recent_shift",
+        F.col("inference_assurance.total").alias("records"), "inference_assurance.tampered", "inference_assurance.replayed")
+
+
 @query("findings_csv", _GENERATED + """SELECT finding_id AS "Finding ID", category AS "Category", severity AS "Severity",
   affected AS "Affected Samples Count" FROM generated""")
 def findings_csv(t: Tables):

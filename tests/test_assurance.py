@@ -111,7 +111,11 @@ def test_report_sinks(spark, folder, attack):
     from assaykit.operators import report
 
     counts = spark.createDataFrame([(5, 1, 1, 3)], "total BIGINT, tampered BIGINT, replayed BIGINT, valid BIGINT")
-    header = report.report_header(found, fnd.asset_risk(found), counts)
+    bare = report.report_header(found, fnd.asset_risk(found), counts).first()
+    assert (bare["dataset_status"], bare["model_status"]) == ("NO_DATASET_SELECTED", "NO_MODEL_SELECTED")
+    assert tuple(bare["distribution"]) == (0, "NORMAL") and bare["assessment_verdict"] == bare["overall"]["disposition"]
+    header = report.report_header(found, fnd.asset_risk(found), counts, model=spark.createDataFrame([("m1", 7)], "model_id STRING, parameter_count BIGINT"))
+    assert tuple(header.first()["model"]) == ("m1", 7) and header.first()["model_status"] == "SELECTED"
     tables.write_report(header, found, f"{folder}/r")
     read = spark.read.json(f"{folder}/r/report").first()
     assert read["executive_summary"]["model_integrity"] == "SUBSTITUTION_DETECTED" and read["inference_assurance"]["total"] == 5
