@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from assaykit.functions.hashing import sha256
@@ -42,12 +43,35 @@ def test_replay_stream_equals_batch(spark, folder):
     _files_in_order(log, f"{folder}/in", "arrival")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema.fields)
     stream = read_log(spark, f"{folder}/in", schema, files_per_trigger=1)
-    _finish(write_files(replay_stream.replay_reasons(stream), f"{folder}/out", f"{folder}/cp"))
-    got = {tuple(r) for r in replay_stream.settled(spark.read.parquet(f"{folder}/out")).collect()}
+    _finish(replay_stream.write_reasons(stream, f"{folder}/out", f"{folder}/cp"))
+    got = {tuple(r) for r in replay_stream.read_reasons(spark, f"{folder}/out").collect()}
     want = {tuple(r) for r in replay.replay_reasons(log).select("arrival", "rule", "prior_record").collect()}
     assert got == want and want
 
 
+def test_hot_keys_and_missing_values_on_a_stream(spark, folder):
+    # one nonce on two thirds of all rows, several streams, null keys, ids that repeat
+    log = _log(spark, 150, seed=9).withColumn("site", F.when(F.col("arrival") % 5 > 0, F.col("arrival") % 3))
+    log = log.withColumn("nonce", F.when(F.col("arrival") % 3 > 0, "hot").when(F.col("arrival") % 2 == 0, F.col("nonce")))
+    log = log.withColumn("sequence", F.when(F.col("arrival") % 11 > 0, F.col("sequence")))
+    _files_in_order(log.repartition(7), f"{folder}/in", "arrival", 4)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema.fields)
+    stream = read_log(spark, f"{folder}/in", schema, files_per_trigger=1)
+    _finish(replay_stream.write_reasons(stream, f"{folder}/out", f"{folder}/cp", stream="site"))
+    got = {tuple(r) for r in replay_stream.read_reasons(spark, f"{folder}/out").collect()}
+    filled = log.withColumn("site", F.coalesce(F.col("site").cast("string"), F.lit("")))
+    want = {tuple(r) for r in replay.replay_reasons(filled, stream=["site"]).collect()}
+    assert got == want
+    assert {rule for _, rule, _ in want} == {"DUPLICATE_RECORD_ID", "NONCE_REUSED", "SEQUENCE_REUSED", "PAYLOAD_REPEATED", "SEQUENCE_REGRESSION"}
+
+
+def test_facts_reduced_before_the_shuffle():
+    rows = pd.DataFrame({"rule": ["r"] * 6, "key": ["k"] * 5 + ["l"], "arrival": [5, 3, 9, 4, 7, 1], "record_id": ["a", "b", "c", "b", "a", "z"]})
+    reduced = pd.concat(replay_stream._sightings(iter([rows])))
+    assert sorted(zip(reduced["key"], reduced["arrival"], reduced["record_id"], reduced["n"])) == [
+        ("k", 3, "b", 5), ("k", 5, "a", 0), ("l", 1, "z", 1)]
+
+
 def test_ledger_stream_equals_batch(spark, folder):
     entries = spark.range(60).select(
         F.concat(F.lit("c"), F.col("id") % 3).alias("chain"), F.col("id").alias("seq"), F.lit("t").alias("timestamp"),
@@ -93,8 +117,8 @@ def test_verification_stream(spark, folder):
     _files_in_order(log, f"{folder}/in", "arrival")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema.fields)
     _finish(replay_stream.check_batches(read_log(spark, f"{folder}/in", schema, 1), f"{folder}/checked", f"{folder}/cp1"))
-    _finish(write_files(replay_stream.replay_reasons(read_log(spark, f"{folder}/in", schema, 1)), f"{folder}/reasons", f"{folder}/cp2"))
-    flags = replay_stream.verified_flags(spark.read.parquet(f"{folder}/checked"), spark.read.parquet(f"{folder}/reasons"))
+    _finish(replay_stream.write_reasons(read_log(spark, f"{folder}/in", schema, 1), f"{folder}/reasons", f"{folder}/cp2"))
+    flags = replay_stream.verified_flags(spark.read.parquet(f"{folder}/checked"), replay_stream.read_reasons(spark, f"{folder}/reasons"))
     want = provenance.record_flags(
         provenance.with_replays(provenance.check_records(log), replay.replayed_arrivals(replay.replay_reasons(log))))
     assert {tuple(r) for r in flags.collect()} == {tuple(r) for r in want.collect()}
