@@ -374,6 +374,27 @@ def windowed_drift(t: Tables):
     return rows.select("start_us", F.round("psi", 6).alias("psi"))
 
 
+@query("session_drift", f"""WITH base AS (SELECT value FROM events WHERE event_id % 2 = 0),
+q AS (SELECT list_sort(list_distinct(quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM base),
+rb AS (SELECT least(len(list_filter(e, lambda x: x <= value)), len(e) - 1) AS bin, COUNT(*) AS r FROM base, q GROUP BY 1),
+ref AS (SELECT g.bin, (coalesce(r, 0) + 1e-4::DOUBLE) / ((SELECT COUNT(*) FROM base) + 10 * 1e-4::DOUBLE) AS pr
+  FROM (SELECT unnest(range(1, len(e))) AS bin FROM q) g LEFT JOIN rb USING (bin)),
+g AS (SELECT user_id, ts, value, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g),
+heads AS (SELECT user_id, sid, epoch_us(MIN(ts)) AS start_us, COUNT(*) AS records, COUNT(*) FILTER (WHERE value >= e[1] AND value <= e[-1]) AS n FROM s, q GROUP BY 1, 2),
+sb AS (SELECT user_id, sid, least(len(list_filter(e, lambda x: x <= value)), len(e) - 1) AS bin, COUNT(*) AS c
+  FROM s, q WHERE value >= e[1] AND value <= e[-1] GROUP BY ALL),
+cells AS (SELECT h.*, ref.pr, (coalesce(sb.c, 0) + 1e-4::DOUBLE) / (h.n + 10 * 1e-4::DOUBLE) AS pc
+  FROM heads h CROSS JOIN ref LEFT JOIN sb ON sb.user_id = h.user_id AND sb.sid = h.sid AND sb.bin = ref.bin)
+SELECT user_id, start_us, records, n, CASE WHEN n > 0 THEN round(least(10.0::DOUBLE, greatest(0.0::DOUBLE, SUM((pc - pr) * ln(pc / pr)))), 6) END AS psi
+FROM cells GROUP BY user_id, start_us, records, n""")
+def session_drift(t: Tables):
+    baseline = windows.baseline_bins(t.events.where("event_id % 2 = 0"), "value")
+    rows = windows.drift_per_session(t.events, "user_id", "value", baseline, "6 hours")
+    return rows.withColumn("psi", F.round("psi", 6))
+
+
 @query("nonce_dedup", f"{_R} SELECT nonce, MIN(arrival) AS arrival FROM log GROUP BY nonce")
 def nonce_dedup(t: Tables):
     return D.replay_log(t).groupBy("nonce").agg(F.min("arrival").alias("arrival"))

@@ -110,6 +110,45 @@ def test_windows_and_nonces_on_streams(spark, folder):
     assert len(got) == 200
 
 
+def test_session_drift_stream_equals_batch(spark, folder):
+    rnd = random.Random(4)
+    start, hour = 1704067200, 3600
+    rows, at = [], {}
+    for i in range(500):
+        user = "busy" if i % 3 == 0 else rnd.choice("abc")
+        # gaps of exactly four hours part sessions
+        at[user] = at.get(user, 0) + rnd.choice([60, 1800, hour, 4 * hour - 1, 4 * hour, 9 * hour])
+        rows.append((at[user], user, None if i % 17 == 0 else float(rnd.randrange(60))))
+    rows.append((10_000 * hour, "end", 1.0))
+    rows.sort(key=lambda r: r[0])
+    order = list(range(len(rows)))
+    # neighbours swap places and so arrive late, within the watermark
+    for i in range(0, len(order) - 2, 7):
+        order[i], order[i + 1] = order[i + 1], order[i]
+    made = [(i, *rows[j]) for i, j in enumerate(order)]
+    frame = spark.createDataFrame(made, "n BIGINT, at BIGINT, user_id STRING, value DOUBLE")
+    frame = frame.select("n", F.timestamp_seconds(F.col("at") + start).alias("ts"), "user_id", "value")
+    _files_in_order(frame, f"{folder}/in", "n", 4)
+    baseline = windows.baseline_bins(spark.range(40).select(F.col("id").cast("double").alias("value")), "value")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema.fields)
+    stream = read_log(spark, f"{folder}/in", schema, files_per_trigger=1)
+    out = window_stream.drift_per_session(stream, "user_id", "value", baseline, "4 hours", "60 hours")
+    _finish(write_files(out, f"{folder}/out", f"{folder}/cp"))
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{folder}/out").collect())
+    batch = windows.drift_per_session(frame, "user_id", "value", baseline, "4 hours")
+    assert got == sorted(tuple(r) for r in batch.where("user_id <> 'end'").collect())
+    runs, previous = {}, {}
+    for moment, user, _ in rows:
+        if user not in previous or moment - previous[user] >= 4 * hour:
+            opened = runs.setdefault(user, [])
+            opened.append([moment, 0])
+        runs[user][-1][1] += 1
+        previous[user] = moment
+    want = sorted((u, (m + start) * 1_000_000, c) for u, r in runs.items() for m, c in r)
+    assert sorted(tuple(r) for r in batch.select("user_id", "start_us", "records").collect()) == want
+    assert batch.where("n = 0 AND psi IS NULL").count() + batch.where("n > 0 AND psi > 0").count() == len(want)
+
+
 def test_verification_stream(spark, folder):
     log = _log(spark, 60).select(
         "*", F.lit("p").alias("preprocessing_sha256"), F.lit("c").alias("config_sha256"), F.col("arrival").cast("string").alias("timestamp"))
