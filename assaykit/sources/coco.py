@@ -1,9 +1,9 @@
 """COCO annotation files to sample and annotation tables.
 
-A COCO file is one JSON document, so each file is one task's work: a corpus is many
-files, read in parallel. Rows of separate images/annotations/categories tables (for
-example JSON lines, where one document would be too large) go to ``samples_from_tables``
-directly. Annotations stay one row each: an image with a huge number of them is never
+A COCO file is one JSON document. ``read_files`` takes each as one task's work, right for many
+files of moderate size; ``read_ranges`` cuts files into byte ranges, so that one large document is
+read by many tasks. Rows of separate images/annotations/categories tables go to
+``samples_from_tables`` directly. Annotations stay one row each: an image with a huge number of them is never
 gathered into one array.
 """
 
@@ -11,10 +11,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from assaykit.functions.paths import basename, file_path, parent, stem
 from assaykit.operators.skew import chunked_lists, lookup_join
 from assaykit.schemas import COCO_FILE
+from assaykit.session import checkpointed
+from assaykit.sources.json_ranges import array_objects
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -129,8 +132,30 @@ def dataset_totals(samples: DataFrame, annotations: DataFrame, categories: DataF
     return n_images.join(n_boxes, "dataset_id", "left").join(n_classes, "dataset_id", "left").fillna(0)
 
 
-def read(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Samples and annotations of every COCO file under ``path``."""
+def read_ranges(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Images, annotations and categories of COCO files of any size, as the functions of those
+    names give them for ``read_files``. Files that are cut off give nothing."""
+    objects = checkpointed(array_objects(spark, path)).withColumn("dataset_id", parent(F.col("json_path")))
+    kinds = {f.name: f.dataType.elementType for f in StructType.fromDDL(COCO_FILE) if isinstance(f.dataType, ArrayType)}
+
+    def rows(name: str) -> DataFrame:
+        parsed = objects.where(F.col("array_name") == name).select("dataset_id", "json_path", "ordinal", F.from_json("object", kinds[name]).alias("e"))
+        return parsed.select("dataset_id", "json_path", "ordinal", "e.*")
+
+    shown = rows("images").withColumnRenamed("id", "image_id")
+    boxes = rows("annotations").withColumnRenamed("id", "annotation_id").drop("ordinal")
+    classes = rows("categories").select(
+        "dataset_id", "json_path", F.col("id").alias("category_id"), F.coalesce("name", F.col("id").cast("string")).alias("class_name")
+    )
+    return shown, boxes, classes
+
+
+def read(spark: SparkSession, path: str, strict: bool = False, ranges: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Samples and annotations of every COCO file under ``path``; ``ranges`` for large files."""
+    if ranges:
+        shown, boxes, classes = read_ranges(spark, path)
+        named = named_annotations(boxes, classes)
+        return samples_from_tables(shown, named, strict), named
     files = read_files(spark, path)
     named = named_annotations(annotations(files), categories(files))
     return samples_from_tables(images(files), named, strict), named
