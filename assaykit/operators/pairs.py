@@ -95,6 +95,16 @@ def apart(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     return ~F.coalesce(F.arrays_overlap(a("cliques"), b("cliques")), F.lit(False))
 
 
+def all_links(links: DataFrame, members: DataFrame | None) -> DataFrame:
+    """Links with those inside cliques, which ``links`` leaves out, listed pair by pair."""
+    if members is None:
+        return links
+    rows = checkpointed(members.select(F.col("clique").alias("key"), "node"))
+    inside = near_pairs(rows, rows, lambda a, b: F.lit(True), checkpointed(dense_keys(rows, rows)))
+    # two rows may share several cliques
+    return links.unionByName(inside.distinct())
+
+
 def collapse_copies(rows: DataFrame, keys: list[str], min_size: int) -> tuple[DataFrame, DataFrame]:
     """Fold groups of at least ``min_size`` identical rows into one node each.
 

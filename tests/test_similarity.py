@@ -363,6 +363,19 @@ def test_patch_candidates_follow_the_true_pairs(spark, monkeypatch):
     assert counts[1] < counts[0] * 4**1.3 and shares[1] < 0.7 * shares[0]
 
 
+def test_links_inside_cliques_are_listed(spark):
+    """Crowded cells keep near rows as cliques: with them every link is there once."""
+    rng = np.random.default_rng(8)
+    rows = np.concatenate([rng.normal(size=6) + 0.1 * rng.normal(size=(40, 6)), rng.normal(size=(40, 6))])
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    df = spark.createDataFrame([(i, "TL", v.tolist()) for i, v in enumerate(rows)], "node BIGINT, region STRING, vec ARRAY<DOUBLE>")
+    links, members = patches.similar_links(df, 0.8, tile_rows=10)
+    found = [tuple(r) for r in patches.pairs.all_links(links, members).collect()]
+    true = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(rows @ rows.T >= 0.8, 1)))}
+    assert members is not None and links.count() < len(true)
+    assert len(found) == len(true) and set(found) == true
+
+
 def test_isolation_forest_properties(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)] + [(300, [9.0] * 6)]
