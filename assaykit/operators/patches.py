@@ -277,11 +277,13 @@ def patch_summary(clustered: DataFrame) -> DataFrame:
     )
 
 
-def patch_suspects(clustered: DataFrame, summary: DataFrame) -> DataFrame:
-    """One row per sample: of several clusters the last one found counts."""
+def patch_suspects(clustered: DataFrame, summary: DataFrame, every: bool = False) -> DataFrame:
+    """One row per sample: of several clusters the last one found counts; with ``every`` one row for each."""
 
     detail = summary.select("seed", "location", "associated_class", "confidence")
     joined = lookup_join(clustered.select("sample_id", "seed"), detail, ["seed"], "inner")
+    if every:
+        return joined.select("sample_id", F.col("location").alias("trigger_location"), "associated_class", "confidence")
     return (
         joined.groupBy("sample_id")
         .agg(F.max_by(F.struct("location", "associated_class", "confidence"), "seed").alias("s"))
@@ -296,14 +298,19 @@ REASON = (
 )
 
 
-def suspect_details(clustered: DataFrame, summary: DataFrame, samples: DataFrame, population: int) -> DataFrame:
+def suspect_details(
+    clustered: DataFrame, summary: DataFrame, samples: DataFrame, population: int, every: bool = False
+) -> DataFrame:
     """Suspect samples with location, class, confidence, where they came from and why.
 
-    samples: sample_id, source_id, batch_id. Of several clusters of a sample the last counts.
+    samples: sample_id, source_id, batch_id. Of several clusters of a sample the last counts;
+    with ``every`` each of them has a row.
     """
     columns = ("location", "associated_class", "confidence", "cluster_size")
     joined = lookup_join(clustered.select("sample_id", "seed"), summary.select("seed", *columns), ["seed"], "inner")
-    last = joined.groupBy("sample_id").agg(F.max_by(F.struct(*columns), "seed").alias("s")).select("sample_id", "s.*")
+    last = joined.select("sample_id", *columns)
+    if not every:
+        last = joined.groupBy("sample_id").agg(F.max_by(F.struct(*columns), "seed").alias("s")).select("sample_id", "s.*")
     share = F.col("cluster_size") * 100.0 / population
     reason = F.format_string(REASON, "location", F.coalesce(F.col("associated_class").cast("string"), F.lit("unlabelled")), "cluster_size", share)
     found = last.join(samples.select("sample_id", "source_id", "batch_id"), "sample_id", "left")

@@ -376,6 +376,18 @@ def test_links_inside_cliques_are_listed(spark):
     assert len(found) == len(true) and set(found) == true
 
 
+def test_every_cluster_of_a_sample_is_a_suspect_row(spark):
+    clustered = spark.createDataFrame([("s1", 0), ("s2", 0), ("s1", 7)], "sample_id STRING, seed BIGINT")
+    summary = spark.createDataFrame(
+        [(0, "TL", "a", 0.92, 2), (7, "BR", "b", 0.78, 1)], "seed BIGINT, location STRING, associated_class STRING, confidence DOUBLE, cluster_size BIGINT")
+    samples = spark.createDataFrame([("s1", "f", "b"), ("s2", "f", "b")], "sample_id STRING, source_id STRING, batch_id STRING")
+    last, every = {("s1", "BR"), ("s2", "TL")}, [("s1", "BR"), ("s1", "TL"), ("s2", "TL")]
+    kept = patches.patch_suspects(clustered, summary).collect()
+    assert {tuple(r)[:2] for r in kept} == last and len(kept) == 2
+    assert sorted(tuple(r)[:2] for r in patches.patch_suspects(clustered, summary, every=True).collect()) == every
+    assert sorted(tuple(r)[:2] for r in patches.suspect_details(clustered, summary, samples, 4, every=True).collect()) == every
+
+
 def test_isolation_forest_properties(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)] + [(300, [9.0] * 6)]
