@@ -129,9 +129,9 @@ def replay_reasons(
     """
     if register_replays:
         return _reasons(log, now_us, stream)
-    log = checkpointed(log)
-    entered = registered_arrivals(log, now_us, stream).withColumn("_entered", F.lit(True))
-    marked = log.join(entered, "arrival", "left").withColumn("_entered", F.col("_entered").isNotNull())
+    rows, _ = _in_doubt(checkpointed(log), now_us, stream)
+    entered = _settled(rows, now_us, stream).withColumn("_entered", F.lit(True))
+    marked = rows.join(entered, "arrival", "left").withColumn("_entered", F.col("_entered").isNotNull())
     return _reasons(checkpointed(marked), now_us, stream, "_entered")
 
 
@@ -143,13 +143,41 @@ def _reasons(log: DataFrame, now_us: int | None, stream: list[str] | None, prior
 
 
 def registered_arrivals(log: DataFrame, now_us: int | None = None, stream: list[str] | None = None) -> DataFrame:
-    """Arrivals without a reason against the earlier ones that have none themselves.
+    """Arrivals without a reason against the earlier ones that have none themselves."""
+    log = checkpointed(log)
+    rows, doubtful = _in_doubt(log, now_us, stream)
+    out = doubtful.join(_settled(rows, now_us, stream), "arrival", "left_anti")
+    return log.select("arrival").join(out, "arrival", "left_anti")
+
+
+def _in_doubt(log: DataFrame, now_us: int | None, stream: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """The rows that decide about those with a reason against some earlier row, and the arrivals of these.
+
+    A row clean against all earlier ones is in, whatever else happens. It is kept only where
+    it shares a key with a doubtful row or sets the largest sequence of clean rows before one.
+    """
+    doubtful = checkpointed(_reasons(log, now_us, stream).select("arrival").distinct())
+    marked = lookup_join(log, doubtful.withColumn("_doubt", F.lit(True)), ["arrival"])
+    marked = checkpointed(marked.withColumn("_clean", F.when(F.col("_doubt").isNull(), F.col("sequence"))))
+    heads = ordered_scan(marked, stream or [], "arrival", max_before={"_head": "_clean"}).where("_doubt AND _head IS NOT NULL")
+    at = [*(stream or []), "sequence"]
+    heads = checkpointed(heads.select(*(stream or []), F.col("_head").alias("sequence")).distinct())
+    keys = checkpointed(keyed_rows(marked.where("_doubt")).select("rule", "key").distinct())
+    kept = (
+        doubtful.unionByName(lookup_join(keyed_rows(log).select("rule", "key", "arrival"), keys, ["rule", "key"], "inner").select("arrival"))
+        .unionByName(lookup_join(log.select("arrival", *at), heads, at, "inner").select("arrival"))
+        .distinct()
+    )
+    return checkpointed(lookup_join(log, checkpointed(kept), ["arrival"], "inner")), doubtful
+
+
+def _settled(rows: DataFrame, now_us: int | None, stream: list[str] | None) -> DataFrame:
+    """Arrivals that are in: clean against the earlier rows that are in.
 
     A row clean against all earlier rows left is in; a row with a reason against one that is
     in is out. Each round settles the earliest doubtful row at least, and with it all rows
     whose doubts don't hang on one another: as many rounds as replays of replays are deep.
     """
-    rows = log
     while True:
         doubtful = checkpointed(_reasons(rows, now_us, stream).select("arrival").distinct())
         if doubtful.isEmpty():

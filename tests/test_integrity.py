@@ -216,3 +216,15 @@ def test_submissions_against_a_stored_log(spark):
     empty = submitted.where("false")
     assert replay.submission_reasons(empty, log).count() == 0
     assert replay.submission_reasons(submitted, log.where("false")).count() == 0
+
+
+def test_rounds_keep_only_rows_that_decide(spark):
+    """Of a long log with few replays, the rows that go through the rounds are few."""
+    rows = [(i, f"r{i}", f"n{i}", i, f"i{i}", "m", "o") for i in range(2_000)]
+    rows += [(2_000, "r9", "n2000", 2_000, "i2000", "m", "o"), (2_001, "r2001", "n2001", 40, "i2001", "m", "o"), (2_002, "r2002", "n2001", 2_002, "i2002", "m", "o")]
+    log = spark.createDataFrame(rows, "arrival BIGINT, record_id STRING, nonce STRING, sequence BIGINT, input_sha256 STRING, model_sha256 STRING, output_sha256 STRING")
+    kept, doubtful = replay._in_doubt(log, None, None)
+    assert {r["arrival"] for r in doubtful.collect()} == {2_000, 2_001, 2_002}
+    assert {r["arrival"] for r in kept.collect()} == {9, 40, 1_999, 2_000, 2_001, 2_002}
+    found = {(r["arrival"], r["rule"]) for r in replay.replay_reasons(log, register_replays=False).collect()}
+    assert found == {(2_000, "DUPLICATE_RECORD_ID"), (2_001, "SEQUENCE_REUSED"), (2_001, "SEQUENCE_REGRESSION")}
