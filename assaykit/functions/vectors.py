@@ -27,10 +27,12 @@ def norm(values: Column) -> Column:
 
 def unit(values: Column) -> Column:
     """Scale to length one; a zero vector stays zero."""
-    length = norm(values)
-    return F.transform(
-        values, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0))
-    )
+
+    def scaled(length: Column) -> Column:
+        return F.transform(values, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
+
+    # the length as the one element of an array: within the inner lambda it would be summed up per element
+    return F.get(F.transform(F.array(norm(values)), scaled), F.lit(0))
 
 
 def cosine(left: Column, right: Column) -> Column:

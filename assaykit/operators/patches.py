@@ -4,8 +4,9 @@ Cosine >= c on unit vectors is distance <= r. Vectors are turned by one orthonor
 and a few leading coordinates are cut into m blocks: of two vectors within r some block is
 within r / sqrt(m), so they meet in a cell of that block's grid. Cells are twice that wide,
 which leaves one neighbour cell per axis in reach, and of their combinations only those
-within the distance. The number of blocks follows the row count: few wide blocks for many
-rows, as their cells part more rows, many narrow ones for few.
+within the distance. Of two cells in reach the lower one takes the rows of both. The number
+and width of the blocks follow the row count, but rows go to few cells: what they
+leave together is compared by matrix products per cell, at about 2 ns a pair.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.vectors import dot
@@ -30,8 +31,11 @@ COORDINATES = 16
 BLOCK_AXES = 9
 #: Rows that the basis and the blocks are chosen by. They decide the cost, never the result.
 PLAN_ROWS = 1_024
-#: What a row sent to a cell costs, in comparisons of two rows of a cell.
-COPY_COST = 20
+#: What a row sent to a cell costs, in comparisons of two rows of a cell: the first few, and those beyond,
+#: which would have the shuffle outgrow the input.
+COPY_COST = 150
+FEW_COPIES = 8
+MORE_COST = 4_000
 EPS = 1e-6
 # Rules on a patch cluster.
 CENTRE = "C"
@@ -63,6 +67,15 @@ class BlockIndex:
         step = np.where(inside < self.reach, -1, 1)
         return own.astype(np.int64), step, np.minimum(inside, width - inside) ** 2
 
+    def sent(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``touched`` without cells above the row's own: of two rows in reach one goes to the cell of the other."""
+        own = self.cells(points)[0]
+        for row, block, cell in self.touched(points):
+            ahead = cell - own[row, block]
+            first = np.take_along_axis(ahead, (ahead != 0).argmax(axis=1)[:, None], axis=1)[:, 0]
+            below = first <= 0
+            yield row[below], block[below], cell[below]
+
     def touched(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(row, block, cell of the block) for every cell within reach, the own ones first."""
         own, step, gap = self.cells(points)
@@ -93,33 +106,31 @@ class BlockIndex:
 def block_index(sample: np.ndarray, radius: float, rows: float) -> BlockIndex:
     """The cheapest index for ``rows`` rows per region that look like ``sample``.
 
-    The basis holds the directions in which the sample spreads most, mixed evenly.
+    The basis holds the directions in which the sample spreads most, mixed evenly for several blocks.
     """
     dims = sample.shape[1]
     width = min(COORDINATES, dims)
     _, _, directions = np.linalg.svd(sample - sample.mean(axis=0), full_matrices=True)
     mixing = np.linalg.qr(np.random.default_rng(5).standard_normal((width, width)))[0]
-    basis = directions[:width].T @ mixing
-    points = sample[:400] @ basis
     best, cost = None, math.inf
     for axes in range(1, min(BLOCK_AXES, width) + 1):
         for blocks in {1, width // axes} if axes > 1 else {1}:
+            basis = directions[:width].T if blocks == 1 else directions[:width].T @ mixing
             index = BlockIndex(basis, blocks, axes, radius)
-            copies, met = index.share_met(points)
-            price = COPY_COST * copies + met * rows / 2
+            touched, met = index.share_met(sample[:400] @ basis)
+            copies = (touched + blocks) / 2
+            price = COPY_COST * min(copies, FEW_COPIES) + MORE_COST * max(0.0, copies - FEW_COPIES) + met * rows / 2
             if price < cost:
                 best, cost = index, price
     return best
 
 
 def placed(nodes: DataFrame, index: BlockIndex) -> DataFrame:
-    """Rows in cells: key, node, zone, own (the row's own cell), the coordinates, rest.
+    """Rows in cells: key, node, own (the row's own cell), point.
 
-    ``rest`` is the length of what the coordinates leave out: it differs by no more than the
-    vectors do there, so pairs are ruled out before their vectors are fetched.
+    A point is the coordinates and the length of what they leave out: that differs by no more than
+    the vectors do there, so pairs are ruled out before their vectors are fetched.
     """
-    names = [f"x{i}" for i in range(index.basis.shape[1])]
-    schema = "key bigint, node bigint, zone bigint, own boolean, " + ", ".join(f"{n} float" for n in [*names, "rest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -129,17 +140,20 @@ def placed(nodes: DataFrame, index: BlockIndex) -> DataFrame:
                 vectors = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
                 points = vectors @ index.basis
                 rest = np.sqrt(np.maximum(0, (vectors**2).sum(axis=1) - (points**2).sum(axis=1)))
-                for row, block, cell in index.touched(points):
+                kept = np.concatenate([points, rest[:, None]], axis=1).astype(np.float32)
+                width = kept.shape[1] * kept.itemsize
+                for row, block, cell in index.sent(points):
                     key = zone[row].view(np.uint64) ^ (block + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                     for axis in range(index.axes):
                         key = (key ^ cell[:, axis].view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
                         key ^= key >> np.uint64(31)
-                    columns = [key.view(np.int64), node[row], zone[row], np.arange(len(row)) < batch.num_rows]
-                    columns += [c[row].astype(np.float32) for c in (*points.T, rest)]
-                    yield pa.record_batch([pa.array(c) for c in columns], names=["key", "node", "zone", "own", *names, "rest"])
+                    ends = pa.py_buffer((np.arange(len(row) + 1) * width).astype(np.int32))
+                    point = pa.Array.from_buffers(pa.binary(), len(row), [None, ends, pa.py_buffer(kept[row].tobytes())])
+                    own = pa.array(np.arange(len(row)) < batch.num_rows)
+                    yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(node[row]), own, point], names=["key", "node", "own", "point"])
 
     rows = nodes.select("node", F.xxhash64("region").alias("zone"), F.col("vec").cast("array<double>").alias("vec"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "key bigint, node bigint, own boolean, point binary")
 
 
 def plan_index(nodes: DataFrame, radius: float) -> BlockIndex | None:
@@ -167,49 +181,28 @@ def similar_links(
         return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")), None
     reach = checkpointed(placed(nodes, index))
     own = reach.where("own")
-    close = _close(index)
-    crowded = pairs.dense_keys(own, reach, tile_rows)
-    members = None
-    if crowded.limit(1).count() == 0:
-        found = pairs.near_pairs(own, reach, close)
-    else:
-        crowded = checkpointed(crowded)
-        # cliques need the exact distance to the pivot, so the vectors of crowded cells come along
-        whole = lookup_join(reach, crowded.select("key"), ["key"], "inner").join(nodes, "node")
+    close = pairs.Within(radius, index.basis.shape[1] + 1)
+    members = pairs.crowd_members(own, reach, close, tile_rows)
+    if members is not None:
+        # cliques need the exact distance to the pivot
         half = 1.0 - (radius / 2) ** 2 / 2
-
-        def core(p, row) -> Column:
-            return (dot(p("vec"), row("vec")) >= half + EPS) & (p("region") == row("region"))
-
-        members = checkpointed(pairs.cliques(whole.where("own"), whole, crowded, core))
-        found = pairs.near_pairs(
-            pairs.with_cliques(own, members),
-            pairs.with_cliques(reach, members),
-            lambda a, b: close(a, b) & pairs.apart(a, b),
-            crowded,
-        )
+        ends = [nodes.select(*[F.col(c).alias(f"{n}{c}") for c in ("node", "region", "vec")]) for n in "pq"]
+        inside = members.withColumnsRenamed({"clique": "pnode", "node": "qnode"}).join(ends[0], "pnode").join(ends[1], "qnode")
+        inside = inside.where((F.col("pregion") == F.col("qregion")) & (dot(F.col("pvec"), F.col("qvec")) >= half + EPS))
+        members = checkpointed(inside.select(F.col("pnode").alias("clique"), F.col("qnode").alias("node")))
+        own, reach = pairs.with_cliques(own, members), pairs.with_cliques(reach, members)
+    tiles = checkpointed(pairs.dense_keys(own, reach, pairs.POINT_TILES * tile_rows))
+    found = pairs.near_pairs(own, reach, close, None if tiles.isEmpty() else tiles)
+    # a pair may be close in several blocks
+    found = checkpointed(found if index.blocks == 1 else found.distinct())
     sides = [nodes.select(*[F.col(c).alias(f"{n}{c}") for c in ("node", "region", "vec")]) for n in "ab"]
     exact = (
-        # a pair may be close in several blocks
-        found.distinct().withColumnsRenamed({"a": "anode", "b": "bnode"})
+        found.where("NOT sure").withColumnsRenamed({"a": "anode", "b": "bnode"})
         .join(sides[0], "anode").join(sides[1], "bnode")
         .where((F.col("aregion") == F.col("bregion")) & (dot(F.col("avec"), F.col("bvec")) >= similarity))
     )
-    return exact.select(F.col("anode").alias("a"), F.col("bnode").alias("b")), members
-
-
-def _close(index: BlockIndex) -> pairs.Match:
-    """What two rows of a cell must satisfy: coordinates, and what they leave out, near enough."""
-
-    def close(a, b) -> Column:
-        total = F.lit(0.0)
-        for n in range(index.basis.shape[1]):
-            gap = (a(f"x{n}") - b(f"x{n}")).cast("double")
-            total = total + gap * gap
-        other = (a("rest") - b("rest")).cast("double")
-        return (a("zone") == b("zone")) & (total + other * other <= index.radius**2 + 8 * EPS)
-
-    return close
+    links = found.where("sure").select("a", "b").unionByName(exact.select(F.col("anode").alias("a"), F.col("bnode").alias("b")))
+    return links, members
 
 
 def patch_clusters(

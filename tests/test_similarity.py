@@ -363,6 +363,25 @@ def test_patch_candidates_follow_the_true_pairs(spark, monkeypatch):
     assert counts[1] < counts[0] * 4**1.3 and shares[1] < 0.7 * shares[0]
 
 
+@pytest.mark.parametrize("expected", [50_000, 600_000])
+def test_patches_go_to_few_cells(spark, expected):
+    """However many rows are expected, a row is stored in few cells, and near pairs still meet."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(400, 16))
+    rows = np.concatenate([rows, rows + rng.normal(scale=0.02, size=rows.shape)])
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    df = spark.createDataFrame([(i, "TL", v.tolist()) for i, v in enumerate(rows)], "node BIGINT, region STRING, vec ARRAY<DOUBLE>")
+    reach = patches.placed(df, patches.block_index(rows, 0.2, expected)).select("key", "node", "own").collect()
+    assert len(reach) <= 14 * len(rows)
+    cells, own = {}, {}
+    for key, node, mine in reach:
+        cells.setdefault(node, set()).add(key)
+        if mine:
+            own.setdefault(node, set()).add(key)
+    near = np.argwhere(np.triu(rows @ rows.T >= 0.98, 1))
+    assert len(near) >= 400 and all(own[a] & cells[b] or own[b] & cells[a] for a, b in near)
+
+
 def test_links_inside_cliques_are_listed(spark):
     """Crowded cells keep near rows as cliques: with them every link is there once."""
     rng = np.random.default_rng(8)
