@@ -24,14 +24,8 @@ def canonical_object(fields: dict[str, Column]) -> Column:
     be ASCII (ids, hex digests, ISO timestamps); the text then equals what any
     canonical JSON writer gives. Use ``canonical_json`` for anything else.
     """
-    parts: list[Column] = []
-    for position, name in enumerate(sorted(fields)):
-        opener = "{" if position == 0 else ","
-        parts.append(F.lit(f"{opener}{json.dumps(name)}:"))
-        # to_json of a one-field struct quotes and escapes the value; drop its '{"v":' and '}'
-        text = F.to_json(F.struct(fields[name].alias("v")), {"ignoreNullFields": "false"})
-        parts.append(F.substring(text, 6, 2147483647).substr(F.lit(1), F.length(text) - 6))
-    return F.concat(*parts, F.lit("}"))
+    whole = F.struct(*[fields[name].alias(name) for name in sorted(fields)])
+    return F.to_json(whole, {"ignoreNullFields": "false"})
 
 
 @F.pandas_udf(T.StringType())

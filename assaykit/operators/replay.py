@@ -14,7 +14,7 @@ still in doubt can touch. ``submission_reasons`` compares records with a stored
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.hashing import sha256
@@ -194,7 +194,7 @@ def submission_reasons(
     """Reasons of submitted records against a stored log: (arrival, rule, prior_record).
 
     Both tables have arrival, record_id, nonce, sequence and the payload hashes; ``arrival``
-    numbers the submissions apart. Everything registered counts, whenever it arrived. A
+    numbers the rows of each apart. Everything registered counts, whenever it arrived. A
     stored record that is submitted again thus finds its own id; with ``exclude_self`` its
     id counts only where it was registered with another nonce, sequence or payload. A known
     id is not held against the sequence head, as in the log. Null keys match nothing.
@@ -202,42 +202,71 @@ def submission_reasons(
     on = ["rule", "key"]
     fields = ["nonce", "sequence", *PAYLOAD_KEY]
     content = F.xxhash64(*[f for c in fields for f in (F.col(c).cast("string"), F.col(c).isNull())])
-    asked = checkpointed(keyed_rows(submitted.withColumn("_content", content), "_content"))
+    asked = keyed_rows(submitted.withColumn("_content", content), "_content")
     stored = keyed_rows(registered.withColumn("_content", content), "_content")
-    hits = checkpointed(stored.join(asked.select(*on).distinct(), on, "left_semi"))
-    first = F.min(F.struct(F.col("arrival").alias("at"), "record_id"))
-    leaders = checkpointed(hits.groupBy(*on).agg(first.alias("lead"), F.min("_content").alias("lo"), F.max("_content").alias("hi")))
-    others = lookup_join(hits, leaders, on, "inner").where(F.col("record_id") != F.col("lead.record_id"))
-    facts = checkpointed(lookup_join(leaders, others.groupBy(*on).agg(first.alias("next")), on))
-    judged = checkpointed(lookup_join(asked, facts, on, "inner"))
+    digests = [F.xxhash64("record_id", F.lit(seed)) for seed in (1, 2)]
+    # numbers only, so the stored log aggregates by hashing; its ids are read where they are shown
+    spans = [f(d).alias(f"{n}{i}") for i, d in enumerate([*digests, F.col("_content")], 1) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    facts = stored.groupBy(*on).agg(F.min("arrival").alias("at"), *spans)
+    mixed = (F.col("lo1") != F.col("hi1")) | (F.col("lo2") != F.col("hi2"))
+    own = (digests[0] == F.col("lo1")) & (digests[1] == F.col("lo2"))
+    itself = (F.col("lo3") == F.col("_content")) & (F.col("hi3") == F.col("_content"))
+    judged = checkpointed(
+        # both grow with the log, whatever the estimates say of exploded rows
+        asked.join(facts.hint("merge"), on)
+        .select(*on, "arrival", "record_id", "at", mixed.alias("mixed"), own.alias("own"), itself.alias("itself"))
+    )
     by_id = F.col("rule") == SAME_ID
-    prior = F.when(~by_id & (F.col("record_id") == F.col("lead.record_id")), F.col("next")).otherwise(F.col("lead"))
-    found = judged.withColumn("prior", prior).where("prior IS NOT NULL")
-    if exclude_self:
-        itself = (F.col("lo") == F.col("_content")) & (F.col("hi") == F.col("_content"))
-        found = found.where(~(by_id & itself))
+    same = judged.where(by_id & ~F.col("itself")) if exclude_self else judged.where(by_id)
+    # keys of one other id, then those of several
+    plain = judged.where(~by_id & ~F.col("mixed") & ~F.col("own")).select("arrival", "rule", "at")
+    ids = registered.select(F.col("arrival").alias("at"), F.col("record_id").alias("prior_record"))
+    several = judged.where(~by_id & F.col("mixed"))
+    reasons = (
+        same.select("arrival", "rule", F.col("record_id").alias("prior_record"))
+        .unionByName(plain.join(ids.hint("merge"), "at").select("arrival", "rule", "prior_record"))
+        .unionByName(_reuse_of_several(several.select(*on, "arrival", "record_id"), stored))
+    )
     known = judged.where(by_id).select("arrival")
     # one row
     head = registered.agg(F.max("sequence").alias("head"))
     behind = submitted.join(known, "arrival", "left_anti").join(F.broadcast(head), how="cross").where("sequence <= head")
-    reasons = found.select("arrival", "rule", F.col("prior.record_id").alias("prior_record")).unionByName(
-        _tagged(behind, "SEQUENCE_REGRESSION", F.col("head").cast("string"))
-    )
+    reasons = reasons.unionByName(_tagged(behind, "SEQUENCE_REGRESSION", F.col("head").cast("string")))
     if now_us is not None:
         reasons = reasons.unionByName(timestamp_anomalies(submitted, now_us))
     return reasons
 
 
+def _reuse_of_several(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """Reasons of keys that are stored under more than one record id: the earliest other one counts."""
+    on = ["rule", "key"]
+    asked = checkpointed(asked)
+    hits = checkpointed(lookup_join(stored, checkpointed(asked.select(*on).distinct()), on, "inner"))
+    first = F.min(F.struct(F.col("arrival").alias("at"), "record_id"))
+    leaders = checkpointed(hits.groupBy(*on).agg(first.alias("lead")))
+    others = lookup_join(hits, leaders, on, "inner").where(F.col("record_id") != F.col("lead.record_id"))
+    facts = checkpointed(lookup_join(leaders, others.groupBy(*on).agg(first.alias("next")), on))
+    prior = F.when(F.col("record_id") == F.col("lead.record_id"), F.col("next")).otherwise(F.col("lead"))
+    found = lookup_join(asked, facts, on, "inner").withColumn("prior", prior)
+    return found.select("arrival", "rule", F.col("prior.record_id").alias("prior_record"))
+
+
 def described(log: DataFrame, reasons: DataFrame) -> DataFrame:
     """Flagged arrivals with their sorted rule names and one text: arrival, reasons, detail."""
     prior = F.concat(F.lit("'"), F.coalesce("prior_record", F.lit("")), F.lit("'"))
+
+    def shown(*parts: str) -> Column:
+        """Words, and columns where they are in braces; format_string takes many times as long."""
+        columns = [F.coalesce(F.col(p[1:-1]).cast("string"), F.lit("null")) if p[0] == "{" else F.lit(p) for p in parts]
+        return F.concat(*columns)
+
     text = {
-        SAME_ID: F.format_string("record id '%s' is registered already", "record_id"),
-        "NONCE_REUSED": F.concat(F.format_string("nonce '%s' was used by record ", "nonce"), prior),
-        "SEQUENCE_REUSED": F.concat(F.format_string("sequence %s was used by record ", F.col("sequence").cast("string")), prior),
+        SAME_ID: shown("record id '", "{record_id}", "' is registered already"),
+        "NONCE_REUSED": F.concat(shown("nonce '", "{nonce}", "' was used by record "), prior),
+        "SEQUENCE_REUSED": F.concat(shown("sequence ", "{sequence}", " was used by record "), prior),
         "PAYLOAD_REPEATED": F.concat(F.lit("input, model and output are those of record "), prior),
-        "SEQUENCE_REGRESSION": F.format_string("sequence %s is not above the head %s", F.col("sequence").cast("string"), "prior_record"),
-        "TIMESTAMP_FUTURE": F.format_string("timestamp lies %s seconds ahead", "prior_record"),
+        "SEQUENCE_REGRESSION": shown("sequence ", "{sequence}", " is not above the head ", "{prior_record}"),
+        "TIMESTAMP_FUTURE": shown("timestamp lies ", "{prior_record}", " seconds ahead"),
         "TIMESTAMP_MALFORMED": F.lit("timestamp is not an ISO time"),
     }
     sentence = F.lit(None).cast("string")

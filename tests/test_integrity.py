@@ -228,3 +228,19 @@ def test_rounds_keep_only_rows_that_decide(spark):
     assert {r["arrival"] for r in kept.collect()} == {9, 40, 1_999, 2_000, 2_001, 2_002}
     found = {(r["arrival"], r["rule"]) for r in replay.replay_reasons(log, register_replays=False).collect()}
     assert found == {(2_000, "DUPLICATE_RECORD_ID"), (2_001, "SEQUENCE_REUSED"), (2_001, "SEQUENCE_REGRESSION")}
+
+
+def test_submissions_shuffle_keys_once(spark, monkeypatch):
+    """Only keys stored under several record ids go through the log a second time."""
+    stored = []
+    kept = replay.checkpointed
+    monkeypatch.setattr(replay, "checkpointed", lambda df: stored.append(kept(df)) or stored[-1])
+    columns = "arrival BIGINT, record_id STRING, nonce STRING, sequence BIGINT, input_sha256 STRING, model_sha256 STRING, output_sha256 STRING"
+    log = [(i, f"r{i}", f"n{i}", i, f"i{i}", "m", "o") for i in range(400)] + [(400, "late", "n7", 400, "x", "m", "o")]
+    asked = [(i, f"new{i}", f"n{i}", i + 1_000, f"i{i}", "m", "o") for i in range(400)] + [(400, "r7", "n7", 2_000, "y", "m", "o")]
+    found = replay.submission_reasons(spark.createDataFrame(asked, columns), spark.createDataFrame(log, columns))
+    want = {(i, rule, f"r{i}") for i in range(400) for rule in ("NONCE_REUSED", "PAYLOAD_REPEATED")}
+    want |= {(400, "DUPLICATE_RECORD_ID", "r7"), (400, "NONCE_REUSED", "late")}
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    # of 1604 keyed rows: those that meet a key, and the few of the key with two ids
+    assert sum(df.count() for df in stored) <= 802 + 10
