@@ -207,13 +207,15 @@ def submission_reasons(
     digests = [F.xxhash64("record_id", F.lit(seed)) for seed in (1, 2)]
     # numbers only, so the stored log aggregates by hashing; its ids are read where they are shown
     spans = [f(d).alias(f"{n}{i}") for i, d in enumerate([*digests, F.col("_content")], 1) for f, n in ((F.min, "lo"), (F.max, "hi"))]
-    facts = stored.groupBy(*on).agg(F.min("arrival").alias("at"), *spans)
+    # a number in front of the key lets the join sort by numbers
+    asked, numbered = (rows.withColumn("_digest", F.xxhash64(*on)) for rows in (asked, stored))
+    facts = numbered.groupBy("_digest", *on).agg(F.min("arrival").alias("at"), *spans)
     mixed = (F.col("lo1") != F.col("hi1")) | (F.col("lo2") != F.col("hi2"))
     own = (digests[0] == F.col("lo1")) & (digests[1] == F.col("lo2"))
     itself = (F.col("lo3") == F.col("_content")) & (F.col("hi3") == F.col("_content"))
     judged = checkpointed(
         # both grow with the log, whatever the estimates say of exploded rows
-        asked.join(facts.hint("merge"), on)
+        asked.join(facts.hint("merge"), ["_digest", *on])
         .select(*on, "arrival", "record_id", "at", mixed.alias("mixed"), own.alias("own"), itself.alias("itself"))
     )
     by_id = F.col("rule") == SAME_ID
