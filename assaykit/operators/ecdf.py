@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ def ranged(both: DataFrame, features: list[Feature]) -> DataFrame:
         distinct, ref, cand = _counted(*(frame[c].to_numpy() for c in ("value", "r", "c")))
         return pd.DataFrame({
             "feature": [frame["feature"].iat[0]], "bucket": [frame["bucket"].iat[0]], "n_r": [ref.sum()], "n_c": [cand.sum()],
-            "first": [distinct[0]], "values": [distinct.tobytes()], "refs": [ref.tobytes()], "cands": [cand.tobytes()],
+            "first": [distinct[0]], "values": [distinct.astype(np.float32).tobytes()], "refs": [_small(ref)], "cands": [_small(cand)],
         })
 
     dealt = both.mapInPandas(deal, "feature INT, bucket INT, value DOUBLE, r BIGINT, c BIGINT")
@@ -103,6 +104,11 @@ def ranged(both: DataFrame, features: list[Feature]) -> DataFrame:
     return checkpointed(dealt.groupBy("feature", "bucket").applyInPandas(pack, schema))
 
 
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in four bytes each, in eight where one needs them."""
+    return counts.astype(np.int32 if counts.max() < 1 << 31 else np.int64).tobytes()
+
+
 def _counted(values: np.ndarray, ref: np.ndarray, cand: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct values and the sums of both counts."""
     order = np.argsort(values, kind="stable")
@@ -130,15 +136,20 @@ def _carry(stored: DataFrame, features: list[Feature]) -> None:
 def _of_ranges(stored: DataFrame, features: list[Feature], measure: Callable, size: int) -> dict[int, np.ndarray]:
     """Stacked numbers that ``measure(feature number, bucket, values, ref, cand)`` gives per range."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = [batch.column(c).to_pylist() for c in ("feature", "bucket")]
             out = []
-            for i, bucket, values, refs, cands in zip(*(frame[c] for c in ("feature", "bucket", "values", "refs", "cands"))):
-                arrays = np.frombuffer(values), np.frombuffer(refs, dtype=np.int64), np.frombuffer(cands, dtype=np.int64)
-                out.append((i, bucket, [float(x) for x in measure(i, bucket, *arrays)]))
-            yield pd.DataFrame(out, columns=["feature", "bucket", "found"])
-
-    found = stored.select("feature", "bucket", "values", "refs", "cands").mapInPandas(run, "feature INT, bucket INT, found ARRAY<DOUBLE>")
+            # the arrays stay in the batch: only those of one range are widened at a time
+            for at, (i, bucket) in enumerate(zip(*numbers)):
+                values, refs, cands = (batch.column(c)[at].as_buffer() for c in ("values", "refs", "cands"))
+                values = np.frombuffer(values, dtype=np.float32).astype(np.float64)
+                counts = [np.frombuffer(c, dtype=f"i{c.size // len(values)}").astype(np.int64) for c in (refs, cands)]
+                out.append([float(x) for x in measure(i, bucket, values, *counts)])
+            features, buckets = (pa.array(n, pa.int32()) for n in numbers)
+            yield pa.record_batch([features, buckets, pa.array(out, pa.list_(pa.float64()))], names=["feature", "bucket", "found"])
+
+    found = stored.select("feature", "bucket", "values", "refs", "cands").mapInArrow(run, "feature INT, bucket INT, found ARRAY<DOUBLE>")
     rows = sorted((tuple(r) for r in found.collect()), key=lambda r: r[:2])
     return {i: np.array([r[2] for r in rows if r[0] == i]).reshape(-1, size) for i in range(len(features))}
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assaykit.functions.kolmogorov import two_sample_p
 from assaykit.operators import drift, ecdf
@@ -124,3 +125,10 @@ def test_large_p_values_meet_the_limit_law():
     n = 4_000_000
     assert two_sample_p(1.3581 / np.sqrt(n / 2), n, n) == pytest.approx(0.05, abs=2e-4)
     assert two_sample_p(0.5, n, n) < 1e-12
+
+
+def test_stored_ranges_take_twelve_bytes_a_value(spark):
+    both = spark.range(5_000).select((F.col("id") % 2 == 0).alias("r"), (F.col("id") / 7).cast("float").cast("double").alias("v0"))
+    features = ecdf.described(both, ["x"])
+    kept = ecdf.ranged(both, features).selectExpr("sum(length(values) + length(refs) + length(cands)) AS n").first()["n"]
+    assert kept == 12 * 5_000
