@@ -65,27 +65,22 @@ def check_records(
         checked = records.join(renamed, "record_id", "left")
         compared = present
     broken = [
-        F.when(F.col(f"_now_{c}").isNotNull() & (F.col(f"_now_{c}") != F.col(c)), COMPONENTS[c])
-        for c in compared
+        (F.col(f"_now_{c}").isNotNull() & (F.col(f"_now_{c}") != F.col(c)), COMPONENTS[c]) for c in compared
     ]
+    broken += [(~F.col("hash_match"), HASH_BROKEN), (~F.col("signature_valid"), SIGNATURE_BROKEN)]
     signed = signature_valid if signature_valid is not None else F.lit(True)
     result = (
         checked.withColumn("hash_match", record_hash() == F.col("record_hash"))
         .withColumn("signature_valid", signed)
-        .withColumn(
-            "tamper_detected_in",
-            F.array_compact(
-                F.array(
-                    *broken,
-                    F.when(~F.col("hash_match"), HASH_BROKEN),
-                    F.when(~F.col("signature_valid"), SIGNATURE_BROKEN),
-                )
-            ),
-        )
+        .withColumn("tamper_detected_in", F.array_compact(F.array(*[F.when(found, name) for found, name in broken])))
     )
+    # not from the list: its filter is not compiled, and with it neither would be the hash
+    tampered = F.lit(False)
+    for found, _ in broken:
+        tampered = tampered | found
     status = (
         F.when(~F.col("signature_valid"), "INVALID_SIGNATURE")
-        .when(F.size("tamper_detected_in") > 0, "TAMPERED")
+        .when(tampered, "TAMPERED")
         .otherwise("VERIFIED")
     )
     return settle(result.withColumn("status", status).drop(*[f"_now_{c}" for c in compared]))

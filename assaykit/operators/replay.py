@@ -38,43 +38,64 @@ def _tagged(rows: DataFrame, rule: str, prior) -> DataFrame:
     return rows.select("arrival", F.lit(rule).alias("rule"), prior.alias("prior_record"))
 
 
+def _known(columns: list[str]) -> Column:
+    """Whether none of the columns is null."""
+    known = F.lit(True)
+    for column in columns:
+        known = known & F.col(column).isNotNull()
+    return known
+
+
+def _key(columns: list[str]) -> Column:
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+    # a digest keeps long compound keys short in the shuffle
+    return text if len(columns) == 1 else sha256(text)
+
+
 def keyed_rows(log: DataFrame, *extra: str) -> DataFrame:
     """One row per record and rule: rule, key, arrival, record_id, ``extra``. Null keys are left out."""
-    cells = []
-    for rule, columns in KEYS.items():
-        known = F.lit(True)
-        for column in columns:
-            known = known & F.col(column).isNotNull()
-        text = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
-        # a digest keeps long compound keys short in the shuffle
-        key = text if len(columns) == 1 else sha256(text)
-        cells.append(F.when(known, F.struct(F.lit(rule).alias("rule"), key.alias("key"))))
-    opened = log.select("arrival", "record_id", *extra, F.explode(F.array_compact(F.array(*cells))).alias("k"))
+    cells = [
+        F.when(_known(columns), F.struct(F.lit(rule).alias("rule"), _key(columns).alias("key")))
+        for rule, columns in KEYS.items()
+    ]
+    # nulls are filtered after the explode: array_compact is not compiled
+    opened = log.select("arrival", "record_id", *extra, F.explode(F.array(*cells)).alias("k")).where("k IS NOT NULL")
     return opened.select("k.rule", "k.key", "arrival", "record_id", *extra)
 
 
+def repeated_rows(log: DataFrame, *extra: str) -> DataFrame:
+    """Those ``keyed_rows`` that may have a reason: keys under two record ids, record ids seen twice.
+
+    The pass over the whole log shuffles and aggregates numbers only: a digest per key, and
+    two per record id that tell whether there was more than one. The keys themselves are
+    made for the rows found. Keys that share a digest come along, so callers compare keys.
+    """
+    columns = sorted({"arrival", "record_id", *extra, *[c for key in KEYS.values() for c in key]})
+    digests = [F.when(_known(key), F.xxhash64(F.lit(rule), *key)) for rule, key in KEYS.items()]
+    rows = log.select(*columns, F.posexplode(F.array(*digests)).alias("_rule", "_digest")).where("_digest IS NOT NULL")
+    same_id = F.col("_rule") == list(KEYS).index(SAME_ID)
+    spans, mixed = [], F.lit(False)
+    for seed in (1, 2):
+        digest = F.when(same_id, F.xxhash64("arrival", F.lit(seed))).otherwise(F.xxhash64("record_id", F.lit(seed)))
+        spans += [F.min(digest).alias(f"lo{seed}"), F.max(digest).alias(f"hi{seed}")]
+        mixed = mixed | (F.col(f"lo{seed}") != F.col(f"hi{seed}"))
+    repeated = checkpointed(rows.groupBy("_digest").agg(*spans).where(mixed).select("_digest"))
+    rule, key = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for place, (name, fields) in enumerate(KEYS.items()):
+        rule = F.when(F.col("_rule") == place, name).otherwise(rule)
+        key = F.when(F.col("_rule") == place, _key(fields)).otherwise(key)
+    rows = rows.select("_digest", rule.alias("rule"), key.alias("key"), "arrival", "record_id", *extra)
+    return lookup_join(rows, repeated, ["_digest"], "inner").drop("_digest")
+
+
 def repeats(log: DataFrame, prior: str | None = None) -> DataFrame:
     """Reasons of all rules about a value seen earlier, in one pass over the log.
 
     A repeated record id counts by itself; a nonce, sequence or payload counts when it was
     used under another record id. Only rows with a true ``prior`` column are compared with.
     """
-    rows = keyed_rows(log, *([prior] if prior else []))
     on = ["rule", "key"]
-    # numbers only, so the pass over the whole log aggregates by hashing; two digests of
-    # the id tell whether a key was used under more than one
-    spans = []
-    for seed in (1, 2):
-        digest = F.xxhash64("record_id", F.lit(seed))
-        spans += [F.min(digest).alias(f"lo{seed}"), F.max(digest).alias(f"hi{seed}")]
-    mixed = (F.col("lo1") != F.col("hi1")) | (F.col("lo2") != F.col("hi2"))
-    repeated = checkpointed(
-        rows.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("n"), *spans)
-        .where(mixed | ((F.col("rule") == SAME_ID) & (F.col("n") > 1)))
-        .select(*on)
-    )
-    hits = checkpointed(lookup_join(rows, repeated, on, "inner"))
+    hits = checkpointed(repeated_rows(log, *([prior] if prior else [])))
     first = F.min(F.struct(F.col("arrival").alias("at"), "record_id"))
     leading = hits.where(prior) if prior else hits
     leaders = checkpointed(leading.groupBy(*on).agg(first.alias("lead")))
@@ -136,10 +157,15 @@ def replay_reasons(
 
 
 def _reasons(log: DataFrame, now_us: int | None, stream: list[str] | None, prior: str | None = None) -> DataFrame:
-    reasons = repeats(log, prior).unionByName(sequence_regressions(log, stream, prior))
+    found = repeats(log, prior)
+    known = found.where(F.col("rule") == SAME_ID).select("arrival", F.lit(True).alias("_known"))
+    # as in settle_reasons, but the other reasons need not go through the join; Spark would
+    # push an anti join down to the whole log, before the heads are compared
+    behind = sequence_regressions(log, stream, prior).join(known, "arrival", "left").where("_known IS NULL").drop("_known")
+    reasons = found.unionByName(behind)
     if now_us is not None:
         reasons = reasons.unionByName(timestamp_anomalies(log, now_us))
-    return settle_reasons(reasons)
+    return reasons
 
 
 def registered_arrivals(log: DataFrame, now_us: int | None = None, stream: list[str] | None = None) -> DataFrame:
@@ -280,8 +306,12 @@ def described(log: DataFrame, reasons: DataFrame) -> DataFrame:
 
 
 def replayed_arrivals(reasons: DataFrame) -> DataFrame:
-    """One row per flagged arrival with its sorted rule names (at most one per rule)."""
-    return reasons.groupBy("arrival").agg(F.array_sort(F.collect_set("rule")).alias("reasons"))
+    """One row per flagged arrival with its sorted rule names (at most one per rule).
+
+    Stored, so that its size is known where it is joined: where few rows are flagged, the log
+    is neither shuffled nor sorted for it.
+    """
+    return checkpointed(reasons.groupBy("arrival").agg(F.array_sort(F.collect_set("rule")).alias("reasons")))
 
 
 def replay_summary(log: DataFrame, reasons: DataFrame) -> DataFrame:

@@ -41,21 +41,36 @@ def bucket_of(value: Column, edges: list[float]) -> Column:
     if len(edges) <= 64:
         return F.coalesce(tree(0, len(edges)), F.lit(0)) if edges else F.lit(0)
     # many edges: a binary search over one constant array keeps the expression small
-    steps, step = [], 1
-    while step * 2 <= len(edges):
-        step *= 2
-    while step:
-        steps.append(step)
-        step //= 2
     table = F.array(*[F.lit(e) for e in edges])
     found = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
+        F.array(*[F.lit(s) for s in _steps(edges)]),
         F.lit(0),
         lambda acc, s: acc + F.when(F.get(table, acc + s - 1) <= value, s).otherwise(F.lit(0)),
     )
     return F.coalesce(found, F.lit(0))
 
 
+def _steps(edges: list[float]) -> list[int]:
+    """Powers of two, falling, that a binary search over the edges takes."""
+    return [1 << i for i in reversed(range(len(edges).bit_length()))]
+
+
+def with_bucket(df: DataFrame, value: Column, edges: list[float]) -> DataFrame:
+    """``df`` with ``_bucket``, the ``bucket_of`` ``value``.
+
+    With many edges each step of the search is a projection of its own: those are compiled,
+    which the lambda in ``bucket_of`` is not.
+    """
+    if len(edges) <= 64:
+        return df.withColumn("_bucket", bucket_of(value, edges))
+    table = F.array(*[F.lit(e) for e in edges])
+    found = df.withColumn("_bucket", F.lit(0))
+    for step in _steps(edges):
+        passed = F.when(F.get(table, F.col("_bucket") + (step - 1)) <= value, step).otherwise(0)
+        found = found.withColumn("_bucket", F.col("_bucket") + passed)
+    return found
+
+
 def ordered_scan(
     df: DataFrame,
     keys: list[str],
@@ -78,7 +93,7 @@ def ordered_scan(
     sums, totals = sums or {}, totals or {}
     max_before, previous, following = max_before or {}, previous or {}, following or {}
     edges = order_edges(df, order, buckets)
-    cut = df.withColumn("_bucket", bucket_of(F.col(order).cast("double"), edges))
+    cut = with_bucket(df, F.col(order).cast("double"), edges)
     group = [*keys, "_bucket"]
 
     per_bucket = [F.count(F.lit(1)).alias("_n")]
@@ -110,6 +125,9 @@ def ordered_scan(
     for out in following:
         carry.append(F.lead(f"_f_{out}").over(across.orderBy("_bucket")).alias(f"_d_{out}"))
     carried = summary.select(*group, *carry)
+    if not keys:
+        # one row per bucket, which the estimate doesn't know
+        carried = F.broadcast(carried)
 
     local = W.partitionBy(*group).orderBy(order)
     upto = local.rowsBetween(W.unboundedPreceding, 0)

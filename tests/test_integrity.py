@@ -244,3 +244,39 @@ def test_submissions_shuffle_keys_once(spark, monkeypatch):
     assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
     # of 1604 keyed rows: those that meet a key, and the few of the key with two ids
     assert sum(df.count() for df in stored) <= 802 + 10
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_replay_reasons_match_loop(spark, seed):
+    rows = _random_log(seed)
+    # whole records again, and one that brings its own nonce and payload after another's use of them
+    rows += [(70, *rows[3][1:]), (71, *rows[3][1:]), (72, "X", *rows[5][2:]), (73, *rows[5][1:])]
+    want = {row[0]: _rules(row, rows[:i]) for i, row in enumerate(rows)}
+    log = spark.createDataFrame(rows, _LOG).repartition(5)
+    assert _found(replay.replay_reasons(log, 1704067200000000)) == {a: v for a, v in want.items() if v}
+
+
+def test_null_keys_have_no_reason(spark):
+    rows = [(i, f"r{i}", None, None, "i", None if i < 2 else "m", "o") for i in range(4)]
+    log = spark.createDataFrame(rows, _LOG.removesuffix(", timestamp STRING"))
+    assert [tuple(r) for r in replay.replay_reasons(log).collect()] == [(3, "PAYLOAD_REPEATED", "r2")]
+
+
+def test_verification_moves_the_log_as_numbers(spark, monkeypatch):
+    """The pass over all keys shuffles digests, the hash check is compiled, and few flags don't shuffle the log."""
+    plans = []
+    kept = replay.checkpointed
+    monkeypatch.setattr(replay, "checkpointed", lambda df: plans.append(_plan(df)) or kept(df))
+    log = spark.createDataFrame(_random_log(10), _LOG).withColumns({"preprocessing_sha256": F.lit("p"), "config_sha256": F.lit("c")})
+    signed = log.withColumn("record_hash", provenance.record_hash())
+    flagged = replay.replayed_arrivals(replay.replay_reasons(log))
+    final = provenance.record_flags(provenance.with_replays(provenance.check_records(signed), flagged))
+    assert "Exchange hashpartitioning(_digest" in plans[0] and "Exchange hashpartitioning(rule" not in plans[0]
+    # an anti join would go down to the whole log
+    assert not any("LeftAnti" in plan for plan in plans)
+    assert "lambdafunction" not in _plan(final) and "Exchange hashpartitioning" not in _plan(final)
+    assert final.count() == 70 and final.where("is_replayed").count() == flagged.count() > 0

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assaykit.operators.scan import bucket_of, exact_quantiles, ordered_scan
+from assaykit.operators.scan import bucket_of, exact_quantiles, ordered_scan, with_bucket
 from assaykit.operators.skew import chunked_lists, salted_join
 
 
@@ -40,6 +40,21 @@ def test_bucket_of_counts_edges(spark, count):
     assert [r["b"] for r in rows.collect()] == [sum(e <= v for e in edges) for v in values]
 
 
+@pytest.mark.parametrize("count", [0, 1, 64, 65, 200, 255, 256])
+def test_with_bucket_counts_edges(spark, count):
+    edges = [float(i * 2) for i in range(count)]
+    values = [-1.0, 0.0, 1.0, 127.0, 128.0, 399.0, 508.0, 509.0, 510.0, 1e9]
+    rows = with_bucket(spark.createDataFrame([(v,) for v in values], "v DOUBLE"), F.col("v"), edges)
+    assert {r["v"]: r["_bucket"] for r in rows.collect()} == {v: sum(e <= v for e in edges) for v in values}
+
+
+def test_scan_of_one_list_is_compiled_and_shuffled_once(spark):
+    scanned = ordered_scan(spark.range(2000).withColumn("v", F.col("id") % 700), [], "id", max_before={"m": "v"}, buckets=200)
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "SortMergeJoin" not in plan
+    assert all(r["m"] == (min(r["id"] - 1, 699) if r["id"] else None) for r in scanned.collect())
+
+
 def test_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(1)
     data = {"a": rng.normal(size=200), "b": np.repeat([1.0, 2.0, 5.0], [1, 100, 3]), "c": np.array([4.0])}
