@@ -117,7 +117,8 @@ def near_pairs(own: DataFrame, reach: DataFrame, match: Match | Within, dense: D
         on = on & (a("ta") == b("ta")) & (a("tb") == b("tb"))
     if isinstance(match, Within):
         return _near_points(own, reach, match, ["key"] if dense is None else ["key", "ta", "tb"])
-    joined = _prefixed(own, "a").join(
+    # the optimiser counts a row's keys as one row, so without the hint it broadcasts millions
+    joined = _prefixed(own, "a").hint("merge").join(
         _prefixed(reach, "b"), on & (a("node") < b("node")) & match(a, b)
     )
     return joined.select(a("node").alias("a"), b("node").alias("b"))

@@ -55,6 +55,15 @@ def test_near_duplicates_match_loop(spark, seed, min_size, tile_rows, component_
     assert {r["ord"]: r["seed"] for r in got.collect()} == _stars(sorted(rows), near, min_size)
 
 
+def test_exploded_keys_are_not_broadcast(spark):
+    """Rows meet on 36 keys each, which the optimiser counts as one: a broadcast would send all of them to the driver."""
+    hashes = [F.xxhash64("id", F.lit(i)).alias(f"h{i}") for i in (1, 2)]
+    nodes = duplicates.checkpointed(spark.range(2_000).select(F.col("id").alias("node"), *hashes))
+    links, members = duplicates.near_links(nodes, 5)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert members is None and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_identical_flood_is_one_cluster(spark):
     df = spark.range(20_000).select(F.col("id").alias("ord"), F.lit(7).cast("long").alias("h1"), F.lit(9).cast("long").alias("h2"), F.lit("s").alias("source_id"))
     clustered = duplicates.near_duplicates(df)
